@@ -1,18 +1,16 @@
-"""LM scoring by a probabilistic suffix tree.
+"""LM scoring by a probabilistic suffix tree over words.
 
-A text is the sequence of its lower-cased words and one end. It is spelled in bytes: each word, then a space; last, a line feed
-as the end (neither occurs in words), so the probabilities of all token sequences add up to 1. A context is the last 0 to DEPTH
-bytes; before a text stand ends.
+A text is the sequence of its lower-cased words and one end. The tree's contexts are the last 0 to DEPTH words, with a start before
+the first. A context is a candidate if it has at least the share P_MIN of all training positions; its next-word distribution
+lists the words with at least the share P_SYM of all positions behind it. It is retained if that distribution diverges from
+its longest proper suffix's by more than chance (sum of n * log ratio above half of ln N for each listed word), or if a
+longer retained context ends in it. Distributions are smoothed towards the suffix's, with the weight of what is not listed and as much again as
+words are listed; the root is the base distribution, add one. A token's probability is that of its longest retained suffix.
 
-Learning counts (context, next byte) over all training texts. A context is a candidate if it has at least the share P_MIN of
-all positions, and retained if its next-byte distribution diverges from that of its longest proper suffix by more than chance
-(occurrences * KL above half a parameter's price, ln of all positions, for each distinct next byte), or if a longer
-retained context ends in it. So there are at most DEPTH / P_MIN retained contexts whatever the input, which bounds the tree that
-is broadcast; the counts behind it, and the words' counts, cover all training texts and grow with them. Distributions are smoothed towards the suffix's with
-as much weight as there are distinct next bytes; the root adds one to each of 256 bytes. Scoring walks from the root to the longest retained suffix.
-
-Unigram counts for the base score never meet in one place: blocks of texts hold dictionaries of their distinct words; the words are counted by
-shuffle, and each block gets the counts of its own words back.
+The shares bound the tree whatever the input (1 / P_MIN contexts and 1 / P_SYM listed words a level), so it is broadcast. What it is
+learned from covers all training texts and grows with them: texts are put into blocks that hold a dictionary of their distinct
+words and the texts as numbers of these; words are counted by shuffle, each block gets the counts of its own words back,
+and each level's contexts are counted in one pass over the blocks.
 
 Defined results: null and empty texts, or those without words, are one end. Rows with null doc_id are in training. Rows that
 repeat count as often as they occur. Without training texts N and V are 0. Other columns are ignored, whatever their names. An empty table gives an empty result."""
@@ -24,31 +22,147 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from trellis.llm.common import held_out, keep, span_hashes, table, word_spans
 
-FOLDS, DEPTH, P_MIN = 7, 5, 2e-5
-#: Bytes that a worker counts at once; distinct n-grams that it holds; tokens after which a block ends.
-PIECE, HOLD, BLOCK_TOKENS = 1 << 21, 1 << 21, 300_000
-_END = b"\n"
+FOLDS, DEPTH, P_MIN, P_SYM, LEAST = 7, 2, 1e-5, 1e-6, 2
+#: Tokens after which a block ends; distinct codes that a worker holds before it passes them on.
+BLOCK_TOKENS, HOLD = 300_000, 1 << 21
 #: Stands for a null doc_id inside a block: pandas would turn longs beside a null into floats.
 _NO_ID = -(2**63)
+_BLOCK = "block long, words array<long>, known array<long>, docs array<long>, held array<boolean>, lengths array<long>, idx binary"
+_OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _blocks(batches):
+    """Texts -> blocks: distinct words with their training counts in the block, and each text's words as numbers of these."""
+    from pyspark import TaskContext
+
+    part, seq, size, held = TaskContext.get().partitionId(), 0, 0, []
+
+    def row():
+        hashes, lengths = np.concatenate([h for _, _, h in held]), np.array([len(h) for _, _, h in held])
+        words, idx = np.unique(hashes, return_inverse=True)
+        train = np.repeat(np.array([not out for _, out, _ in held]), lengths)
+        known = np.bincount(idx[train], minlength=len(words))
+        kind = np.uint16 if len(words) <= 65_536 else np.uint32
+        one = lambda x, t: pa.array([x], pa.list_(t))
+        columns = {
+            "block": pa.array([part << 32 | seq], pa.int64()), "words": one(words.view(np.int64), pa.int64()), "known": one(known, pa.int64()), "docs": one([_NO_ID if d is None else d for d, _, _ in held], pa.int64()),
+            "held": one([x for _, x, _ in held], pa.bool_()), "lengths": one(lengths, pa.int64()), "idx": pa.array([idx.astype(kind).tobytes()], pa.binary()),
+        }
+        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    for b in batches:
+        for doc, out, text in zip(*(b.column(x).to_pylist() for x in ("doc_id", "held_out", "text"))):
+            joined, begin, end = word_spans(text)
+            held.append((doc, out, span_hashes(joined, begin, end) if len(begin) else np.zeros(0, np.uint64)))
+            size += len(begin) + 1
+            if size >= BLOCK_TOKENS:
+                yield row()
+                seq, size, held = seq + 1, 0, []
+    if held:
+        yield row()
 
 
-def _spell(joined: bytes) -> bytes:
-    return _END * DEPTH + joined + (b" " if joined else b"") + _END
+def _find(table_: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Where codes are in a sorted table; -1 for those that are not."""
+    if not len(table_):
+        return np.full(len(codes), -1, np.int64)
+    at = np.minimum(np.searchsorted(table_, codes), len(table_) - 1)
+    return np.where(table_[at] == codes, at, -1)
 
 
-def _codes(stream: np.ndarray) -> np.ndarray:
-    """For each place from DEPTH on: the byte there, then the bytes before it, nearest first."""
-    n = len(stream) - DEPTH
-    out = np.zeros(n, np.int64)
-    for k in range(DEPTH + 1):
-        out |= stream[DEPTH - k : DEPTH - k + n].astype(np.int64) << 8 * (DEPTH - k)
-    return out
+class Tree:
+    """Levels of contexts and of listed next words, as sorted codes.
+
+    Words are numbered by their place in vocab; one more number is the end, another the start. A context of level k has the code
+    (number of its suffix) * width + its farthest word; a listed word the code (number of its context) * width + word."""
+
+    def __init__(self, vocab: np.ndarray):
+        self.vocab, self.end, self.width = vocab, len(vocab), len(vocab) + 2
+        self.contexts: list[np.ndarray] = []
+        self.symbols: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.stored: list[np.ndarray] = []
+        self.spare: list[np.ndarray] = []
+        self.kept: list[np.ndarray] = []
+
+    def tokens(self, words: np.ndarray, idx: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of a block's tokens with an end behind each text (-1: not in vocab), and each token's place in its text."""
+        numbers = _find(self.vocab, words)[idx] if len(idx) else np.zeros(0, np.int64)
+        numbers = np.insert(numbers, np.cumsum(lengths), self.end)
+        begin = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]).astype(np.int64)
+        return numbers, np.arange(len(numbers)) - np.repeat(begin, lengths + 1)
+
+    def back(self, numbers: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+        """The token k before each; the start right before a text; -1 beyond."""
+        out = np.concatenate([np.full(min(k, len(numbers)), -1, np.int64), numbers[:-k]])
+        return np.where(place >= k, out, np.where(place == k - 1, self.end + 1, -1))
+
+    def walk(self, numbers: np.ndarray, place: np.ndarray, levels: int):
+        """For each level the numbers of the contexts at all places; -1 where there is none."""
+        at = np.zeros(len(numbers), np.int64)
+        for k in range(1, levels + 1):
+            far = self.back(numbers, place, k)
+            found = _find(self.contexts[k - 1], at * self.width + far)
+            at = np.where((at >= 0) & (far >= 0), found, -1)
+            yield at
+
+    def prune(self, base: np.ndarray, total: float) -> None:
+        """Tests the levels' contexts, the longest first; base: the root's probability of each number."""
+        shadow = [np.zeros(len(x)) for x in self.counts]
+        below = self._suffix_probabilities(base, shadow)
+        wanted = [np.zeros(len(c), bool) for c in self.contexts]
+        for k in range(len(self.contexts) - 1, -1, -1):
+            owner, n = self.symbols[k] // self.width, self.counts[k].astype(float)
+            size = self.stored[k] + self.spare[k]
+            gain = np.bincount(owner, n * np.log(n / size[owner] / below[k]), len(size)) if len(n) else np.zeros(len(size))
+            listed = np.bincount(owner, below[k], len(size)) if len(n) else np.zeros(len(size))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain += np.where(self.spare[k] > 0, self.spare[k] * np.log(self.spare[k] / size / np.maximum(1e-12, 1 - listed)), 0)
+            kinds = np.bincount(owner, minlength=len(size)) if len(n) else np.zeros(len(size))
+            wanted[k] |= (kinds > 0) & (gain > 0.5 * math.log(max(2.0, total)) * kinds)
+            if k:
+                wanted[k - 1][np.unique(self.contexts[k][wanted[k]] // self.width)] = True
+        self.kept = wanted
+
+    def _suffix_probabilities(self, base: np.ndarray, out: list[np.ndarray]) -> list[np.ndarray]:
+        for k in range(len(self.contexts)):
+            owner, word = self.symbols[k] // self.width, self.symbols[k] % self.width
+            out[k] = base[word]
+            parent = self.contexts[k][owner] // self.width
+            if k:
+                out[k] = self._step(k - 1, parent, word, out[k], out)
+        return out
+
+    def _step(self, k: int, context: np.ndarray, word: np.ndarray, p: np.ndarray, below: list[np.ndarray]) -> np.ndarray:
+        """Probabilities of words at contexts of level k, given those at the root."""
+        chain = [context]
+        for j in range(k, 0, -1):
+            chain.append(self.contexts[j][chain[-1]] // self.width)
+        for j, at in enumerate(reversed(chain)):
+            p = self.smooth(j, at, word, p)
+        return p
+
+    def smooth(self, k: int, at: np.ndarray, word: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """The smoothed probability of words at contexts of level k, p being that at the suffixes."""
+        hit = _find(self.symbols[k], at * self.width + word)
+        n = np.where((hit >= 0) & (word >= 0), self.counts[k][np.maximum(hit, 0)] if len(self.counts[k]) else 0, 0)
+        kinds = np.bincount(self.symbols[k] // self.width, minlength=len(self.contexts[k]))
+        weight = (self.spare[k] + kinds)[at]
+        return (n + weight * p) / (self.stored[k][at] + weight)
+
+    def score(self, numbers: np.ndarray, place: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """The probability of each token at its longest retained context, p being that at the root."""
+        live = np.arange(len(numbers))
+        for k, at in enumerate(self.walk(numbers, place, len(self.contexts))):
+            live = live[at[live] >= 0]
+            live = live[self.kept[k][at[live]]]
+            p[live] = self.smooth(k, at[live], numbers[live], p[live])
+        return p
 
 
 def _merged(codes: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -59,205 +173,117 @@ def _merged(codes: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
     return c[first], np.add.reduceat(n, first) if len(c) else n
 
 
-def _grams(batches):
-    codes, counts, held = [], [], 0
-
-    def batch():
-        c, n = _merged(codes, counts)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int64())], ["code", "n"])
-
-    for b in batches:
-        part, size = [], 0
-        texts = b.column("text").to_pylist()
-        for i, text in enumerate(texts):
-            spelled = _spell(word_spans(text)[0])
-            for at in range(0, len(spelled) - DEPTH, PIECE):  # a long text is counted in pieces, each with its context
-                part.append(_codes(np.frombuffer(spelled[at : at + PIECE + DEPTH], np.uint8)))
-                size += len(part[-1])
-                if size >= PIECE:
-                    c, n = np.unique(np.concatenate(part), return_counts=True)
-                    codes, counts, held, part, size = [*codes, c], [*counts, n], held + len(c), [], 0
-                    if held > 4 * HOLD:
-                        c, n = _merged(codes, counts)
-                        codes, counts, held = [c], [n], len(c)
-                        if held > HOLD:
-                            yield batch()
-                            codes, counts, held = [], [], 0
-        if part:
-            c, n = np.unique(np.concatenate(part), return_counts=True)
-            codes, counts, held = [*codes, c], [*counts, n], held + len(c)
-    if codes:
-        yield batch()
-
-
-class Tree:
-    """child: node and byte (numbered by `number`) to node; logp: log10 probability of a byte at a node."""
-
-    def __init__(self, rows: pd.DataFrame):
-        """rows: depth, ctx (bytes, nearest first), sym, n of the retained contexts and the root."""
-        seen = np.unique(np.concatenate([rows.sym.to_numpy(np.int64), np.concatenate([[10], *[(rows.ctx.to_numpy(np.int64) >> 8 * k & 255)[rows.depth.to_numpy() > k] for k in range(DEPTH)]])]))
-        self.number = np.full(256, len(seen), np.int32)
-        self.number[seen] = np.arange(len(seen))
-        width = len(seen) + 1  # the last stands for any byte never seen
-        contexts = rows[["depth", "ctx"]].drop_duplicates().sort_values(["depth", "ctx"])
-        contexts = contexts[contexts.depth > 0]
-        at = {(0, 0): 0} | {(d, c): k + 1 for k, (d, c) in enumerate(zip(contexts.depth.tolist(), contexts.ctx.tolist()))}
-        self.child = np.zeros((len(at), width), np.int32)
-        p = np.zeros((len(at), width))
-        root = rows[rows.depth == 0]
-        p[0] = 1.0
-        p[0, self.number[root.sym.to_numpy(np.int64)]] += root.n.to_numpy(float)
-        p[0] /= 256.0 + root.n.sum()
-        for depth in range(1, DEPTH + 1):
-            own = contexts[contexts.depth == depth].ctx.to_numpy(np.int64)  # sorted, and numbered in this order
-            if not len(own):
-                break
-            first = at[depth, int(own[0])]
-            parent = np.array([at[depth - 1, c] for c in (own >> 8).tolist()])
-            self.child[parent, self.number[own & 255]] = np.arange(first, first + len(own))
-            g = rows[rows.depth == depth]
-            node, n = np.searchsorted(own, g.ctx.to_numpy(np.int64)), g.n.to_numpy(float)
-            kinds, counts = np.bincount(node, minlength=len(own)), np.bincount(node, n, len(own))
-            block = kinds[:, None] * p[parent]
-            block[node, self.number[g.sym.to_numpy(np.int64)]] += n
-            p[first : first + len(own)] = block / (kinds + counts)[:, None]
-        self.logp = np.log10(p).astype(np.float32)
-
-    def score(self, spelled: list[bytes]) -> np.ndarray:
-        """log10 probabilities of spelled texts."""
-        out = np.zeros(len(spelled))
-        for k, s in enumerate(spelled):
-            if len(s) > PIECE:  # in pieces, each with its context
-                out[k] = sum(self._sum([s[at : at + PIECE + DEPTH]])[0] for at in range(0, len(s) - DEPTH, PIECE))
-        short = [k for k, s in enumerate(spelled) if len(s) <= PIECE]
-        if short:
-            out[short] = self._sum([spelled[k] for k in short])
-        return out
-
-    def _sum(self, spelled: list[bytes]) -> np.ndarray:
-        a = self.number[np.frombuffer(b"".join(spelled), np.uint8)]
-        begin = np.cumsum([0, *map(len, spelled)])
-        own = np.ones(len(a), bool)
-        for k in range(DEPTH):
-            own[begin[:-1] + k] = False
-        place = np.flatnonzero(own)
-        node, live = np.zeros(len(place), np.int32), np.arange(len(place))
-        flat, width = self.child.ravel(), self.child.shape[1]
-        for k in range(1, DEPTH + 1):
-            down = flat[node[live].astype(np.int64) * width + a[place[live] - k]]
-            live = live[down > 0]
-            node[live] = down[down > 0]
-        value = np.zeros(len(a))
-        value[place] = self.logp.ravel()[node.astype(np.int64) * width + a[place]]
-        return np.add.reduceat(value, begin[:-1])
-
-
-def learn(texts: DataFrame, p_min: float = P_MIN) -> Tree:
-    """(text) -> the tree of all texts."""
-    level = keep(texts.select("text").mapInArrow(_grams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "op9-grams")
-    total = level.agg(F.sum("n")).first()[0] or 0
-    tables = {}
-    for depth in range(DEPTH, -1, -1):
-        # code: the next byte, then `depth` bytes of context, nearest first
-        tables[depth] = keep(level, f"op9-level{depth}") if depth < DEPTH else level
-        level = tables[depth].groupBy(F.shiftright("code", 8).alias("code")).agg(F.sum("n").alias("n"))
-    kept = None
-    split = {}
-    for depth in range(DEPTH + 1):
-        mask = (1 << 8 * depth) - 1
-        t = tables[depth].select(F.shiftright("code", 8 * depth).alias("sym"), F.col("code").bitwiseAND(F.lit(mask).cast("long")).alias("ctx"), "n")
-        often = t.groupBy("ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where(F.col("total") >= p_min * total)
-        split[depth] = keep(t.join(often, "ctx"), f"op9-contexts{depth}")
-    for depth in range(DEPTH, 0, -1):
-        own, parent = split[depth], split[depth - 1].select(F.col("ctx").alias("pctx"), F.col("sym").alias("psym"), F.col("n").alias("pn"), F.col("total").alias("ptotal"))
-        joined = own.join(parent, (F.shiftright("ctx", 8) == F.col("pctx")) & (F.col("sym") == F.col("psym")))
-        gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("pn") / F.col("ptotal"))))
-        good = joined.groupBy("ctx", "kinds").agg(gain.alias("gain")).where(F.col("gain") > 0.5 * math.log(max(2, total)) * F.col("kinds")).select("ctx")
-        good = good if kept is None else good.unionByName(kept.select(F.shiftright("ctx", 8).alias("ctx"))).distinct()
-        kept = keep(good, f"op9-kept{depth}")
-        split[depth] = own.join(kept, "ctx")
-    rows = [split[d].select(F.lit(d).alias("depth"), "ctx", "sym", "n").toPandas() for d in range(DEPTH + 1)]  # at most DEPTH / P_MIN contexts
-    return Tree(pd.concat(rows))
-
-
-def _blocks(tree):
-    """Texts -> blocks: distinct words with their training counts in the block, and each text's words as numbers of these."""
-    from pyspark import TaskContext
+def _counts(tree, level: int):
+    """Blocks -> counts in training texts of (context of this level, next word), kind 0, and of (context, word before it), kind 1."""
 
     def run(batches):
-        part, seq, size, held = TaskContext.get().partitionId(), 0, 0, []
-
-        def row():
-            hashes, lengths = np.concatenate([h for _, _, _, h in held]), np.array([len(h) for _, _, _, h in held])
-            words, idx = np.unique(hashes, return_inverse=True)
-            train = np.repeat(np.array([not out for _, out, _, _ in held]), lengths)
-            known = np.bincount(idx[train], minlength=len(words))
-            kind = np.uint16 if len(words) <= 65_536 else np.uint32
-            one = lambda x, t: pa.array([x], pa.list_(t))
-            columns = {
-                "block": pa.array([part << 32 | seq], pa.int64()), "words": one(words.view(np.int64), pa.int64()), "known": one(known, pa.int64()), "docs": one([_NO_ID if d is None else d for d, _, _, _ in held], pa.int64()),
-                "held": one([x for _, x, _, _ in held], pa.bool_()), "scores": one([x for _, _, x, _ in held], pa.float64()), "lengths": one(lengths, pa.int64()), "idx": pa.array([idx.astype(kind).tobytes()], pa.binary()),
-            }
-            return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-        for b in batches:
-            texts, docs, outs = (b.column(x).to_pylist() for x in ("text", "doc_id", "held_out"))
-            for at in range(0, len(texts), 128):
-                spans = [word_spans(x) for x in texts[at : at + 128]]
-                scores = tree.value.score([_spell(j) for j, _, _ in spans])
-                for k, span in enumerate(spans):
-                    held.append((docs[at + k], outs[at + k], float(scores[k]), span_hashes(*span) if len(span[1]) else np.zeros(0, np.uint64)))
-                    size += len(held[-1][3]) + 1
-                    if size >= BLOCK_TOKENS:
-                        yield row()
-                        seq, size, held = seq + 1, 0, []
-        if held:
-            yield row()
+        held: dict[int, tuple[list, list]] = {0: ([], []), 1: ([], [])}
+
+        def out(kind):
+            c, n = _merged(*held[kind])
+            held[kind] = ([], [])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(c), kind), pa.int32()), pa.array(c, pa.int64()), pa.array(n, pa.int64())], ["kind", "code", "n"])
+
+        t = tree.value
+        for batch in batches:
+            for r in batch.to_pylist():
+                words, lengths = np.array(r["words"], np.int64), np.array(r["lengths"], np.int64)
+                idx = np.frombuffer(r["idx"], np.uint16 if len(words) <= 65_536 else np.uint32)
+                numbers, place = t.tokens(words, idx, lengths)
+                train = np.repeat(~np.array(r["held"], bool), lengths + 1)
+                *_, at = t.walk(numbers, place, level)
+                far = t.back(numbers, place, level + 1)
+                for kind, word in ((0, numbers), (1, far))[: 1 + (level < DEPTH)]:
+                    ok = train & (at >= 0) & (word >= 0)
+                    c, n = np.unique(at[ok] * t.width + word[ok], return_counts=True)
+                    held[kind][0].append(c)
+                    held[kind][1].append(n)
+                    if sum(map(len, held[kind][0])) > 2 * HOLD:
+                        c, n = _merged(*held[kind])
+                        held[kind] = ([c], [n])
+                        if len(c) > HOLD:
+                            yield out(kind)
+        for kind in (0, 1):
+            if held[kind][0]:
+                yield out(kind)
 
     return run
 
 
-_BLOCK = "block long, words array<long>, known array<long>, docs array<long>, held array<boolean>, scores array<double>, lengths array<long>, idx binary"
-_OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-
-def _base(n: int, v: int, ends: int):
+def _fill(tree: Tree, level: int, sizes: np.ndarray, rows: pd.DataFrame) -> None:
+    """Adds the listed words of a level; sizes: how often each of its contexts occurs."""
+    rows = rows.sort_values("code")
+    codes, n = rows.code.to_numpy(np.int64), rows.n.to_numpy(np.int64)
+    stored = np.bincount(codes // tree.width, n, len(sizes)) if len(codes) else np.zeros(len(sizes))
+    tree.symbols.append(codes)
+    tree.counts.append(n)
+    tree.stored.append(stored)
+    tree.spare.append(np.maximum(0, sizes - stored))
+
+
+def learn(blocks: DataFrame, frequent: pd.DataFrame, n: int, v: int, ends: int, p_min: float = P_MIN, p_sym: float = P_SYM) -> Tree:
+    """blocks and the words with at least the share p_sym (word, total) -> the tree."""
+    spark = blocks.sparkSession
+    frequent = frequent.sort_values("word")
+    tree = Tree(frequent.word.to_numpy(np.int64))
+    counts = np.concatenate([frequent.total.to_numpy(np.int64), [ends, ends]])  # the start is there as often as the end
+    often = np.array([*(counts[:-2] >= max(LEAST, p_min * n)), False, ends >= max(LEAST, p_min * n)], bool)
+    contexts, sizes = np.flatnonzero(often), counts[often]
+    for level in range(1, DEPTH + 1):
+        tree.contexts.append(contexts)
+        found = blocks.select("words", "lengths", "held", "idx").mapInArrow(_counts(spark.sparkContext.broadcast(tree), level), "kind int, code long, n long")
+        found = found.groupBy("kind", "code").agg(F.sum("n").alias("n")).where(F.col("n") >= F.when(F.col("kind") == 0, max(LEAST, p_sym * n)).otherwise(max(LEAST, p_min * n)))
+        found = found.toPandas()  # at most 1 / p_sym and 1 / p_min rows
+        _fill(tree, level, sizes, found[found.kind == 0])
+        following = found[found.kind == 1].sort_values("code")
+        contexts, sizes = following.code.to_numpy(np.int64), following.n.to_numpy(np.int64)
+    tree.prune((counts + 1.0) / (n + v + 1.0), n)
+    return tree
+
+
+def _scored(tree, n: int, v: int, ends: int):
     def run(block: pd.DataFrame, changed: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [pd.DataFrame({x.split()[0]: [] for x in _OUT.split(", ")})] if not len(block) else []
         for r in block.itertuples():
             c = np.array(r.known, np.int64)
             c[changed.at_word.to_numpy(np.int64)] = changed.total.to_numpy(np.int64)
-            lengths = np.asarray(r.lengths, np.int64)
+            words, lengths = np.asarray(r.words, np.int64), np.asarray(r.lengths, np.int64)
             idx = np.frombuffer(r.idx, np.uint16 if len(c) <= 65_536 else np.uint32)
-            begin = np.concatenate([[0], np.cumsum(lengths)])
-            logs = np.concatenate([[0.0], np.cumsum(np.log10(c + 1.0)[idx])])
-            seen = np.concatenate([[0], np.cumsum((c > 0)[idx])])
-            base = logs[begin[1:]] - logs[begin[:-1]] + math.log10(ends + 1.0) - (lengths + 1) * math.log10(n + v + 1.0)
-            out.append(pd.DataFrame({"doc_id": pd.array([None if x == _NO_ID else x for x in r.docs], "Int64"), "held_out": r.held, "n_tokens": lengths + 1, "n_known": seen[begin[1:]] - seen[begin[:-1]] + (ends > 0), "train_tokens": n, "base_score": base, "score": r.scores}))
-        return pd.concat(out) if out else pd.DataFrame({x.split()[0]: [] for x in _OUT.split(", ")})
+            stop = np.cumsum(lengths + 1)
+            start = stop - lengths - 1
+            counts = np.insert(c[idx] if len(idx) else np.zeros(0, np.int64), np.cumsum(lengths), ends)
+            p = (counts + 1.0) / (n + v + 1.0)
+            base = np.add.reduceat(np.log10(p), start)
+            numbers, place = tree.value.tokens(words, idx, lengths)
+            score = np.add.reduceat(np.log10(tree.value.score(numbers, place, p)), start)
+            seen = np.add.reduceat((counts > 0).astype(np.int64), start)
+            out.append(pd.DataFrame({"doc_id": pd.array([None if x == _NO_ID else x for x in r.docs], "Int64"), "held_out": r.held, "n_tokens": lengths + 1, "n_known": seen, "train_tokens": n, "base_score": base, "score": score}))
+        return pd.concat(out)
 
     return run
 
 
-def score(docs: DataFrame, p_min: float = P_MIN) -> DataFrame:
+def score(docs: DataFrame, p_min: float = P_MIN, p_sym: float = P_SYM) -> DataFrame:
     """(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id"), FOLDS).alias("held_out"))
-    tree = spark.sparkContext.broadcast(learn(mine.where("not held_out"), p_min))
-    blocks = keep(mine.mapInArrow(_blocks(tree), _BLOCK), "op9-blocks")
+    blocks = keep(mine.mapInArrow(_blocks, _BLOCK), "op9-blocks")
     sizes = blocks.agg(F.sum(F.aggregate("known", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"), F.sum(F.size(F.filter("held", lambda x: ~x))).alias("ends")).first()
-    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "known")).alias("at_word", "w")).select("block", "at_word", "w.words", "w.known")
+    ends = sizes["ends"] or 0
+    n = (sizes["n"] or 0) + ends
+    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "known")).alias("at_word", "w")).select("block", "at_word", F.col("w.words").alias("word"), F.col("w.known").alias("known"))
     # A word is in a block once, so no word holds more rows than there are blocks.
-    total, first = F.sum("known").over(Window.partitionBy("words")), F.lag("block").over(Window.partitionBy("words").orderBy("block")).isNull()
-    counted = words.select("block", "at_word", "known", total.alias("total"), first.alias("first"))
-    from pyspark.sql import Observation
-
+    total, first = F.sum("known").over(Window.partitionBy("word")), F.lag("block").over(Window.partitionBy("word").orderBy("block")).isNull()
+    counted = words.select("block", "at_word", "word", "known", total.alias("total"), first.alias("first"))
     distinct = Observation()
     counted = counted.observe(distinct, F.count_if(F.col("first") & (F.col("total") > 0)).alias("v"))
-    changed = keep(counted.where("total <> known").select("block", "at_word", "total"), "op9-counts")
-    ends = sizes["ends"] or 0
-    n, v = (sizes["n"] or 0) + ends, (distinct.get["v"] if sizes["ends"] is not None else 0) + (ends > 0)
-    return blocks.drop("words").groupBy("block").cogroup(changed.groupBy("block")).applyInPandas(_base(n, v, ends), _OUT)
+    often = F.col("first") & (F.col("total") >= max(LEAST, p_sym * n))
+    counted = keep(counted.where((F.col("total") != F.col("known")) | often).select("block", "at_word", F.when(often, F.col("word")).alias("word"), "total"), "op9-counts")
+    v = (distinct.get["v"] if sizes["ends"] is not None else 0) + (ends > 0)
+    frequent = counted.where("word is not null").select("word", "total").toPandas()  # at most 1 / p_sym rows
+    tree = learn(blocks, frequent, n, v, ends, p_min, p_sym)
+    changed = counted.select("block", "at_word", "total").groupBy("block")
+    return blocks.groupBy("block").cogroup(changed).applyInPandas(_scored(spark.sparkContext.broadcast(tree), n, v, ends), _OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
