@@ -53,7 +53,7 @@ def _features(batches):
             lo.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
             hi.append(int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0x9E3779B97F4A7C15))).astype(np.int64)) if len(s) else 0)
             chunks.append(signature(s) if len(s) else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(chunks, pa.list_(pa.int64()))], ["doc_id", "n", "nid", "hi", "chunks"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(chunks, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n", "nid", "hi", "chunks"])
 
 
 def _sets(batches):
@@ -116,9 +116,9 @@ def _block_pairs(groups):
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_shingles, component_id, kept, for every row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    feats = keep(docs.mapInArrow(_features, "doc_id long, n long, nid long, hi long, chunks array<long>"), "op1-features")
+    """(doc_id, text) -> doc_id, n_shingles, component_id, kept, text_hash, for every row."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    feats = keep(docs.mapInArrow(_features, "doc_id long, text_hash long, n long, nid long, hi long, chunks array<long>"), "op1-features")
     known = feats.where("n > 0 and doc_id is not null")
     nodes = keep(known.groupBy("nid", "hi").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("chunks").alias("chunks")), "op1-nodes")
     firsts = nodes.select("nid", "doc_id")
@@ -147,13 +147,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         roots = keep(components(edges.unionByName(more)), "op1-roots")
     root = nodes.select("nid", "hi", "doc_id").join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("nid", "hi", "doc_id", F.coalesce("root", "nid").alias("root"))
     named = root.join(root.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("nid", "hi", "component_id")
-    rest = feats.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    linked = known.join(named, ["nid", "hi"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    rest = feats.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash")
+    linked = known.join(named, ["nid", "hi"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_hash")
+    return linked.unionByName(rest).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The documents with one of each group kept, all their columns; of rows that share a kept doc_id, one. Rows without doc_id stay."""
+    judged = keep(near_duplicates(docs), "op1-judged")
+    gone = judged.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    found = (F.col("doc_id") == F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_hash"))
+    out = docs.join(broadcast_up_to(gone, BROADCAST_IDS), found, "left_anti")
+    if judged.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return out
+    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 SQL = r"""

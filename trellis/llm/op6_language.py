@@ -133,6 +133,14 @@ def predictions(docs: DataFrame) -> DataFrame:
     return identify(mine.select("doc_id", "held_out", "text"), langs, protos).select("doc_id", "held_out", "_lid.lang_pred", "_lid.score")
 
 
+def accepted(docs: DataFrame, least: float = 3 / DIM**0.5, chars: int = 200) -> DataFrame:
+    """The documents of a known language, all their columns. Rejected: `und`, and texts of at least so many characters whose
+    cosine is what vectors of a strange language have by chance (three deviations); shorter texts get the benefit of the doubt."""
+    langs, protos = learn(docs.where(~held_out(F.col("doc_id"), FOLDS)))
+    judged = identify(docs, langs, protos)
+    return judged.where((F.col("_lid.lang_pred") != UND) & ((F.col("_lid.score") >= least) | (F.length("text") < chars))).drop("_lid")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(table(spark, sf_dir, "documents"))
 
