@@ -165,13 +165,15 @@ def encode_iri(text: Column) -> Column:
 
 
 def encode(value: Column, kind: str) -> Column:
-    """The token of a typed column; kind: str, int, num, bool, ts."""
+    """The token of a typed column; kind: str, int, num, bool, ts, ntz (a timestamp without zone, taken as UTC)."""
     if kind == "str":
         text = value
         for char, code in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
             text = F.replace(text, F.lit(char), F.lit(code))
         return F.concat(F.lit('"'), text, F.lit('"'))
-    if kind == "ts":
+    if kind == "ntz":
+        text, name = F.concat(F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")), "dateTime"
+    elif kind == "ts":
         text, name = F.concat(F.date_format(F.to_utc_timestamp(value, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")), "dateTime"
     else:
         text, name = value.cast("string"), {"int": "integer", "num": "double", "bool": "boolean", "dec": "decimal"}[kind]

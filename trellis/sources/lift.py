@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trellis.functions.terms import TYPE, encode, encode_iri
 
-_KINDS = {"bigint": "int", "int": "int", "smallint": "int", "tinyint": "int", "double": "num", "float": "num", "boolean": "bool", "timestamp": "ts", "string": "str"}
+_KINDS = {"bigint": "int", "int": "int", "smallint": "int", "tinyint": "int", "double": "num", "float": "num", "boolean": "bool", "timestamp": "ts", "timestamp_ntz": "ntz", "string": "str"}
 
 
 def ref(prefix: str, column: str) -> Column:
