@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from trellis.llm.common import held_out, keep, span_hashes, table, word_spans
 
 FOLDS, DEPTH, P_MIN, P_SYM, LEAST = 7, 2, 1e-5, 1e-6, 2
-#: Tokens after which a block ends; distinct codes that a worker holds before it passes them on.
-BLOCK_TOKENS, HOLD = 300_000, 1 << 21
-#: Stands for a null doc_id inside a block: pandas would turn longs beside a null into floats.
+#: Tokens after which a block ends.
+BLOCK_TOKENS = 300_000
+#: Stands for null inside a block: pandas would turn longs beside a null into floats.
 _NO_ID = -(2**63)
 _BLOCK = "block long, words array<long>, known array<long>, docs array<long>, held array<boolean>, lengths array<long>, idx binary"
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -90,9 +90,10 @@ class Tree:
         self.spare: list[np.ndarray] = []
         self.kept: list[np.ndarray] = []
 
-    def tokens(self, words: np.ndarray, idx: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of a block's tokens with an end behind each text (-1: not in vocab), and each token's place in its text."""
-        numbers = _find(self.vocab, words)[idx] if len(idx) else np.zeros(0, np.int64)
+    def tokens(self, numbers: np.ndarray, idx: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """numbers: those of a block's words, -1 for words not in vocab -> the numbers of its tokens with an end behind each text, and
+        each token's place in its text."""
+        numbers = numbers[idx] if len(idx) else np.zeros(0, np.int64)
         numbers = np.insert(numbers, np.cumsum(lengths), self.end)
         begin = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]).astype(np.int64)
         return numbers, np.arange(len(numbers)) - np.repeat(begin, lengths + 1)
@@ -165,47 +166,23 @@ class Tree:
         return p
 
 
-def _merged(codes: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
-    c, n = np.concatenate(codes), np.concatenate(counts)
-    order = np.argsort(c, kind="stable")
-    c, n = c[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
-    return c[first], np.add.reduceat(n, first) if len(c) else n
-
-
 def _counts(tree, level: int):
     """Blocks -> counts in training texts of (context of this level, next word), kind 0, and of (context, word before it), kind 1."""
 
     def run(batches):
-        held: dict[int, tuple[list, list]] = {0: ([], []), 1: ([], [])}
-
-        def out(kind):
-            c, n = _merged(*held[kind])
-            held[kind] = ([], [])
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(c), kind), pa.int32()), pa.array(c, pa.int64()), pa.array(n, pa.int64())], ["kind", "code", "n"])
-
         t = tree.value
         for batch in batches:
-            for r in batch.to_pylist():
-                words, lengths = np.array(r["words"], np.int64), np.array(r["lengths"], np.int64)
-                idx = np.frombuffer(r["idx"], np.uint16 if len(words) <= 65_536 else np.uint32)
-                numbers, place = t.tokens(words, idx, lengths)
-                train = np.repeat(~np.array(r["held"], bool), lengths + 1)
+            for i in range(batch.num_rows):
+                words, lengths, out = (batch.column(x)[i].values.to_numpy(zero_copy_only=False) for x in ("words", "lengths", "held"))
+                idx = np.frombuffer(batch.column("idx")[i].as_py(), np.uint16 if len(words) <= 65_536 else np.uint32)
+                numbers, place = t.tokens(_find(t.vocab, words), idx, lengths)
+                train = np.repeat(~out.astype(bool), lengths + 1)
                 *_, at = t.walk(numbers, place, level)
                 far = t.back(numbers, place, level + 1)
                 for kind, word in ((0, numbers), (1, far))[: 1 + (level < DEPTH)]:
                     ok = train & (at >= 0) & (word >= 0)
-                    c, n = np.unique(at[ok] * t.width + word[ok], return_counts=True)
-                    held[kind][0].append(c)
-                    held[kind][1].append(n)
-                    if sum(map(len, held[kind][0])) > 2 * HOLD:
-                        c, n = _merged(*held[kind])
-                        held[kind] = ([c], [n])
-                        if len(c) > HOLD:
-                            yield out(kind)
-        for kind in (0, 1):
-            if held[kind][0]:
-                yield out(kind)
+                    c, n = np.unique(at[ok] * t.width + word[ok], return_counts=True)  # Spark adds up the blocks
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), kind), pa.int32()), pa.array(c, pa.int64()), pa.array(n, pa.int64())], ["kind", "code", "n"])
 
     return run
 
@@ -233,7 +210,7 @@ def learn(blocks: DataFrame, frequent: pd.DataFrame, n: int, v: int, ends: int,
         tree.contexts.append(contexts)
         found = blocks.select("words", "lengths", "held", "idx").mapInArrow(_counts(spark.sparkContext.broadcast(tree), level), "kind int, code long, n long")
         found = found.groupBy("kind", "code").agg(F.sum("n").alias("n")).where(F.col("n") >= F.when(F.col("kind") == 0, max(LEAST, p_sym * n)).otherwise(max(LEAST, p_min * n)))
-        found = found.toPandas()  # at most 1 / p_sym and 1 / p_min rows
+        found = keep(found, "op9-level").toPandas()  # at most 1 / p_sym and 1 / p_min rows
         _fill(tree, level, sizes, found[found.kind == 0])
         following = found[found.kind == 1].sort_values("code")
         contexts, sizes = following.code.to_numpy(np.int64), following.n.to_numpy(np.int64)
@@ -247,14 +224,16 @@ def _scored(tree, n: int, v: int, ends: int):
         for r in block.itertuples():
             c = np.array(r.known, np.int64)
             c[changed.at_word.to_numpy(np.int64)] = changed.total.to_numpy(np.int64)
-            words, lengths = np.asarray(r.words, np.int64), np.asarray(r.lengths, np.int64)
+            lengths, numbers = np.asarray(r.lengths, np.int64), np.full(len(c), -1, np.int64)
+            often = changed[changed.word != _NO_ID]
+            numbers[often.at_word.to_numpy(np.int64)] = _find(tree.value.vocab, often.word.to_numpy(np.int64))
             idx = np.frombuffer(r.idx, np.uint16 if len(c) <= 65_536 else np.uint32)
             stop = np.cumsum(lengths + 1)
             start = stop - lengths - 1
             counts = np.insert(c[idx] if len(idx) else np.zeros(0, np.int64), np.cumsum(lengths), ends)
             p = (counts + 1.0) / (n + v + 1.0)
             base = np.add.reduceat(np.log10(p), start)
-            numbers, place = tree.value.tokens(words, idx, lengths)
+            numbers, place = tree.value.tokens(numbers, idx, lengths)
             score = np.add.reduceat(np.log10(tree.value.score(numbers, place, p)), start)
             seen = np.add.reduceat((counts > 0).astype(np.int64), start)
             out.append(pd.DataFrame({"doc_id": pd.array([None if x == _NO_ID else x for x in r.docs], "Int64"), "held_out": r.held, "n_tokens": lengths + 1, "n_known": seen, "train_tokens": n, "base_score": base, "score": score}))
@@ -277,13 +256,13 @@ def score(docs: DataFrame, p_min: float = P_MIN, p_sym: float = P_SYM) -> DataFr
     counted = words.select("block", "at_word", "word", "known", total.alias("total"), first.alias("first"))
     distinct = Observation()
     counted = counted.observe(distinct, F.count_if(F.col("first") & (F.col("total") > 0)).alias("v"))
-    often = F.col("first") & (F.col("total") >= max(LEAST, p_sym * n))
-    counted = keep(counted.where((F.col("total") != F.col("known")) | often).select("block", "at_word", F.when(often, F.col("word")).alias("word"), "total"), "op9-counts")
+    often = F.col("total") >= max(LEAST, p_sym * n)
+    counted = keep(counted.where((F.col("total") != F.col("known")) | often).select("block", "at_word", F.when(often, F.col("word")).otherwise(_NO_ID).alias("word"), (often & F.col("first")).alias("first"), "total"), "op9-counts")
     v = (distinct.get["v"] if sizes["ends"] is not None else 0) + (ends > 0)
-    frequent = counted.where("word is not null").select("word", "total").toPandas()  # at most 1 / p_sym rows
+    frequent = counted.where("first").select("word", "total").toPandas()  # at most 1 / p_sym rows
     tree = learn(blocks, frequent, n, v, ends, p_min, p_sym)
-    changed = counted.select("block", "at_word", "total").groupBy("block")
-    return blocks.groupBy("block").cogroup(changed).applyInPandas(_scored(spark.sparkContext.broadcast(tree), n, v, ends), _OUT)
+    changed = counted.select("block", "at_word", "word", "total").groupBy("block")
+    return blocks.drop("words").groupBy("block").cogroup(changed).applyInPandas(_scored(spark.sparkContext.broadcast(tree), n, v, ends), _OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
