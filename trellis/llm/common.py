@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import uuid
 
 import numpy as np
@@ -41,11 +42,29 @@ def _drop_at_exit(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: While a table is written: shuffle files go once the table is there, and Python gets few rows at a time, for texts may be long.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]):
+    """Sets session options, and puts back what was there."""
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor takes nothing with it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with settings(spark, _WHILE_WRITING):
+        df.write.parquet(path)
     atexit.register(_drop_at_exit, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
