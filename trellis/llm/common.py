@@ -91,7 +91,7 @@ def hash_bits(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 12), 16, 10).cast("long")
 
 
-def prefix_sums(df: DataFrame, group: str, bits: str, order: list[str], value: Column, out: str, per_bucket: int = 20_000) -> DataFrame:
+def prefix_sums(df: DataFrame, group: str, bits: str, order: list[str], value: Column, out: str, per_bucket: int = 1_000) -> DataFrame:
     """Adds out: the sum of value over the rows before this one in its group, in order of the column bits (48 random bits), then order.
 
     Groups are cut into ranges of bits, about per_bucket rows each, so one group may hold most rows: only the sums of
