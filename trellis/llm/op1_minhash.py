@@ -8,7 +8,9 @@ Candidates within the radius are then checked on the full sets.
 
 No bucket is expanded into all its pairs. First each member of a bucket is compared with the bucket's smallest member;
 that joins groups of copies. Only buckets that still hold several components go on, and there only pairs of different
-components; buckets of more than SPLIT members are compared in blocks, without a row for each pair.
+components are compared, in blocks of at most BLOCK members and without a row for each pair. A pair that shares several
+buckets is compared in the first of them. From a block go only pairs that can be links: each set's hashes are counted in bins,
+and the sum of the smaller counts is never less than the intersection, so a pair whose sum is too small for 0.75 is none.
 
 Defined results: a null or empty text, or one without words, has n_shingles 0 and is its own component. Rows of null
 doc_id take no part: component_id is null and kept is true. Rows that share a doc_id are documents of their own, linked by
@@ -16,6 +18,8 @@ their texts alone. Columns other than doc_id and text are ignored, whatever thei
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -25,7 +29,9 @@ from pyspark.sql import functions as F
 from trellis.llm.common import broadcast_up_to, keep, mix, shingle_set, table
 from trellis.llm.components import components
 
-WORDS, SYMBOLS, CHUNKS, RADIUS, SPLIT = 5, 64, 16, 31, 64
+WORDS, SYMBOLS, CHUNKS, RADIUS = 5, 64, 16, 31
+#: Members of a bucket in one block, rows of small buckets in one group, and the fewest and most bins of a set.
+BLOCK, TOGETHER, BINS = 512, 4096, (256, 2048)
 #: An id table of up to so many rows (8 bytes each) is broadcast to pick documents.
 BROADCAST_IDS = 1_000_000
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -56,12 +62,21 @@ def _features(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(chunks, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n", "nid", "hi", "chunks"])
 
 
-def _sets(batches):
-    for batch in batches:
-        sets = [shingle_set(x, WORDS).view(np.int64) for x in batch.column("text").to_pylist()]
-        with np.errstate(over="ignore"):
-            nid = [int(mix(s.view(np.uint64)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0 for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column("nid"), pa.array(nid, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["nid", "found", "shingles"])
+def _bins(s: np.ndarray) -> bytes:
+    """How many of a set's hashes fall in each bin; 255 stands for that many or more."""
+    width = min(BINS[1], max(BINS[0], 1 << (len(s) * 3 // 2).bit_length()))
+    return np.minimum(np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width), 255).astype(np.uint8).tobytes()
+
+
+def _of_sets(kind: pa.DataType, what):
+    """For mapInArrow, (nid, text) -> nid, found (the nid of the text's set), out (what is made of the set)."""
+    def out(batches):
+        for batch in batches:
+            sets = [shingle_set(x, WORDS) for x in batch.column("text").to_pylist()]
+            nid = [int(mix(s).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0 for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("nid"), pa.array(nid, pa.int64()), pa.array([what(s) for s in sets], kind)], ["nid", "found", "out"])
+
+    return out
 
 
 def _keys(chunks: Column) -> Column:
@@ -88,31 +103,79 @@ def _within(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(side[0], "a").join(side[1], "b").where(_near_size(F.col("na"), F.col("nb"))).where(_distance(F.col("ca"), F.col("cb")) <= RADIUS).select("a", "b", "na", "nb")
 
 
+def _read_sets(wanted: DataFrame, firsts: DataFrame, docs: DataFrame, column: str, of: Callable) -> DataFrame:
+    """For the nids wanted, what is made of their sets, read again from the texts."""
+    name, kind = column.split()
+    wanted = keep(firsts.join(wanted, "nid").select("nid", "doc_id"), "op1-wanted")
+    texts = docs.join(broadcast_up_to(wanted, BROADCAST_IDS), "doc_id").select("nid", "text")
+    found = texts.mapInArrow(of, f"nid long, found long, out {kind}").where("nid = found").dropDuplicates(["nid"])
+    return keep(found.select("nid", F.col("out").alias(name)), f"op1-{name}")
+
+
 def _confirmed(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
     """Of the pairs (a, b, na, nb), those whose full sets have a Jaccard of 0.75 or more."""
     pairs = keep(pairs, "op1-candidates")
     wanted = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
-    wanted = keep(firsts.join(wanted, "nid").select("nid", "doc_id"), "op1-wanted")
-    texts = docs.join(broadcast_up_to(wanted, BROADCAST_IDS), "doc_id").select("nid", "text")
-    sets = texts.mapInArrow(_sets, "nid long, found long, shingles array<long>").where("nid = found").dropDuplicates(["nid"]).select("nid", "shingles")
-    sets = keep(sets, "op1-sets")
+    sets = _read_sets(wanted, firsts, docs, "shingles array<long>", _of_sets(pa.list_(pa.int64()), lambda s: s.view(np.int64)))
     joined = pairs.join(sets.select(F.col("nid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("nid").alias("b"), F.col("shingles").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return joined.where(both * 100 >= (F.col("na") + F.col("nb") - both) * 75).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _block_pairs(groups):
-    """Rows of one pair of blocks of a bucket -> the pairs within the radius and of different components."""
-    for pdf in groups:
-        for _, g in pdf.groupby(["key", "i", "j"]):
-            left, right = g[g.block == g.i.iloc[0]], g[g.block == g.j.iloc[0]]
-            a, b = (np.stack(x.chunks.to_list()).view(np.uint16).reshape(len(x), SYMBOLS) if len(x) else np.zeros((0, SYMBOLS), np.uint16) for x in (left, right))
-            for k in range(len(a)):
-                near = (a[k] != b).sum(1) <= RADIUS
-                near &= right.comp.to_numpy() != left.comp.iloc[k]
-                hit = right.nid.to_numpy()[near]
-                if len(hit):
-                    yield pd.DataFrame({"a": np.minimum(hit, left.nid.iloc[k]), "b": np.maximum(hit, left.nid.iloc[k])})
+def _first_bucket(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A signature against many: in how many symbols each differs, and which of its keys is the first that both have (-1: none)."""
+    differ = (b != a).reshape(len(b), CHUNKS, 4)
+    wrong = differ.sum(2)
+    chunk = (wrong <= 1).argmax(1)
+    here = np.arange(len(b))
+    first = chunk * 4 + differ[here, chunk].argmax(1)
+    return wrong.sum(1), np.where(wrong[here, chunk] <= 1, first, -1)
+
+
+def _most(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """At most so many hashes are in both sets: one set's bins against those of many, of one width; the wider are folded."""
+    least = min(len(a), b.shape[1])
+    a, b = (x.reshape(-1, x.shape[-1] // least, least).sum(1, dtype=np.int32) if x.shape[-1] > least else x for x in (a[None], b))
+    return np.minimum(a, b).sum(1, dtype=np.int64)
+
+
+def _block_pairs(key: int, left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+    """The pairs of two blocks of a bucket that are within the radius, of different components, first met here and possibly links."""
+    a, b = (np.stack(x.chunks.to_list()).view(np.uint16).reshape(len(x), SYMBOLS) for x in (left, right))
+    bins = [[np.frombuffer(h, np.uint8) for h in x.bins] for x in (left, right)]
+    widths = np.array([len(h) for h in bins[1]])
+    tables = {w: np.stack([h for h in bins[1] if len(h) == w]) for w in set(widths.tolist())}
+    place = np.zeros(len(right), np.int64)
+    for w in tables:
+        place[widths == w] = np.arange((widths == w).sum())
+    full = [np.array([h.max() == 255 for h in side]) for side in bins]
+    comp, n, out_a, out_b = right.comp.to_numpy(), right.n.to_numpy(), [], []
+    for k, (c, m, nid) in enumerate(zip(left.comp.tolist(), left.n.tolist(), left.nid.tolist())):
+        near = (comp != c) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * 75)
+        if same:
+            near[: k + 1] = False
+        hit = np.flatnonzero(near)
+        distance, first = _first_bucket(a[k], b[hit])
+        hit = hit[(distance <= RADIUS) & (first == key)]
+        for w, table_ in tables.items():
+            some = hit[widths[hit] == w]
+            if len(some):
+                both = _most(bins[0][k], table_[place[some]])
+                some = some[full[0][k] | full[1][some] | (both * 100 >= (m + n[some] - both) * 75)]
+                out_a += [nid] * len(some)
+                out_b.append(right.nid.to_numpy()[some])
+    one, two = np.array(out_a, np.int64), np.concatenate([np.zeros(0, np.int64), *out_b])
+    return pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two)})
+
+
+def _compared(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows of whole small buckets, or of two blocks of a bucket -> their pairs (a, b)."""
+    found = [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})]
+    for (_, at, i, j), g in rows.groupby(["key", "at", "i", "j"]):
+        left, right = g[g.block == i], g[g.block == j]
+        if len(left) and len(right):
+            found.append(_block_pairs(at, left, right, i == j))
+    return pd.concat(found)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -122,26 +185,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = feats.where("n > 0 and doc_id is not null")
     nodes = keep(known.groupBy("nid", "hi").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("chunks").alias("chunks")), "op1-nodes")
     firsts = nodes.select("nid", "doc_id")
-    keys = nodes.select(F.explode(_keys(F.col("chunks"))).alias("key"), "nid")
-    buckets = keep(keys.groupBy("key").agg(F.min("nid").alias("head"), F.count("*").alias("members")).where("members > 1"), "op1-buckets")
-    members = keep(keys.join(buckets, "key"), "op1-members")
+    keys = nodes.select(F.posexplode(_keys(F.col("chunks"))).alias("at", "key"), "nid")
+    buckets = keep(keys.groupBy("key", "at").agg(F.min("nid").alias("head"), F.count("*").alias("members")).where("members > 1"), "op1-buckets")
+    members = keep(keys.join(buckets, ["key", "at"]), "op1-members")
     stars = members.where("nid <> head").select(F.col("head").alias("a"), F.col("nid").alias("b")).distinct()
     edges = keep(_confirmed(_within(stars, nodes), firsts, docs), "op1-edges")
     roots = keep(components(edges), "op1-roots")
     # What the stars leave open: buckets of three and more that still hold several components.
-    open_ = members.where("members > 2").join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("key", "nid", "head", F.coalesce("root", "nid").alias("comp"))
-    several = open_.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("members")).where("least <> most").select("key", "members")
-    open_ = keep(open_.where("nid <> head").join(several, "key").join(nodes.select("nid", "n", "chunks"), "nid"), "op1-open")
-    small = open_.where(F.col("members") <= SPLIT).select("key", "nid", "comp", "n", "chunks")
-    x, y = (small.select("key", *[F.col(c).alias(f"{c}{s}") for c in ("nid", "comp", "n", "chunks")]) for s in "ab")
-    pairs = x.join(y, (x["key"] == y["key"]) & (F.col("nida") < F.col("nidb")) & (F.col("compa") != F.col("compb")) & _near_size(F.col("na"), F.col("nb")) & (_distance(F.col("chunksa"), F.col("chunksb")) <= RADIUS)).select(F.col("nida").alias("a"), F.col("nidb").alias("b"))
-    large = open_.where(F.col("members") > SPLIT).withColumn("blocks", F.ceil(F.col("members") / 256)).withColumn("block", F.pmod(F.xxhash64("nid"), "blocks"))
-    deal = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"))))
-    dealt = large.withColumn("p", deal).select("key", "p.i", "p.j", "block", "nid", "comp", "chunks")
-    compared = dealt.groupBy("key", "i", "j").applyInPandas(lambda g: pd.concat([pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)}), *_block_pairs([g])]), "a long, b long")
-    more = pairs.unionByName(compared).where("a <> b").distinct()
+    open_ = members.where("members > 2").join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("key", "at", "nid", "head", F.coalesce("root", "nid").alias("comp"))
+    several = open_.groupBy("key", "at").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("members")).where("least <> most").select("key", "at", "members")
+    open_ = keep(open_.where("nid <> head").join(several, ["key", "at"]).select("key", "at", "nid", "comp", "members"), "op1-open")
+    bins = _read_sets(open_.select("nid").distinct(), firsts, docs, "bins binary", _of_sets(pa.binary(), _bins))
+    rows = open_.join(nodes.select("nid", "n", "chunks").join(bins, "nid"), "nid")
+    blocks = F.ceil(F.col("members") / BLOCK)
+    deal = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"))))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("nid"), blocks)).withColumn("p", deal)
+    groups = open_.where(F.col("members") <= BLOCK).count() // TOGETHER + 1
+    group = F.when(F.col("members") <= BLOCK, F.pmod(F.xxhash64("key"), F.lit(groups))).otherwise(F.col("key"))
+    dealt = dealt.select(group.alias("g"), "key", "at", "p.i", "p.j", "block", "nid", "comp", "n", "chunks", "bins")
+    more = dealt.groupBy("g", "i", "j").applyInPandas(_compared, "a long, b long").where("a <> b").distinct()
     sizes = [nodes.select(F.col("nid").alias(s), F.col("n").alias(f"n{s}")) for s in "ab"]
-    more = more.join(sizes[0], "a").join(sizes[1], "b").where(_near_size(F.col("na"), F.col("nb")))
+    more = more.join(sizes[0], "a").join(sizes[1], "b")
     more = keep(_confirmed(more, firsts, docs), "op1-edges")
     if not more.isEmpty():
         roots = keep(components(edges.unionByName(more)), "op1-roots")
