@@ -76,7 +76,8 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     bag = F.coalesce(*[F.when(F.col("k") == k, _shingles("w", k)) for k in sizes])
     bags = keep(read.withColumn("bag", bag).select("item_id", "k", "bag", F.size("bag").alias("m"), _fingerprint(F.col("bag")).alias("fp")), "op4-items")
     wanted = broadcast_up_to(bags.select("k", F.explode("bag").alias("h"), "m").distinct(), BROADCAST)
-    texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), _words(F.col("text")).alias("w")).where("w is not null")
+    whole = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
+    texts = whole.select("doc_id", "t1", "t2", _words(F.col("text")).alias("w")).where("w is not null")
     found = None
     for k in sizes:
         some = texts.select("doc_id", "t1", "t2", F.posexplode(_shingles("w", k)).alias("pos", "h")).join(wanted.where(F.col("k") == k), "h")
@@ -85,7 +86,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     owners = found.select("doc_id", "t1", "t2").distinct()
     # The texts that were hit, once each, with all their shingles.
     hit = keep(owners.groupBy("t1", "t2").agg(F.min("doc_id").alias("doc_id"), F.count_if(F.col("doc_id").isNull()).alias("_null")), "op4-texts")
-    again = texts.join(broadcast_up_to(hit.select("t1", "t2"), BROADCAST), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
+    again = whole.join(broadcast_up_to(hit.select("t1", "t2"), BROADCAST), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"]).select("t1", "t2", _words(F.col("text")).alias("w"))
     lines = None
     for k in sizes:
         some = again.select("t1", "t2", F.lit(k).alias("k"), _shingles("w", k).alias("line"))
