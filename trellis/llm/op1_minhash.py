@@ -8,7 +8,7 @@ Candidates within the radius are then checked on the full sets.
 
 No bucket is expanded into all its pairs. First each member of a bucket is compared with the bucket's smallest member;
 that joins groups of copies. Only buckets that still hold several components go on, and there only pairs of different
-components are compared, in blocks of at most BLOCK members and without a row for each pair. A pair that shares several
+components are compared, in blocks of about SPLIT members and without a row for each pair. A pair that shares several
 buckets is compared in the first of them. From a block go only pairs that can be links: each set's hashes are counted in bins,
 and the sum of the smaller counts is never less than the intersection, so a pair whose sum is too small for 0.75 is none.
 
@@ -31,7 +31,7 @@ from trellis.llm.components import components
 
 WORDS, SYMBOLS, CHUNKS, RADIUS = 5, 64, 16, 31
 #: Members of a bucket in one block, rows of small buckets in one group, and the fewest and most bins of a set.
-BLOCK, TOGETHER, BINS = 512, 4096, (256, 2048)
+SPLIT, TOGETHER, BINS = 512, 4096, (256, 2048)
 #: An id table of up to so many rows (8 bytes each) is broadcast to pick documents.
 BROADCAST_IDS = 1_000_000
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -197,11 +197,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     open_ = keep(open_.where("nid <> head").join(several, ["key", "at"]).select("key", "at", "nid", "comp", "members"), "op1-open")
     bins = _read_sets(open_.select("nid").distinct(), firsts, docs, "bins binary", _of_sets(pa.binary(), _bins))
     rows = open_.join(nodes.select("nid", "n", "chunks").join(bins, "nid"), "nid")
-    blocks = F.ceil(F.col("members") / BLOCK)
+    blocks = F.ceil(F.col("members") / SPLIT)
     deal = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"))))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("nid"), blocks)).withColumn("p", deal)
-    groups = open_.where(F.col("members") <= BLOCK).count() // TOGETHER + 1
-    group = F.when(F.col("members") <= BLOCK, F.pmod(F.xxhash64("key"), F.lit(groups))).otherwise(F.col("key"))
+    groups = open_.where(F.col("members") <= SPLIT).count() // TOGETHER + 1
+    group = F.when(F.col("members") <= SPLIT, F.pmod(F.xxhash64("key"), F.lit(groups))).otherwise(F.col("key"))
     dealt = dealt.select(group.alias("g"), "key", "at", "p.i", "p.j", "block", "nid", "comp", "n", "chunks", "bins")
     more = dealt.groupBy("g", "i", "j").applyInPandas(_compared, "a long, b long").where("a <> b").distinct()
     sizes = [nodes.select(F.col("nid").alias(s), F.col("n").alias(f"n{s}")) for s in "ab"]
