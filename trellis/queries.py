@@ -193,8 +193,8 @@ def scope_resolve(spark, d):
 _add("scope_resolve", scope_resolve, f"SELECT * FROM ({_BFS.format(edges=f'{_ONE} UNION SELECT b, a FROM ({_ONE})', depth=3)}) WHERE nation IN (SELECT c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal < 0)")
 
 
-def lineage(spark, d):
-    """Orders that an order of the same customer follows, as derivations; how far each is from the customers' last order, up to three."""
+def lineage(spark, d, max_depth=3):
+    """Orders that an order of the same customer follows, as derivations; how far each is from the customers' last order, up to max_depth (None: all)."""
     o = _table(spark, d, "orders")
     from pyspark.sql import Window
 
@@ -203,10 +203,11 @@ def lineage(spark, d):
     quads = lift(follow, f"{P}context", ref(f"{P}order:", "o_orderkey"), {f"{PROV}wasDerivedFrom": ref(f"{P}order:", "before")})
     edges = quads.select(F.col("s").alias("a"), F.col("o").alias("b"))
     last = follow.where("after is null").select(ref(f"{P}order:", "o_orderkey").alias("node"))
-    return distances(edges, last, 3).groupBy(F.col("distance").cast("long").alias("distance")).agg(F.count("*").alias("n"))
+    return distances(edges, last, max_depth).groupBy(F.col("distance").cast("long").alias("distance")).agg(F.count("*").alias("n"))
 
 
 _add("lineage", lineage, "SELECT k::BIGINT AS distance, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) - 1 AS k FROM orders) WHERE k <= 3 GROUP BY 1")
+_add("lineage_whole", lambda s, d: lineage(s, d, None), "SELECT k::BIGINT AS distance, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) - 1 AS k FROM orders) GROUP BY 1")
 
 # validation
 _SHAPE = f"@prefix : <{P}> . @prefix sh: <{SH}> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> . "
