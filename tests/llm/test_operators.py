@@ -174,6 +174,19 @@ def test_decontaminate(spark, docs, none):
     assert op4_decontaminate.matches(d, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontaminate_finds_masked_passages(spark):
+    """A run of one repeated word in place of part of a passage: few shingles, of large weight, differ."""
+    items = [(k, words(200 + 100 * (k % 4), 7000 + k)) for k in range(24)]
+    data = []
+    for k, text in items:
+        w = text.split()
+        n = len(w) // 9
+        data.append((k, " ".join(w[:40] + ["mask"] * n + w[40 + n :])))
+    got = {(r.doc_id, r.item_id, round(r.similarity, 9)) for r in op4_decontaminate.matches(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(k, k, round(weighted(bag(tokens(text)), bag(tokens(items[k][1]))), 9)) for k, text in data}
+    assert all(s >= 0.75 for _, _, s in want) and got == want
+
+
 def test_top_k(spark):
     r = random.Random(3)
     data = [(k, [r.gauss(0, 1 + k % 3) for _ in range(12)], 0) for k in range(400)] + [(400 + k, [0.5] * 12, 0) for k in range(30)]

@@ -3,8 +3,8 @@
 1. Shingles of five words (items shorter than that: the item as one shingle of its own length) are hashed at every position
    of every text; only windows that share a shingle with some item can be similar to one, so positions are joined with
    the items' shingles and all windows around the hits are built, each as large as the item.
-2. Windows and items get 64-bit SimHash fingerprints. Two bags of one size with a weighted Jaccard of 0.75 differ in 11 bits
-   on average, with a deviation of 3; RADIUS = 23 is four deviations above. The fingerprint is cut into eight bytes: of
+2. Windows and items get 64-bit SimHash fingerprints. Further occurrences of a shingle count as hashes of their own, so the
+   weighted similarity of the bags is that of sets. Two sets of one size with a Jaccard of 0.75 differ in 11 bits on average, with a deviation of 3; RADIUS = 23 is four deviations above. The fingerprint is cut into eight bytes: of
    two within 23 bits, some byte differs in at most two (23 < 3 * 8), so the items' bytes are joined with all 37 variants
    of up to two flipped bits. That gives every pair within the radius.
 3. Pairs within the radius are verified: the exact weighted similarity of the bags of shingles (each shingle weighs as often
@@ -44,7 +44,12 @@ def _shingles(words: str, k: int) -> Column:
 
 
 def _fingerprint(bag: Column) -> Column:
-    """64 bits: each set where most of the bag's hashes have it. Four counters of 16 bits share a long."""
+    """64 bits: each set where most of the tagged bag's hashes have it, so a repeated shingle is as many votes of its own."""
+    return _once(F.when(F.size(bag) <= LANE, _tagged(bag)).otherwise(bag), _majority)
+
+
+def _majority(bag: Column) -> Column:
+    """Each of 64 bits that most of the hashes have. Four counters of 16 bits share a long."""
     n = F.size(bag)
     sums = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda j: F.aggregate(bag, F.lit(0).cast("long"), lambda s, h: s + _shift(h, j).bitwiseAND(F.lit(_LANES))))
     bits = F.transform(sums, lambda s: F.array(*[((F.shiftrightunsigned(s, 16 * k).bitwiseAND(F.lit(0xFFFF)) * 2) > n).cast("long") for k in range(4)]))
@@ -61,8 +66,15 @@ def _left(x: Column, by: Column) -> Column:
 
 def _tagged(bag: Column) -> Column:
     """The bag as a set: further occurrences of a hash become hashes of their own."""
-    tag = F.transform(bag, lambda x, i: F.when(i == F.array_position(bag, x) - 1, x).otherwise(F.xxhash64(x, F.size(F.filter(F.slice(bag, 1, i), lambda y: y == x)))))
-    return F.when(F.size(F.array_distinct(bag)) == F.size(bag), bag).otherwise(tag)
+    def of_sorted(s: Column) -> Column:
+        return F.transform(s, lambda x, i: F.when((i > 0) & (F.get(s, i - 1) == x), F.xxhash64(x, i - F.array_position(s, x) + 1)).otherwise(x))
+
+    return F.when(F.size(F.array_distinct(bag)) == F.size(bag), bag).otherwise(_once(F.sort_array(bag), of_sorted))
+
+
+def _once(x: Column, f) -> Column:
+    """f(x), x being computed once however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
 def _byte(fp: Column, at: Column) -> Column:
