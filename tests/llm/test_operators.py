@@ -276,6 +276,62 @@ def test_suffix_tree(spark, docs, rows, none):
     assert all(math.isfinite(r.score) for r in alone)
 
 
+def test_suffix_tree_keeps_rare_contexts_in_a_large_corpus(spark, rows, monkeypatch):
+    """Every score against the whole tree in dictionaries; contexts that occur twice count however much other text there is."""
+    monkeypatch.setattr(op9_suffix_tree, "BLOCK_TOKENS", 20_000)
+    data = [(r[0], r[1]) for r in rows] + [(2000 + k, "f " * 10_000) for k in range(45)]
+    texts = [(d, ["^", *tokens(t), None]) for d, t in data]
+    count, n1, n2 = Counter(), Counter(), Counter()
+    for d, t in texts:
+        if not out_of(d, 7):
+            count.update(t[1:])
+            n1.update(zip(t, t[1:]))
+            n2.update(zip(t, t[1:], t[2:]))
+    n, v = sum(count.values()), len(count)
+    assert n > 300_000
+    count["^"] = count[None]
+
+    def base(w):
+        return (count[w] + 1) / (n + v + 1)
+
+    def level(grams, size, below):
+        listed = {}
+        for g, c in grams.items():
+            if c >= 2:
+                listed.setdefault(g[:-1], {})[g[-1]] = c
+        out = {}
+        for c, some in listed.items():
+            stored = sum(some.values())
+            spare = max(0, size[c] - stored)
+            gain = sum(x * math.log(x / (stored + spare) / below(c, w)) for w, x in some.items())
+            gain += spare * math.log(spare / (stored + spare) / max(1e-12, 1 - sum(below(c, w) for w in some))) if spare else 0
+            out[c] = [some, stored, spare + len(some), gain > 0.5 * math.log(n) * len(some)]
+        return out
+
+    def smooth(entry, w, p):
+        some, stored, weight, _ = entry
+        return (some.get(w, 0) + weight * p) / (stored + weight)
+
+    one = level(n1, {(a,): c for a, c in count.items()}, lambda c, w: base(w))
+    two = level(n2, n1, lambda c, w: smooth(one[c[1:]], w, base(w)))
+    for c in two:
+        one[c[1:]][3] |= two[c][3]
+    want = []
+    for d, t in texts:
+        score = 0
+        for i in range(1, len(t)):
+            p = base(t[i])
+            if one.get((t[i - 1],), [0] * 4)[3]:
+                p = smooth(one[t[i - 1],], t[i], p)
+                if i > 1 and two.get((t[i - 2], t[i - 1]), [0] * 4)[3]:
+                    p = smooth(two[t[i - 2], t[i - 1]], t[i], p)
+            score += math.log10(p)
+        want.append((d or -1, len(t) - 1, round(score, 5)))
+    got = op9_suffix_tree.score(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id or -1, r.n_tokens, round(r.score, 5)) for r in got) == sorted(want)
+    assert any(x[3] for x in two.values())
+
+
 def test_suffix_tree_is_a_distribution(spark):
     """The probabilities of all next words at a context add up to 1 with the one unseen word."""
     import numpy as np

@@ -1,16 +1,16 @@
 """LM scoring by a probabilistic suffix tree over words.
 
 A text is the sequence of its lower-cased words and one end. The tree's contexts are the last 0 to DEPTH words, with a start before
-the first. A context is a candidate if it has at least the share P_MIN of all training positions; its next-word distribution
-lists the words with at least the share P_SYM of all positions behind it. It is retained if that distribution diverges from
+the first. A context is a candidate if it occurs LEAST times in training; its next-word distribution lists the words that
+occur LEAST times behind it. It is retained if that distribution diverges from
 its longest proper suffix's by more than chance (sum of n * log ratio above half of ln N for each listed word), or if a
 longer retained context ends in it. Distributions are smoothed towards the suffix's, with the weight of what is not listed and as much again as
 words are listed; the root is the base distribution, add one. A token's probability is that of its longest retained suffix.
 
-The shares bound the tree whatever the input (1 / P_MIN contexts and 1 / P_SYM listed words a level), so it is broadcast. What it is
-learned from covers all training texts and grows with them: texts are put into blocks that hold a dictionary of their distinct
-words and the texts as numbers of these; words are counted by shuffle, each block gets the counts of its own words back,
-and each level's contexts are counted in one pass over the blocks.
+The tree grows with the training texts and is never in one place. Texts are put into blocks that hold a dictionary of their
+distinct words and the texts as numbers of these. Words, then pairs, then triples of words are counted by shuffle; each block gets
+back the counts of its own, and what it needs of its contexts, and scores its texts by the part of the tree that they touch.
+A triple is counted only if both its pairs occur LEAST times.
 
 Defined results: null and empty texts, or those without words, are one end. Rows with null doc_id are in training. Rows that
 repeat count as often as they occur. Without training texts N and V are 0. Other columns are ignored, whatever their names. An empty table gives an empty result."""
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from trellis.llm.common import held_out, keep, span_hashes, table, word_spans
 
-FOLDS, DEPTH, P_MIN, P_SYM, LEAST = 7, 2, 1e-5, 1e-6, 2
+FOLDS, DEPTH, LEAST = 7, 2, 2
+#: The end and the start in place of word hashes.
+_END, _START = 1, 2
 #: Tokens after which a block ends.
 BLOCK_TOKENS = 300_000
 #: Stands for null inside a block: pandas would turn longs beside a null into floats.
@@ -87,7 +89,7 @@ class Tree:
         self.symbols: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self.stored: list[np.ndarray] = []
-        self.spare: list[np.ndarray] = []
+        self.weight: list[np.ndarray] = []
         self.kept: list[np.ndarray] = []
 
     def tokens(self, numbers: np.ndarray, idx: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,48 +114,11 @@ class Tree:
             at = np.where((at >= 0) & (far >= 0), found, -1)
             yield at
 
-    def prune(self, base: np.ndarray, total: float) -> None:
-        """Tests the levels' contexts, the longest first; base: the root's probability of each number."""
-        shadow = [np.zeros(len(x)) for x in self.counts]
-        below = self._suffix_probabilities(base, shadow)
-        wanted = [np.zeros(len(c), bool) for c in self.contexts]
-        for k in range(len(self.contexts) - 1, -1, -1):
-            owner, n = self.symbols[k] // self.width, self.counts[k].astype(float)
-            size = self.stored[k] + self.spare[k]
-            gain = np.bincount(owner, n * np.log(n / size[owner] / below[k]), len(size)) if len(n) else np.zeros(len(size))
-            listed = np.bincount(owner, below[k], len(size)) if len(n) else np.zeros(len(size))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                gain += np.where(self.spare[k] > 0, self.spare[k] * np.log(self.spare[k] / size / np.maximum(1e-12, 1 - listed)), 0)
-            kinds = np.bincount(owner, minlength=len(size)) if len(n) else np.zeros(len(size))
-            wanted[k] |= (kinds > 0) & (gain > 0.5 * math.log(max(2.0, total)) * kinds)
-            if k:
-                wanted[k - 1][np.unique(self.contexts[k][wanted[k]] // self.width)] = True
-        self.kept = wanted
-
-    def _suffix_probabilities(self, base: np.ndarray, out: list[np.ndarray]) -> list[np.ndarray]:
-        for k in range(len(self.contexts)):
-            owner, word = self.symbols[k] // self.width, self.symbols[k] % self.width
-            out[k] = base[word]
-            parent = self.contexts[k][owner] // self.width
-            if k:
-                out[k] = self._step(k - 1, parent, word, out[k], out)
-        return out
-
-    def _step(self, k: int, context: np.ndarray, word: np.ndarray, p: np.ndarray, below: list[np.ndarray]) -> np.ndarray:
-        """Probabilities of words at contexts of level k, given those at the root."""
-        chain = [context]
-        for j in range(k, 0, -1):
-            chain.append(self.contexts[j][chain[-1]] // self.width)
-        for j, at in enumerate(reversed(chain)):
-            p = self.smooth(j, at, word, p)
-        return p
-
     def smooth(self, k: int, at: np.ndarray, word: np.ndarray, p: np.ndarray) -> np.ndarray:
         """The smoothed probability of words at contexts of level k, p being that at the suffixes."""
         hit = _find(self.symbols[k], at * self.width + word)
         n = np.where((hit >= 0) & (word >= 0), self.counts[k][np.maximum(hit, 0)] if len(self.counts[k]) else 0, 0)
-        kinds = np.bincount(self.symbols[k] // self.width, minlength=len(self.contexts[k]))
-        weight = (self.spare[k] + kinds)[at]
+        weight = self.weight[k][at]
         return (n + weight * p) / (self.stored[k][at] + weight)
 
     def score(self, numbers: np.ndarray, place: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -166,27 +131,6 @@ class Tree:
         return p
 
 
-def _counts(tree, level: int):
-    """Blocks -> counts in training texts of (context of this level, next word), kind 0, and of (context, word before it), kind 1."""
-
-    def run(batches):
-        t = tree.value
-        for batch in batches:
-            for i in range(batch.num_rows):
-                words, lengths, out = (batch.column(x)[i].values.to_numpy(zero_copy_only=False) for x in ("words", "lengths", "held"))
-                idx = np.frombuffer(batch.column("idx")[i].as_py(), np.uint16 if len(words) <= 65_536 else np.uint32)
-                numbers, place = t.tokens(_find(t.vocab, words), idx, lengths)
-                train = np.repeat(~out.astype(bool), lengths + 1)
-                *_, at = t.walk(numbers, place, level)
-                far = t.back(numbers, place, level + 1)
-                for kind, word in ((0, numbers), (1, far))[: 1 + (level < DEPTH)]:
-                    ok = train & (at >= 0) & (word >= 0)
-                    c, n = np.unique(at[ok] * t.width + word[ok], return_counts=True)  # Spark adds up the blocks
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), kind), pa.int32()), pa.array(c, pa.int64()), pa.array(n, pa.int64())], ["kind", "code", "n"])
-
-    return run
-
-
 def _fill(tree: Tree, level: int, sizes: np.ndarray, rows: pd.DataFrame) -> None:
     """Adds the listed words of a level; sizes: how often each of its contexts occurs."""
     rows = rows.sort_values("code")
@@ -195,74 +139,204 @@ def _fill(tree: Tree, level: int, sizes: np.ndarray, rows: pd.DataFrame) -> None
     tree.symbols.append(codes)
     tree.counts.append(n)
     tree.stored.append(stored)
-    tree.spare.append(np.maximum(0, sizes - stored))
-
-
-def learn(blocks: DataFrame, frequent: pd.DataFrame, n: int, v: int, ends: int, p_min: float = P_MIN, p_sym: float = P_SYM) -> Tree:
-    """blocks and the words with at least the share p_sym (word, total) -> the tree."""
-    spark = blocks.sparkSession
-    frequent = frequent.sort_values("word")
-    tree = Tree(frequent.word.to_numpy(np.int64))
-    counts = np.concatenate([frequent.total.to_numpy(np.int64), [ends, ends]])  # the start is there as often as the end
-    often = np.array([*(counts[:-2] >= max(LEAST, p_min * n)), False, ends >= max(LEAST, p_min * n)], bool)
-    contexts, sizes = np.flatnonzero(often), counts[often]
-    for level in range(1, DEPTH + 1):
-        tree.contexts.append(contexts)
-        found = blocks.select("words", "lengths", "held", "idx").mapInArrow(_counts(spark.sparkContext.broadcast(tree), level), "kind int, code long, n long")
-        found = found.groupBy("kind", "code").agg(F.sum("n").alias("n")).where(F.col("n") >= F.when(F.col("kind") == 0, max(LEAST, p_sym * n)).otherwise(max(LEAST, p_min * n)))
-        found = keep(found, "op9-level").toPandas()  # at most 1 / p_sym and 1 / p_min rows
-        _fill(tree, level, sizes, found[found.kind == 0])
-        following = found[found.kind == 1].sort_values("code")
-        contexts, sizes = following.code.to_numpy(np.int64), following.n.to_numpy(np.int64)
-    tree.prune((counts + 1.0) / (n + v + 1.0), n)
-    return tree
-
-
-def _scored(tree, n: int, v: int, ends: int):
-    def run(block: pd.DataFrame, changed: pd.DataFrame) -> pd.DataFrame:
+    tree.weight.append(np.maximum(0, sizes - stored) + np.bincount(codes // tree.width, minlength=len(sizes)))
+
+
+class _Block:
+    """A block's row with what came back for it: the words' counts, its tokens, its pairs (context, next word) as sorted codes."""
+
+    def __init__(self, r, notes: pd.DataFrame, ends: int):
+        self.notes, self.ends = notes, ends
+        self.words, self.held = np.asarray(r.words, np.int64), np.asarray(r.held, bool)
+        self.lengths, self.count = np.asarray(r.lengths, np.int64), np.array(r.known, np.int64)
+        at, found = self.of(WORD, "n")
+        self.count[at] = found
+        w = len(self.words)
+        self.idx = np.frombuffer(r.idx, np.uint16 if w <= 65_536 else np.uint32)
+        self.tree = Tree(np.arange(w))
+        self.width = self.tree.width
+        self.total = np.append(self.count, [ends, ends])  # the start is there as often as the end
+        self.hashes = np.append(self.words, [_END, _START])
+        self.numbers, self.place = self.tree.tokens(np.where(self.count >= LEAST, np.arange(w), -1), self.idx, self.lengths)
+        self.train = np.repeat(~self.held, self.lengths + 1)
+        prev = self.tree.back(self.numbers, self.place, 1)
+        self.pairs, self.pair_at = self.ranked(prev * self.width + self.numbers, (prev >= 0) & (self.numbers >= 0))
+
+    def of(self, kind: int, *columns: str):
+        rows = self.notes[self.notes.kind == kind]
+        return [rows[x].to_numpy(np.float64 if x == "weight" else np.int64) for x in ("at", *columns)]
+
+    def ranked(self, codes: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct codes where ok, and the place among them of each; -1 where not ok."""
+        found, inverse = np.unique(codes[ok], return_inverse=True)
+        at = np.full(len(codes), -1, np.int64)
+        at[ok] = inverse
+        return found, at
+
+    def trained(self, at: np.ndarray, size: int) -> np.ndarray:
+        return np.bincount(at[(at >= 0) & self.train], minlength=size)
+
+    def counted(self, kind: int, size: int) -> np.ndarray:
+        """The counts of pairs or triples; 0 for those under LEAST."""
+        out = np.zeros(size, np.int64)
+        at, n = self.of(kind, "n")
+        out[at] = n
+        return out
+
+    def triples(self) -> None:
+        """Adds the pairs' counts, and the triples (pair, next word) both of whose pairs are listed."""
+        self.n1 = self.counted(PAIR, len(self.pairs))
+        before = np.where(self.place > 0, np.concatenate([np.full(min(1, len(self.pair_at)), -1, np.int64), self.pair_at[:-1]]), -1)
+        ok = (before >= 0) & (self.pair_at >= 0)
+        ok[ok] = (self.n1[before[ok]] >= LEAST) & (self.n1[self.pair_at[ok]] >= LEAST)
+        self.grams, self.gram_at = self.ranked(before * self.width + self.numbers, ok)
+
+    def first_level(self, start: tuple) -> None:
+        """Adds the contexts of one word to the tree; start: stored, weight and kept of the start."""
+        t, listed = self.tree, self.n1 >= LEAST
+        t.contexts, t.symbols, t.counts = [np.arange(self.width)], [self.pairs[listed]], [self.n1[listed]]
+        at, stored, weight, kept = self.of(FIRST, "stored", "weight", "kept")
+        t.stored, t.weight, t.kept = [self.total.astype(float) * 0], [self.total.astype(float)], [np.zeros(self.width, bool)]
+        for x, found, last in ((t.stored[0], stored, start[0]), (t.weight[0], weight, start[1]), (t.kept[0], kept, start[2])):
+            x[at], x[-1] = found, last
+
+    def second_level(self) -> None:
+        """Adds the retained contexts of two words to the tree."""
+        t = self.tree
+        at, stored, weight = self.of(SECOND, "stored", "weight")
+        codes = self.pairs[at] % self.width * self.width + self.pairs[at] // self.width
+        order = np.argsort(codes)
+        number = np.full(len(self.pairs), -1, np.int64)
+        number[at[order]] = np.arange(len(at))
+        n2 = self.counted(TRIPLE, len(self.grams))
+        owner = number[self.grams // self.width] if len(self.grams) else np.zeros(0, np.int64)
+        listed = (n2 >= LEAST) & (owner >= 0)
+        symbols, counts = owner[listed] * self.width + self.grams[listed] % self.width, n2[listed]
+        by = np.argsort(symbols)
+        for x, found in ((t.contexts, codes[order]), (t.symbols, symbols[by]), (t.counts, counts[by]), (t.stored, stored[order].astype(float)), (t.weight, weight[order]), (t.kept, np.ones(len(at), bool))):
+            x.append(found)
+
+
+#: What comes back to a block: a word's total (n), a pair's and a triple's (n), and a context's of one word and of two (stored, weight, kept).
+WORD, PAIR, TRIPLE, FIRST, SECOND = range(5)
+_NOTE = "block long, kind int, at int, n long, stored long, weight double, kept boolean"
+_PAIR = "block long, at int, a long, w long, n long, size long, below double"
+_TRIPLE = "block long, at int, b long, a long, w long, n long, size long, below double"
+
+
+def _pair_rows(n: int, v: int, ends: int):
+    """A block's pairs (a, w): n in its training texts, the size of a and the base probability of w."""
+
+    def run(block: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({x.split()[0]: [] for x in _PAIR.split(", ")})] if not len(block) else []
+        for r in block.itertuples():
+            b = _Block(r, notes, ends)
+            a, w = b.pairs // b.width, b.pairs % b.width
+            out.append(pd.DataFrame({"block": r.block, "at": np.arange(len(a)), "a": b.hashes[a], "w": b.hashes[w], "n": b.trained(b.pair_at, len(a)), "size": b.total[a], "below": (b.total[w] + 1.0) / (n + v + 1.0)}))
+        return pd.concat(out)
+
+    return run
+
+
+def _triple_rows(n: int, v: int, ends: int, start: tuple):
+    """A block's triples (b, a, w): n in its training texts, the size of (b, a) and the probability of w at a."""
+
+    def run(block: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({x.split()[0]: [] for x in _TRIPLE.split(", ")})] if not len(block) else []
+        for r in block.itertuples():
+            b = _Block(r, notes, ends)
+            b.triples()
+            b.first_level(start)
+            pair, w = b.grams // b.width, b.grams % b.width
+            far, a = (b.pairs[pair] // b.width, b.pairs[pair] % b.width) if len(pair) else (pair, pair)
+            below = b.tree.smooth(0, a, w, (b.total[w] + 1.0) / (n + v + 1.0))
+            out.append(pd.DataFrame({"block": r.block, "at": np.arange(len(w)), "b": b.hashes[far], "a": b.hashes[a], "w": b.hashes[w], "n": b.trained(b.gram_at, len(w)), "size": b.n1[pair] if len(pair) else pair, "below": below}))
+        return pd.concat(out)
+
+    return run
+
+
+def _scored(n: int, v: int, ends: int, start: tuple):
+    def run(block: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({x.split()[0]: [] for x in _OUT.split(", ")})] if not len(block) else []
         for r in block.itertuples():
-            c = np.array(r.known, np.int64)
-            c[changed.at_word.to_numpy(np.int64)] = changed.total.to_numpy(np.int64)
-            lengths, numbers = np.asarray(r.lengths, np.int64), np.full(len(c), -1, np.int64)
-            often = changed[changed.word != _NO_ID]
-            numbers[often.at_word.to_numpy(np.int64)] = _find(tree.value.vocab, often.word.to_numpy(np.int64))
-            idx = np.frombuffer(r.idx, np.uint16 if len(c) <= 65_536 else np.uint32)
-            stop = np.cumsum(lengths + 1)
-            start = stop - lengths - 1
-            counts = np.insert(c[idx] if len(idx) else np.zeros(0, np.int64), np.cumsum(lengths), ends)
+            b = _Block(r, notes, ends)
+            b.triples()
+            b.first_level(start)
+            b.second_level()
+            lengths, c = b.lengths, b.count
+            begin = np.cumsum(lengths + 1) - lengths - 1
+            counts = np.insert(c[b.idx] if len(b.idx) else np.zeros(0, np.int64), np.cumsum(lengths), ends)
             p = (counts + 1.0) / (n + v + 1.0)
-            base = np.add.reduceat(np.log10(p), start)
-            numbers, place = tree.value.tokens(numbers, idx, lengths)
-            score = np.add.reduceat(np.log10(tree.value.score(numbers, place, p)), start)
-            seen = np.add.reduceat((counts > 0).astype(np.int64), start)
+            base = np.add.reduceat(np.log10(p), begin)
+            score = np.add.reduceat(np.log10(b.tree.score(b.numbers, b.place, p)), begin)
+            seen = np.add.reduceat((counts > 0).astype(np.int64), begin)
             out.append(pd.DataFrame({"doc_id": pd.array([None if x == _NO_ID else x for x in r.docs], "Int64"), "held_out": r.held, "n_tokens": lengths + 1, "n_known": seen, "train_tokens": n, "base_score": base, "score": score}))
         return pd.concat(out)
 
     return run
 
 
-def score(docs: DataFrame, p_min: float = P_MIN, p_sym: float = P_SYM) -> DataFrame:
+def _notes(df: DataFrame, kind: int) -> DataFrame:
+    """df as rows of _NOTE, null where it has no such column."""
+    out = [F.lit(kind).alias("kind") if x.split()[0] == "kind" else (F.col(x.split()[0]) if x.split()[0] in df.columns else F.lit(None)).cast(x.split()[1]).alias(x.split()[0]) for x in _NOTE.split(", ")]
+    return df.select(*out)
+
+
+def _totals(rows: DataFrame, key: list[str], label: str, once: list[str]) -> DataFrame:
+    """Rows of the blocks -> those whose key occurs LEAST times in all, with n that total and first on one row of each key; the columns once are on that row alone."""
+    # A key is in a block once, so no key holds more rows than there are blocks.
+    by = Window.partitionBy(*key).orderBy("block")
+    total, first = F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lag("block").over(by).isNull()
+    out = rows.withColumns({"n": total, "first": first}).where(F.col("n") >= LEAST)
+    return keep(out.withColumns({x: F.when(F.col("first"), F.col(x)) for x in once}), label)
+
+
+def _contexts(listed: DataFrame, key: list[str], n: int) -> DataFrame:
+    """Listed words of contexts, once each -> key, stored, weight, kept: whether the context diverges from its suffix."""
+    count = F.col("n").cast("double")
+    sums = listed.where("first").groupBy(*key).agg(F.sum("n").alias("stored"), F.count("*").alias("kinds"), F.first("size").alias("size"), F.sum(count * F.log(count / F.col("below"))).alias("gain"), F.sum("below").alias("listed"))
+    spare = F.greatest(F.lit(0), F.col("size") - F.col("stored")).cast("double")
+    whole = F.col("stored") + spare
+    rest = F.when(spare > 0, spare * F.log(spare / whole / F.greatest(F.lit(1e-12), 1 - F.col("listed")))).otherwise(0.0)
+    gain = F.col("gain") - F.col("stored") * F.log(whole) + rest
+    return sums.select(*key, "stored", (spare + F.col("kinds")).alias("weight"), (gain > 0.5 * math.log(max(2.0, n)) * F.col("kinds")).alias("kept"))
+
+
+def score(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id"), FOLDS).alias("held_out"))
     blocks = keep(mine.mapInArrow(_blocks, _BLOCK), "op9-blocks")
     sizes = blocks.agg(F.sum(F.aggregate("known", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"), F.sum(F.size(F.filter("held", lambda x: ~x))).alias("ends")).first()
     ends = sizes["ends"] or 0
     n = (sizes["n"] or 0) + ends
-    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "known")).alias("at_word", "w")).select("block", "at_word", F.col("w.words").alias("word"), F.col("w.known").alias("known"))
+    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "known")).alias("at", "w")).select("block", "at", F.col("w.words").alias("word"), F.col("w.known").alias("known"))
     # A word is in a block once, so no word holds more rows than there are blocks.
     total, first = F.sum("known").over(Window.partitionBy("word")), F.lag("block").over(Window.partitionBy("word").orderBy("block")).isNull()
-    counted = words.select("block", "at_word", "word", "known", total.alias("total"), first.alias("first"))
+    counted = words.select("block", "at", "known", total.alias("n"), first.alias("first"))
     distinct = Observation()
-    counted = counted.observe(distinct, F.count_if(F.col("first") & (F.col("total") > 0)).alias("v"))
-    often = F.col("total") >= max(LEAST, p_sym * n)
-    counted = keep(counted.where((F.col("total") != F.col("known")) | often).select("block", "at_word", F.when(often, F.col("word")).otherwise(_NO_ID).alias("word"), (often & F.col("first")).alias("first"), "total"), "op9-counts")
+    counted = counted.observe(distinct, F.count_if(F.col("first") & (F.col("n") > 0)).alias("v"))
+    notes = keep(_notes(counted.where(F.col("n") != F.col("known")), WORD), "op9-counts")
     v = (distinct.get["v"] if sizes["ends"] is not None else 0) + (ends > 0)
-    frequent = counted.where("first").select("word", "total").toPandas()  # at most 1 / p_sym rows
-    tree = learn(blocks, frequent, n, v, ends, p_min, p_sym)
-    changed = counted.select("block", "at_word", "word", "total").groupBy("block")
-    return blocks.drop("words").groupBy("block").cogroup(changed).applyInPandas(_scored(spark.sparkContext.broadcast(tree), n, v, ends), _OUT)
+
+    def told(notes: DataFrame, run, kind: str) -> DataFrame:
+        return blocks.groupBy("block").cogroup(notes.groupBy("block")).applyInPandas(run, kind)
+
+    pairs = _totals(told(notes, _pair_rows(n, v, ends), _PAIR), ["a", "w"], "op9-pairs", ["size", "below"])
+    one = keep(_contexts(pairs, ["a"], n), "op9-contexts")
+    places = words.select("block", "at", F.col("word").alias("a"))
+    found = one.where(F.col("a") == _START).first()
+    start = (found["stored"], found["weight"], found["kept"]) if found else (0, float(ends), False)
+    counts = notes.unionByName(_notes(pairs, PAIR))
+    notes = counts.unionByName(_notes(places.join(one, "a"), FIRST))
+    triples = _totals(told(notes, _triple_rows(n, v, ends, start), _TRIPLE), ["b", "a", "w"], "op9-triples", ["b", "a", "w", "size", "below"])
+    two = keep(_contexts(triples, ["b", "a"], n).where("kept"), "op9-contexts")
+    # A context that a longer retained one ends in is retained.
+    ending = two.select("a").distinct().withColumn("ends", F.lit(True))
+    one = keep(one.join(ending, "a", "left").withColumn("kept", F.col("kept") | F.coalesce("ends", F.lit(False))).drop("ends"), "op9-contexts")
+    owned = pairs.select("block", "at", F.col("a").alias("b"), F.col("w").alias("a")).join(two, ["b", "a"])
+    notes = counts.unionByName(_notes(places.join(one, "a"), FIRST)).unionByName(_notes(owned, SECOND)).unionByName(_notes(triples, TRIPLE))
+    return told(notes, _scored(n, v, ends, start), _OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
