@@ -74,6 +74,14 @@ def test_near_dedup(docs, rows, none):
     assert op1_minhash.near_duplicates(none).count() == 0
 
 
+def test_representatives_keep_unrelated_texts_of_one_id(spark):
+    a, b, c = words(40, 1), words(40, 2), words(40, 3)
+    data = [(1, a), (1, b), (1, b), (1, ""), (1, f"{a} x"), (2, f"{b} x"), (2, c), (3, c), (None, a)]
+    got = Counter((r.doc_id, r.text) for r in op1_minhash.representatives(spark.createDataFrame(data, "doc_id long, text string")).collect())
+    first = [x for x in (a, f"{a} x") if (1, x) in got]
+    assert len(first) == 1 and got == Counter([(1, first[0]), (1, b), (1, ""), (2, c), (None, a)])
+
+
 def test_large_bucket_is_compared_in_blocks(spark, monkeypatch):
     """Texts that share half their words with all others fill buckets; near pairs among them must be found."""
     monkeypatch.setattr(op1_minhash, "SPLIT", 8)

@@ -179,7 +179,7 @@ def _compared(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_shingles, component_id, kept, text_hash, for every row."""
+    """(doc_id, text) -> doc_id, n_shingles, component_id, kept, text_hash, root (of the text's component), for every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     feats = keep(docs.mapInArrow(_features, "doc_id long, text_hash long, n long, nid long, hi long, chunks array<long>"), "op1-features")
     known = feats.where("n > 0 and doc_id is not null")
@@ -210,25 +210,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         roots = keep(components(edges.unionByName(more)), "op1-roots")
     root = nodes.select("nid", "hi", "doc_id").join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("nid", "hi", "doc_id", F.coalesce("root", "nid").alias("root"))
-    named = root.join(root.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("nid", "hi", "component_id")
-    rest = feats.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash")
-    linked = known.join(named, ["nid", "hi"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_hash")
-    return linked.unionByName(rest).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash")
+    named = root.join(root.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("nid", "hi", "root", "component_id")
+    rest = feats.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash", F.col("text_hash").alias("root"))
+    linked = known.join(named, ["nid", "hi"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_hash", "root")
+    return linked.unionByName(rest).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash", "root")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The documents with one of each group kept, all their columns; of rows that share a kept doc_id, one. Rows without doc_id stay."""
+    """The documents with one of each group kept, all their columns. Rows that share a kept doc_id stay if their texts are of different
+    components; of those of one, the text with the least hash stays, once. Rows without doc_id stay."""
     judged = keep(near_duplicates(docs), "op1-judged")
-    gone = judged.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    gone = judged.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    kept = judged.where("kept and doc_id is not null")
+    repeated = not kept.groupBy("doc_id").count().where("count > 1").isEmpty()
+    if repeated:
+        least = kept.groupBy("doc_id", "root").agg(F.min("text_hash").alias("_least"))
+        gone = gone.unionByName(kept.join(least, ["doc_id", "root"]).where("text_hash <> _least").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
     found = (F.col("doc_id") == F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_hash"))
-    out = docs.join(broadcast_up_to(gone, BROADCAST_IDS), found, "left_anti")
-    if judged.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+    out = docs.join(broadcast_up_to(gone.distinct(), BROADCAST_IDS), found, "left_anti")
+    if not repeated:
         return out
-    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    return out.where("doc_id is not null").withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash").unionByName(out.where("doc_id is null"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash", "root")
 
 
 SQL = r"""
