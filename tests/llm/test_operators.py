@@ -136,6 +136,23 @@ def test_mix(docs, rows, none):
     assert op2_mix.mix(none).count() == 0
 
 
+def test_mixture_counts_rows_without_or_with_shared_ids(spark):
+    """Sources of null and of repeated ids are cut and repeated like others; a cut text keeps its line breaks."""
+    import corpus_pipeline
+
+    data = [(None, f" l{k}\n\nm{k}\t\tn  o\np ", "a") for k in range(40)] + [(k // 4, words(30, k), "b") for k in range(40)] + [(100 + k, words(9, k), "c") for k in range(20)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    target = {("abc"[k]): t for k, t in enumerate(r.target for r in op2_mix.targets(docs.groupBy("source").agg(op2_mix.F.sum(op2_mix.n_words(op2_mix.F.col("text"))).alias("source_size"))).orderBy("source").collect())}
+    got, whole = Counter(), {x[1] for x in data}
+    made = dict(corpus_pipeline.STAGES)["mix_sources"](spark, docs, "").collect()
+    for r in made:
+        got[r.source] += len(tokens(r.text))
+    assert got == {s: math.floor(t) for s, t in target.items()}
+    cut = [r.text for r in made if r.text not in whole]
+    assert len(cut) <= 3 and all(any(x.startswith(t) for x in whole) for t in cut)
+    assert [r[0] for r in spark.createDataFrame([(" a\n\nb\tc  ",)], "t string").select(*[op2_mix.first_words(op2_mix.F.col("t"), op2_mix.F.lit(2))]).collect()] == [" a\n\nb"]
+
+
 def test_line_dedup(spark, docs, rows, none):
     data = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc\ny"), (3, "b\nc\nd\nb\nc\nd"), (4, "a\nb"), (5, None), (6, ""), (7, "\n\n\n\n"), (None, "a\nb\nc"), (8, "q\nq\nq\nq\nq")]
     got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in op3_lines.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}

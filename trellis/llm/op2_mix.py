@@ -45,30 +45,27 @@ def _taken(size: Column, before: Column, source_size: Column, target: Column) ->
     return (epochs * size + F.greatest(F.lit(0), F.least(size, left - before))).cast("long")
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """(doc_id, text, source) -> doc_id, size, source_size, target, taken."""
-    sized = keep(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), hash_bits(F.col("doc_id"), seed).alias("_key")), "op2-sizes")
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: str = SEED, row: str | None = None) -> DataFrame:
+    """(doc_id, text, source) -> doc_id, size, source_size, target, taken, and the column row if one is named."""
+    own = [F.col(row).alias("_row")] if row else []
+    sized = keep(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), hash_bits(F.col("doc_id"), seed).alias("_key"), *own), "op2-sizes")
     shares = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     shares = keep(shares, "op2-targets").withColumnRenamed("source", "_of")
-    running = prefix_sums(sized, "source", "_key", ["doc_id"], F.col("size"), "before")
+    running = prefix_sums(sized, "source", "_key", ["doc_id", "_row"] if row else ["doc_id"], F.col("size"), "before")
     out = running.join(shares, F.col("source").eqNullSafe(F.col("_of")))
-    return out.select("doc_id", "size", "source_size", "target", _taken(F.col("size"), F.col("before"), F.col("source_size"), F.col("target")).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", _taken(F.col("size"), F.col("before"), F.col("source_size"), F.col("target")).alias("taken"), *([F.col("_row").alias(row)] if row else []))
 
 
 def first_words(text: Column, n: Column) -> Column:
-    """The text up to the end of its n-th word."""
-    words = F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
-    return F.array_join(F.slice(words, 1, n.cast("int")), " ")
+    """The text up to the end of its n-th word, as it stands there."""
+    return F.array_join(F.slice(F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, n.cast("int")), "")
 
 
-def materialize(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it is taken whole, and the one at a cut once more with its first words.
-
-    mixed: what mix() gives for docs. Rows without a doc_id, or that share one, are left as they are: no count is theirs alone."""
-    counts = mixed.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"), F.first("size").alias("_size"), F.first("taken").alias("_taken"))
-    joined = docs.join(counts, F.col("doc_id") == F.col("_id"), "left")
-    whole = F.when(F.coalesce(F.col("_rows"), F.lit(2)) != 1, F.lit(1)).when(F.col("_size") == 0, F.lit(1)).otherwise(F.floor(F.col("_taken") / F.col("_size")))
-    part = F.when((F.col("_rows") == 1) & (F.col("_size") > 0), F.col("_taken") % F.col("_size")).otherwise(0)
+def _written(joined: DataFrame, docs: DataFrame, counted: Column) -> DataFrame:
+    """Rows with _size and _taken -> each as often as it is taken whole, and its first words once more; where not counted or without words, as it is."""
+    usual = counted & (F.col("_size") > 0)
+    whole = F.when(usual, F.floor(F.col("_taken") / F.col("_size"))).otherwise(F.lit(1))
+    part = F.when(usual, F.col("_taken") % F.col("_size")).otherwise(0)
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when(part > 0, F.array(part.cast("long"))).otherwise(F.array().cast("array<bigint>")))
     dealt = joined.withColumn("_words", F.explode(copies))
     text = F.when(F.col("_words") >= 0, first_words(F.col("text"), F.col("_words"))).otherwise(F.col("text"))
@@ -78,6 +75,25 @@ def materialize(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     return out.select(*docs.columns)
 
 
+def materialize(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The mix itself: each document as often as it is taken whole, and the one at a cut once more with its first words.
+
+    mixed: what mix() gives for docs. Rows without a doc_id, or that share one, are left as they are: no count is theirs alone.
+    mixture() counts them too."""
+    counts = mixed.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"), F.first("size").alias("_size"), F.first("taken").alias("_taken"))
+    joined = docs.join(counts, F.col("doc_id") == F.col("_id"), "left")
+    return _written(joined, docs, F.coalesce(F.col("_rows"), F.lit(0)) == 1)
+
+
+def mixture(docs: DataFrame) -> DataFrame:
+    """The mix itself for all rows, whatever their doc_ids: the rows get numbers that are written once, and each its own count.
+
+    Documents without words have no share in any target and are written once."""
+    numbered = keep(docs.withColumn("_number", F.monotonically_increasing_id()), "op2-rows")
+    counts = mix(numbered, row="_number").select(F.col("_number").alias("_of"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    return _written(numbered.join(counts, F.col("_number") == F.col("_of")), docs, F.lit(True))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
