@@ -212,6 +212,18 @@ def test_decontaminate_finds_masked_passages(spark):
     assert all(s >= 0.75 for _, _, s in want) and got == want
 
 
+def test_decontaminate_verifies_all_texts_of_an_item(spark):
+    """Variants under one item_id, as long as each other and all near the passage in fingerprint; only one is similar enough."""
+    items, data = [], []
+    for k in range(12):
+        w = words(60, 8000 + k).split()
+        data.append((k, " ".join(w)))
+        items.append((k, " ".join([*w[:30], "other", *w[31:]])))
+        items += [(k, " ".join([*w[:20], f"v{v}", *w[21:40], f"u{v}", *w[41:]])) for v in range(6)]
+    got = {r.doc_id: (r.item_id, round(r.similarity, 9)) for r in op4_decontaminate.matches(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {k: (k, round(51 / 61, 9)) for k in range(12)}
+
+
 def test_top_k(spark):
     r = random.Random(3)
     data = [(k, [r.gauss(0, 1 + k % 3) for _ in range(12)], 0) for k in range(400)] + [(400 + k, [0.5] * 12, 0) for k in range(30)]

@@ -114,7 +114,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     offered = bags.select("item_id", "k", "m", "fp", "bag", F.explode(at).alias("at"))
     offered = offered.withColumn("byte", F.explode(F.when(F.col("at") < 0, F.array(F.lit(0).cast("long"))).otherwise(F.transform(flips, lambda x: x.bitwiseXOR(_byte(F.col("fp"), F.greatest(F.col("at"), F.lit(0))))))))
     near = asked.join(offered.select("item_id", "k", "m", "fp", "at", "byte"), ["k", "m", "at", "byte"]).where((F.col("at") < 0) | (F.bit_count(F.col("fp").bitwiseXOR(F.col("wfp"))) <= RADIUS))
-    near = near.dropDuplicates(["t1", "t2", "k", "m", "start", "item_id"]).join(bags.select("item_id", F.col("bag").alias("bag"), F.col("k").alias("_k"), F.col("m").alias("_m"), F.col("fp").alias("_fp")), ["item_id"]).where("k = _k and m = _m and fp = _fp")
+    near = near.dropDuplicates(["t1", "t2", "k", "m", "start", "item_id", "fp"]).join(bags.select("item_id", F.col("bag").alias("bag"), F.col("k").alias("_k"), F.col("m").alias("_m"), F.col("fp").alias("_fp")), ["item_id"]).where("k = _k and m = _m and fp = _fp")
     both = F.size(F.array_intersect(_tagged(F.col("win")), _tagged(F.col("bag"))))
     near = near.withColumn("both", both).withColumn("all", F.size("win") + F.col("m") - F.col("both")).where(F.col("both") * 100 >= F.col("all") * 75)
     best = near.groupBy("t1", "t2", "item_id").agg(F.max(F.struct((F.col("both") / F.col("all")).alias("similarity"), (-F.col("start")).alias("start"), (F.col("m") + F.col("k") - 1).alias("words"))).alias("b"))
