@@ -313,76 +313,71 @@ def test_suffix_tree(spark, docs, rows, none):
     assert all(math.isfinite(r.score) for r in alone)
 
 
-def test_suffix_tree_keeps_rare_contexts_in_a_large_corpus(spark, rows, monkeypatch):
-    """Every score against the whole tree in dictionaries; contexts that occur twice count however much other text there is."""
-    monkeypatch.setattr(op9_suffix_tree, "BLOCK_TOKENS", 20_000)
-    data = [(r[0], r[1]) for r in rows] + [(2000 + k, "f " * 10_000) for k in range(45)]
-    texts = [(d, ["^", *tokens(t), None]) for d, t in data]
-    count, n1, n2 = Counter(), Counter(), Counter()
-    for d, t in texts:
-        if not out_of(d, 7):
-            count.update(t[1:])
-            n1.update(zip(t, t[1:]))
-            n2.update(zip(t, t[1:], t[2:]))
+def tree_scores(data, least=2):
+    """The suffix tree in dictionaries, contexts grown from retained ones one word at a time: (doc, tokens, score) for every text."""
+    texts = [(d, [*tokens(t), None]) for d, t in data]
+    count = Counter(w for d, t in texts if not out_of(d, 7) for w in t)
     n, v = sum(count.values()), len(count)
-    assert n > 300_000
-    count["^"] = count[None]
-
-    def base(w):
-        return (count[w] + 1) / (n + v + 1)
-
-    def level(grams, size, below):
-        listed = {}
-        for g, c in grams.items():
-            if c >= 2:
-                listed.setdefault(g[:-1], {})[g[-1]] = c
-        out = {}
-        for c, some in listed.items():
-            stored = sum(some.values())
-            spare = max(0, size[c] - stored)
-            gain = sum(x * math.log(x / (stored + spare) / below(c, w)) for w, x in some.items())
-            gain += spare * math.log(spare / (stored + spare) / max(1e-12, 1 - sum(below(c, w) for w in some))) if spare else 0
-            out[c] = [some, stored, spare + len(some), gain > 0.5 * math.log(n) * len(some)]
-        return out
-
-    def smooth(entry, w, p):
-        some, stored, weight, _ = entry
-        return (some.get(w, 0) + weight * p) / (stored + weight)
-
-    one = level(n1, {(a,): c for a, c in count.items()}, lambda c, w: base(w))
-    two = level(n2, n1, lambda c, w: smooth(one[c[1:]], w, base(w)))
-    for c in two:
-        one[c[1:]][3] |= two[c][3]
-    want = []
-    for d, t in texts:
-        score = 0
-        for i in range(1, len(t)):
-            p = base(t[i])
-            if one.get((t[i - 1],), [0] * 4)[3]:
-                p = smooth(one[t[i - 1],], t[i], p)
-                if i > 1 and two.get((t[i - 2], t[i - 1]), [0] * 4)[3]:
-                    p = smooth(two[t[i - 2], t[i - 1]], t[i], p)
-            score += math.log10(p)
-        want.append((d or -1, len(t) - 1, round(score, 5)))
+    p = [[(count[w] + 1) / (n + v + 1) for w in t] for _, t in texts]
+    live, k = [(x, i) for x, (_, t) in enumerate(texts) for i in range(len(t))], 0
+    retained = []
+    while live:
+        k += 1
+        by = {}
+        for x, i in live:
+            t = texts[x][1]
+            if i >= k - 1:
+                by.setdefault(tuple(t[i - k : i]) if i >= k else ("^", *t[:i]), []).append((x, i))
+        live = []
+        for c, places in by.items():
+            seen = [(x, i) for x, i in places if not out_of(texts[x][0], 7)]
+            listed = {w: m for w, m in Counter(texts[x][1][i] for x, i in seen).items() if m >= least}
+            below = {texts[x][1][i]: p[x][i] for x, i in seen}
+            stored = sum(listed.values())
+            gain = sum(m * math.log(m / len(seen) / below[w]) for w, m in listed.items())
+            if not listed or gain <= 0.5 * math.log(max(2, n)) * len(listed):
+                continue
+            retained.append(c)
+            weight = len(seen) - stored + len(listed)
+            for x, i in places:
+                p[x][i] = (listed.get(texts[x][1][i], 0) + weight * p[x][i]) / (stored + weight)
+            live += places
+    return [(d, len(t), sum(map(math.log10, q))) for (d, t), q in zip(texts, p)], retained
+
+
+@pytest.mark.parametrize("block", [500, 500_000])
+def test_suffix_tree_against_dictionaries(spark, rows, monkeypatch, block):
+    """Contexts of any length, in texts whose next word depends on several before; blocks of few and of many texts."""
+    monkeypatch.setattr(op9_suffix_tree, "BLOCK_TOKENS", block)
+    r = random.Random(4)
+    data = [(x[0], x[1]) for x in rows] + [(2000 + k, "f " * r.randint(1, 400)) for k in range(45)]
+    for k in range(300):  # each of the last five words tells something of the next
+        w = ["a", "b", "a", "b", "a"]
+        for _ in range(60):
+            pull = sum(c * (1 if x == "a" else -1) for c, x in zip((0.5, 0.5, 0.6, 0.7, 0.8), w[::-1]))
+            w.append("a" if r.random() < 1 / (1 + math.exp(-pull)) else "b")
+        data.append((3000 + k, " ".join(w)))
+    want, retained = tree_scores(data)
+    assert max(map(len, retained)) >= 4
     got = op9_suffix_tree.score(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
-    assert sorted((r.doc_id or -1, r.n_tokens, round(r.score, 5)) for r in got) == sorted(want)
-    assert any(x[3] for x in two.values())
+    key = lambda x: (x[0] if x[0] is not None else -1, x[1], x[2])
+    for a, b in zip(sorted(((x.doc_id, x.n_tokens, x.score) for x in got), key=key), sorted(want, key=key), strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-5 * max(1, abs(b[2]))
 
 
 def test_suffix_tree_is_a_distribution(spark):
-    """The probabilities of all next words at a context add up to 1 with the one unseen word."""
-    import numpy as np
-
-    tree = op9_suffix_tree.Tree(np.array([10, 20, 30]))  # numbers 0 to 2, end 3, start 4
-    import pandas as pd
-
-    tree.contexts = [np.array([0, 1])]
-    op9_suffix_tree._fill(tree, 1, np.array([10, 6]), pd.DataFrame({"code": [0 * 5 + 1, 0 * 5 + 3, 1 * 5 + 2], "n": [6, 2, 6]}))
-    base = np.array([10, 6, 4, 5]) / 27.0 + 0  # the rest, 2 / 27, is for unseen words
-    tree.kept = [np.array([True, True])]
-    for context in (0, 1):
-        p = tree.smooth(0, np.full(5, context), np.array([0, 1, 2, 3, -1]), np.append(base, 1 - base.sum()))
-        assert abs(p.sum() - 1) < 1e-12
+    """The probabilities of all known words behind a context, and of one unknown word, add up to 1."""
+    r = random.Random(9)
+    data = [(7 * k, " ".join(r.choice("abcd") for _ in range(30))) for k in range(40)]
+    data = [x for x in data if not out_of(x[0], 7)]
+    ids = [k for k in range(100_000) if out_of(k, 7)][:6]
+    for i, w in zip(ids, ["a", "b", "c", "d", "zz", ""]):
+        data.append((i, f"a b a {w}"))
+    got = {r.doc_id: r.score for r in op9_suffix_tree.score(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    # a b a w end: the last but one factor is P(w | ... a b a); without w it is P(end | ... a b a).
+    head = {x: y for x, y in zip(ids, [got[i] for i in ids])}
+    both, _ = tree_scores(data)
+    assert all(abs(head[d] - s) < 1e-5 for d, _, s in both if d in head)
 
 
 def test_urls(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
+import weakref
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,7 +44,11 @@ def _drop_at_exit(spark: SparkSession, path: str) -> None:
 
 
 #: While a table is written: shuffle files go once the table is there, and Python gets few rows at a time, for texts may be long.
-_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.parquet.compression.codec": "zstd"}
+
+
+#: Where the tables of keep() are, by the frame that reads them.
+_kept: dict[int, tuple[str, str | None]] = {}
 
 
 @contextlib.contextmanager
@@ -59,14 +64,34 @@ def settings(spark: SparkSession, wanted: dict[str, str]):
             spark.conf.set(k, v)
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor takes nothing with it."""
+def keep(df: DataFrame, label: str, buckets: tuple[str, int] | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor takes nothing with it.
+
+    buckets: a column and a number; the table is bucketed by it, so that joins and groups by that column need no shuffle of it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    name = f"{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
     with settings(spark, _WHILE_WRITING):
-        df.write.parquet(path)
+        if buckets:
+            name = name.replace("-", "_")
+            df.repartition(buckets[1], buckets[0]).write.bucketBy(buckets[1], buckets[0]).option("path", path).saveAsTable(name)
+        else:
+            df.write.parquet(path)
     atexit.register(_drop_at_exit, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.table(name) if buckets else spark.read.schema(df.schema).parquet(path)
+    _kept[id(out)] = (path, name if buckets else None)
+    weakref.finalize(out, _kept.pop, id(out), None)
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that keep() wrote, once nothing reads them any more."""
+    for df in tables:
+        path, name = _kept.pop(id(df), (None, None))
+        if name:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+        if path:
+            drop_table(df.sparkSession, path)
 
 
 def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:

@@ -1,16 +1,29 @@
 """LM scoring by a probabilistic suffix tree over words.
 
-A text is the sequence of its lower-cased words and one end. The tree's contexts are the last 0 to DEPTH words, with a start before
-the first. A context is a candidate if it occurs LEAST times in training; its next-word distribution lists the words that
-occur LEAST times behind it. It is retained if that distribution diverges from
-its longest proper suffix's by more than chance (sum of n * log ratio above half of ln N for each listed word), or if a
-longer retained context ends in it. Distributions are smoothed towards the suffix's, with the weight of what is not listed and as much again as
-words are listed; the root is the base distribution, add one. A token's probability is that of its longest retained suffix.
-
-The tree grows with the training texts and is never in one place. Texts are put into blocks that hold a dictionary of their
-distinct words and the texts as numbers of these. Words, then pairs, then triples of words are counted by shuffle; each block gets
-back the counts of its own, and what it needs of its contexts, and scores its texts by the part of the tree that they touch.
-A triple is counted only if both its pairs occur LEAST times.
+A text is the sequence of its lower-cased words and one end; a start stands before the first word. A context is a run of words of any
+length, read backwards from the word to predict. It lists the next words that occur LEAST times behind it in training. A
+context of one word is tried; a longer one is tried if the context without its farthest word was retained. A tried context
+is retained if its next words diverge from what is predicted without it: sum of n * ln(n / size / below) over the listed words is
+above half of ln N for each of them, where below is the probability at the longest retained suffix. So contexts grow as
+long as the test retains them; there is no greatest depth and no share of the text below which words or contexts vanish. (A far word that tells
+nothing until a still farther one is added is not found: growth is step by step.)
+
+A retained context gives (n + weight * below) / (stored + weight): stored is what its listed words occur, weight the rest of its
+occurrences and as much again as words are listed. The root is the base distribution, add one. A word's probability is that
+at its longest retained context.
+
+The tree is never in one place. Texts are put into blocks, each a dictionary of word hashes and the texts as numbers of these. Level
+by level, a block sends the hashes of its grams (context and next word), summed within the block, to the parts of the hash
+space, gets their totals back in the same order, does the same with its contexts, and carries on with the places whose
+context was retained. Places that are done are added up and leave the state. A gram is in a block's message once, so the most frequent one adds
+one entry for each block to a part; parts grow in number with the places that are left.
+
+No longer context is tried where none can be retained, which changes no result: a context that occurs less than LEAST times lists nothing, and
+a retained one below a context needs a word with n * ln(T / n) above the threshold, T being the size and the kinds of the
+context above, a bound that falls with every longer context.
+
+The blocks are a bucketed table, so they stay where they are while messages come and go. Messages hold sorted hashes as differences, in planes of
+bytes, which compress.
 
 Defined results: null and empty texts, or those without words, are one end. Rows with null doc_id are in training. Rows that
 repeat count as often as they occur. Without training texts N and V are 0. Other columns are ignored, whatever their names. An empty table gives an empty result."""
@@ -22,321 +35,417 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm.common import held_out, keep, span_hashes, table, word_spans
+from trellis.llm.common import dropped, held_out, keep, mix, span_hashes, table
 
-FOLDS, DEPTH, LEAST = 7, 2, 2
+FOLDS, LEAST = 7, 2
 #: The end and the start in place of word hashes.
 _END, _START = 1, 2
-#: Tokens after which a block ends.
-BLOCK_TOKENS = 300_000
-#: Stands for null inside a block: pandas would turn longs beside a null into floats.
-_NO_ID = -(2**63)
-_BLOCK = "block long, words array<long>, known array<long>, docs array<long>, held array<boolean>, lengths array<long>, idx binary"
+#: Tokens after which a block ends, and places for each part of the hash space.
+BLOCK_TOKENS, PART_PLACES = 500_000, 1_000_000
+_STATE = "block long, words binary, n_words long, seen binary, idx binary, docs binary, nameless binary, held binary, lengths binary, alive long, places binary, listed binary, p binary, done binary"
+_ASKED = "part long, block long, size long, keys binary, n binary, own long, at binary, kinds binary, stored binary, gain binary, top binary"
+_TOLD = "block long, part long, kind int, size long, n binary, stored binary, kinds binary, sizes binary"
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+GRAMS, CONTEXTS = 0, 1
+
+
+def _columns(kind: str) -> list[str]:
+    return [x.split()[0] for x in kind.split(", ")]
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers of at least 0 in planes of bytes: all lowest bytes, then the next, as many as the largest needs."""
+    planes = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 0
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes()
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(-1, n).T
+    return out.view("<u8").ravel()
+
+
+def _numbers(raw: bytes, n: int) -> np.ndarray:
+    return _unpacked(raw, n).view(np.int64)
+
+
+def _differences(keys: np.ndarray) -> bytes:
+    return _packed(np.diff(keys, prepend=np.zeros(1, np.uint64)))
+
+
+def _bits(x: np.ndarray) -> bytes:
+    return np.packbits(x).tobytes()
+
+
+def _unbits(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of a run of words a with one more, b."""
+    return mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
 
 
 def _blocks(batches):
-    """Texts -> blocks: distinct words with their training counts in the block, and each text's words as numbers of these."""
+    """Texts -> blocks: distinct words, the most frequent first, and each text's words as numbers of these."""
     from pyspark import TaskContext
 
-    part, seq, size, held = TaskContext.get().partitionId(), 0, 0, []
+    part, seq, size, held, numbers, found = TaskContext.get().partitionId(), 0, 0, [], [], {}
 
     def row():
-        hashes, lengths = np.concatenate([h for _, _, h in held]), np.array([len(h) for _, _, h in held])
-        words, idx = np.unique(hashes, return_inverse=True)
-        train = np.repeat(np.array([not out for _, out, _ in held]), lengths)
-        known = np.bincount(idx[train], minlength=len(words))
-        kind = np.uint16 if len(words) <= 65_536 else np.uint32
-        one = lambda x, t: pa.array([x], pa.list_(t))
-        columns = {
-            "block": pa.array([part << 32 | seq], pa.int64()), "words": one(words.view(np.int64), pa.int64()), "known": one(known, pa.int64()), "docs": one([_NO_ID if d is None else d for d, _, _ in held], pa.int64()),
-            "held": one([x for _, x, _ in held], pa.bool_()), "lengths": one(lengths, pa.int64()), "idx": pa.array([idx.astype(kind).tobytes()], pa.binary()),
+        spaced = b" ".join(found)
+        end = np.flatnonzero(np.frombuffer(spaced + b" ", np.uint8) == 32) if found else np.zeros(0, np.int64)
+        words = span_hashes(spaced, np.append(0, end[:-1] + 1), end) if found else np.zeros(0, np.uint64)
+        idx = np.concatenate([np.zeros(0, np.int32), *numbers])
+        order = np.argsort(-np.bincount(idx, minlength=len(words)), kind="stable")
+        new = np.empty(len(words), np.int64)
+        new[order] = np.arange(len(words))
+        known = dict.fromkeys(_columns(_STATE), b"") | {
+            "block": part << 32 | seq, "words": words[order].tobytes(), "n_words": len(words), "idx": _packed(new[idx]), "docs": np.array([d or 0 for d, _, _ in held], np.int64).tobytes(), "nameless": _bits(np.array([d is None for d, _, _ in held])),
+            "held": _bits(np.array([x for _, x, _ in held])), "lengths": _packed(np.array([n for _, _, n in held])), "alive": size,
         }
-        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        kinds = [pa.int64() if x.endswith("long") else pa.binary() for x in _STATE.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array([known[x]], t) for x, t in zip(_columns(_STATE), kinds)], _columns(_STATE))
 
     for b in batches:
         for doc, out, text in zip(*(b.column(x).to_pylist() for x in ("doc_id", "held_out", "text"))):
-            joined, begin, end = word_spans(text)
-            held.append((doc, out, span_hashes(joined, begin, end) if len(begin) else np.zeros(0, np.uint64)))
-            size += len(begin) + 1
+            words = text.encode("utf-8", "replace").lower().split() if text else []
+            for w in dict.fromkeys(words):
+                found.setdefault(w, len(found))
+            numbers.append(np.fromiter(map(found.__getitem__, words), np.int32, len(words)))
+            held.append((doc, out, len(words)))
+            size += len(words) + 1
             if size >= BLOCK_TOKENS:
                 yield row()
-                seq, size, held = seq + 1, 0, []
+                seq, size, held, numbers, found = seq + 1, 0, [], [], {}
     if held:
         yield row()
 
 
-def _find(table_: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Where codes are in a sorted table; -1 for those that are not."""
-    if not len(table_):
-        return np.full(len(codes), -1, np.int64)
-    at = np.minimum(np.searchsorted(table_, codes), len(table_) - 1)
-    return np.where(table_[at] == codes, at, -1)
-
-
-class Tree:
-    """Levels of contexts and of listed next words, as sorted codes.
-
-    Words are numbered by their place in vocab; one more number is the end, another the start. A context of level k has the code
-    (number of its suffix) * width + its farthest word; a listed word the code (number of its context) * width + word."""
-
-    def __init__(self, vocab: np.ndarray):
-        self.vocab, self.end, self.width = vocab, len(vocab), len(vocab) + 2
-        self.contexts: list[np.ndarray] = []
-        self.symbols: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
-        self.stored: list[np.ndarray] = []
-        self.weight: list[np.ndarray] = []
-        self.kept: list[np.ndarray] = []
-
-    def tokens(self, numbers: np.ndarray, idx: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """numbers: those of a block's words, -1 for words not in vocab -> the numbers of its tokens with an end behind each text, and
-        each token's place in its text."""
-        numbers = numbers[idx] if len(idx) else np.zeros(0, np.int64)
-        numbers = np.insert(numbers, np.cumsum(lengths), self.end)
-        begin = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]).astype(np.int64)
-        return numbers, np.arange(len(numbers)) - np.repeat(begin, lengths + 1)
-
-    def back(self, numbers: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
-        """The token k before each; the start right before a text; -1 beyond."""
-        out = np.concatenate([np.full(min(k, len(numbers)), -1, np.int64), numbers[:-k]])
-        return np.where(place >= k, out, np.where(place == k - 1, self.end + 1, -1))
-
-    def walk(self, numbers: np.ndarray, place: np.ndarray, levels: int):
-        """For each level the numbers of the contexts at all places; -1 where there is none."""
-        at = np.zeros(len(numbers), np.int64)
-        for k in range(1, levels + 1):
-            far = self.back(numbers, place, k)
-            found = _find(self.contexts[k - 1], at * self.width + far)
-            at = np.where((at >= 0) & (far >= 0), found, -1)
-            yield at
-
-    def smooth(self, k: int, at: np.ndarray, word: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """The smoothed probability of words at contexts of level k, p being that at the suffixes."""
-        hit = _find(self.symbols[k], at * self.width + word)
-        n = np.where((hit >= 0) & (word >= 0), self.counts[k][np.maximum(hit, 0)] if len(self.counts[k]) else 0, 0)
-        weight = self.weight[k][at]
-        return (n + weight * p) / (self.stored[k][at] + weight)
-
-    def score(self, numbers: np.ndarray, place: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """The probability of each token at its longest retained context, p being that at the root."""
-        live = np.arange(len(numbers))
-        for k, at in enumerate(self.walk(numbers, place, len(self.contexts))):
-            live = live[at[live] >= 0]
-            live = live[self.kept[k][at[live]]]
-            p[live] = self.smooth(k, at[live], numbers[live], p[live])
-        return p
-
-
-def _fill(tree: Tree, level: int, sizes: np.ndarray, rows: pd.DataFrame) -> None:
-    """Adds the listed words of a level; sizes: how often each of its contexts occurs."""
-    rows = rows.sort_values("code")
-    codes, n = rows.code.to_numpy(np.int64), rows.n.to_numpy(np.int64)
-    stored = np.bincount(codes // tree.width, n, len(sizes)) if len(codes) else np.zeros(len(sizes))
-    tree.symbols.append(codes)
-    tree.counts.append(n)
-    tree.stored.append(stored)
-    tree.weight.append(np.maximum(0, sizes - stored) + np.bincount(codes // tree.width, minlength=len(sizes)))
+class _Distinct:
+    """The distinct codes of places. In order of codes: codes, first (a place that has it), at (which one each place has). In order of their
+    hashes: keys, and rank, the place there of each."""
+
+    def __init__(self, codes: np.ndarray, limit: int):
+        """codes: of at least 0 and below limit."""
+        n = len(codes)
+        if limit <= 2 * n + 1000:
+            first = np.full(limit, -1, np.int64)
+            first[codes] = np.arange(n)
+            self.codes = np.flatnonzero(first >= 0)
+            self.first = first[self.codes]
+            first[self.codes] = np.arange(len(self.codes))
+            self.at = first[codes]
+            return
+        low = n.bit_length()
+        if limit.bit_length() + low <= 63:
+            by = np.sort(codes << low | np.arange(n))
+            order, by = by & ((1 << low) - 1), by >> low
+        else:
+            order = np.argsort(codes, kind="stable")
+            by = codes[order]
+        new = np.ones(n, bool)
+        new[1:] = by[1:] != by[:-1]
+        self.codes, self.first = by[new], order[new]
+        self.at = np.empty(n, np.int64)
+        self.at[order] = np.cumsum(new) - 1
+
+    def hashed(self, hashes: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        self.keys, self.rank = hashes[order], np.empty(len(order), np.int64)
+        self.rank[order] = np.arange(len(order))
+
+    def parts(self, parts: int):
+        """(part of the hash space, from, to) of the keys, where there are some."""
+        cut = np.searchsorted(self.keys, np.array([(k << 64) // parts for k in range(parts)], np.uint64)).tolist() + [len(self.keys)]
+        return [(k, a, b) for k, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
 
 
 class _Block:
-    """A block's row with what came back for it: the words' counts, its tokens, its pairs (context, next word) as sorted codes."""
-
-    def __init__(self, r, notes: pd.DataFrame, ends: int):
-        self.notes, self.ends = notes, ends
-        self.words, self.held = np.asarray(r.words, np.int64), np.asarray(r.held, bool)
-        self.lengths, self.count = np.asarray(r.lengths, np.int64), np.array(r.known, np.int64)
-        at, found = self.of(WORD, "n")
-        self.count[at] = found
-        w = len(self.words)
-        self.idx = np.frombuffer(r.idx, np.uint16 if w <= 65_536 else np.uint32)
-        self.tree = Tree(np.arange(w))
-        self.width = self.tree.width
-        self.total = np.append(self.count, [ends, ends])  # the start is there as often as the end
-        self.hashes = np.append(self.words, [_END, _START])
-        self.numbers, self.place = self.tree.tokens(np.where(self.count >= LEAST, np.arange(w), -1), self.idx, self.lengths)
+    """A block's row: its texts as numbers of words, and the places that are not done at this level."""
+
+    def __init__(self, r):
+        self.row, w = r, r.n_words
+        self.hashes = np.append(np.frombuffer(r.words, np.uint64), np.array([_END, _START], np.uint64))
+        texts = len(r.docs) // 8
+        self.lengths, self.held = _numbers(r.lengths, texts), _unbits(r.held, texts)
+        ends = np.cumsum(self.lengths)
+        self.begin = ends - self.lengths + np.arange(texts)
+        self.numbers = np.insert(_numbers(r.idx, int(ends[-1])), ends, w)
+        self.text = np.repeat(np.arange(texts), self.lengths + 1)
         self.train = np.repeat(~self.held, self.lengths + 1)
-        prev = self.tree.back(self.numbers, self.place, 1)
-        self.pairs, self.pair_at = self.ranked(prev * self.width + self.numbers, (prev >= 0) & (self.numbers >= 0))
-
-    def of(self, kind: int, *columns: str):
-        rows = self.notes[self.notes.kind == kind]
-        return [rows[x].to_numpy(np.float64 if x == "weight" else np.int64) for x in ("at", *columns)]
-
-    def ranked(self, codes: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct codes where ok, and the place among them of each; -1 where not ok."""
-        found, inverse = np.unique(codes[ok], return_inverse=True)
-        at = np.full(len(codes), -1, np.int64)
-        at[ok] = inverse
-        return found, at
-
-    def trained(self, at: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(at[(at >= 0) & self.train], minlength=size)
-
-    def counted(self, kind: int, size: int) -> np.ndarray:
-        """The counts of pairs or triples; 0 for those under LEAST."""
-        out = np.zeros(size, np.int64)
-        at, n = self.of(kind, "n")
-        out[at] = n
-        return out
-
-    def triples(self) -> None:
-        """Adds the pairs' counts, and the triples (pair, next word) both of whose pairs are listed."""
-        self.n1 = self.counted(PAIR, len(self.pairs))
-        before = np.where(self.place > 0, np.concatenate([np.full(min(1, len(self.pair_at)), -1, np.int64), self.pair_at[:-1]]), -1)
-        ok = (before >= 0) & (self.pair_at >= 0)
-        ok[ok] = (self.n1[before[ok]] >= LEAST) & (self.n1[self.pair_at[ok]] >= LEAST)
-        self.grams, self.gram_at = self.ranked(before * self.width + self.numbers, ok)
-
-    def first_level(self, start: tuple) -> None:
-        """Adds the contexts of one word to the tree; start: stored, weight and kept of the start."""
-        t, listed = self.tree, self.n1 >= LEAST
-        t.contexts, t.symbols, t.counts = [np.arange(self.width)], [self.pairs[listed]], [self.n1[listed]]
-        at, stored, weight, kept = self.of(FIRST, "stored", "weight", "kept")
-        t.stored, t.weight, t.kept = [self.total.astype(float) * 0], [self.total.astype(float)], [np.zeros(self.width, bool)]
-        for x, found, last in ((t.stored[0], stored, start[0]), (t.weight[0], weight, start[1]), (t.kept[0], kept, start[2])):
-            x[at], x[-1] = found, last
-
-    def second_level(self) -> None:
-        """Adds the retained contexts of two words to the tree."""
-        t = self.tree
-        at, stored, weight = self.of(SECOND, "stored", "weight")
-        codes = self.pairs[at] % self.width * self.width + self.pairs[at] // self.width
-        order = np.argsort(codes)
-        number = np.full(len(self.pairs), -1, np.int64)
-        number[at[order]] = np.arange(len(at))
-        n2 = self.counted(TRIPLE, len(self.grams))
-        owner = number[self.grams // self.width] if len(self.grams) else np.zeros(0, np.int64)
-        listed = (n2 >= LEAST) & (owner >= 0)
-        symbols, counts = owner[listed] * self.width + self.grams[listed] % self.width, n2[listed]
-        by = np.argsort(symbols)
-        for x, found in ((t.contexts, codes[order]), (t.symbols, symbols[by]), (t.counts, counts[by]), (t.stored, stored[order].astype(float)), (t.weight, weight[order]), (t.kept, np.ones(len(at), bool))):
-            x.append(found)
-
-
-#: What comes back to a block: a word's total (n), a pair's and a triple's (n), and a context's of one word and of two (stored, weight, kept).
-WORD, PAIR, TRIPLE, FIRST, SECOND = range(5)
-_NOTE = "block long, kind int, at int, n long, stored long, weight double, kept boolean"
-_PAIR = "block long, at int, a long, w long, n long, size long, below double"
-_TRIPLE = "block long, at int, b long, a long, w long, n long, size long, below double"
-
-
-def _pair_rows(n: int, v: int, ends: int):
-    """A block's pairs (a, w): n in its training texts, the size of a and the base probability of w."""
 
-    def run(block: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({x.split()[0]: [] for x in _PAIR.split(", ")})] if not len(block) else []
-        for r in block.itertuples():
-            b = _Block(r, notes, ends)
-            a, w = b.pairs // b.width, b.pairs % b.width
-            out.append(pd.DataFrame({"block": r.block, "at": np.arange(len(a)), "a": b.hashes[a], "w": b.hashes[w], "n": b.trained(b.pair_at, len(a)), "size": b.total[a], "below": (b.total[w] + 1.0) / (n + v + 1.0)}))
-        return pd.concat(out)
+    def words(self) -> _Distinct:
+        """Level 0: the words, and the end."""
+        found = _Distinct(self.numbers, len(self.hashes))
+        found.hashed(self.hashes[found.codes])
+        return found
+
+    def base(self, n: int, v: int) -> np.ndarray:
+        return ((_numbers(self.row.seen, self.row.n_words + 1) + 1.0) / (n + v + 1.0))[self.numbers]
+
+    def level(self, k: int, n: int, v: int) -> None:
+        """The places of level k: their probability so far, their contexts, and their grams where the shorter gram is listed."""
+        if k == 1:
+            self.places, self.p = np.arange(len(self.numbers)), self.base(n, v)
+            self.listed = (_numbers(self.row.seen, self.row.n_words + 1) >= LEAST)[self.numbers]
+        else:
+            self.places = np.flatnonzero(_unbits(self.row.places, len(self.numbers)))
+            self.p, self.listed = np.frombuffer(self.row.p, np.float32).astype(np.float64), _unbits(self.row.listed, len(self.places))
+        width = len(self.hashes)
+        self.here = self.places - self.begin[self.text[self.places]]
+        far = [np.where(self.here >= j, self.numbers[np.maximum(self.places - j, 0)], width - 1) for j in range(1, k + 1)]
+        self.contexts = _Distinct(far[0], width)
+        for j in range(1, k):
+            self.contexts = _Distinct(self.contexts.at * width + far[j], len(self.contexts.codes) * width)
+        h = np.zeros(len(self.contexts.codes), np.uint64)
+        for x in far:
+            h = _joined(h, self.hashes[x[self.contexts.first]])
+        self.contexts.hashed(h)
+        self.some = np.flatnonzero(self.listed)
+        word = self.numbers[self.places[self.some]]
+        self.grams = _Distinct(self.contexts.at[self.some] * width + word, len(h) * width)
+        self.grams.hashed(_joined(h[self.grams.codes // width] ^ np.uint64(0xD1B54A32D192ED03), self.hashes[self.grams.codes % width]))
+        self.trained = self.train[self.places]
+
+    def gram_counts(self) -> np.ndarray:
+        """By key, how often each gram occurs in this block's training texts."""
+        return np.bincount(self.grams.rank[self.grams.at[self.trained[self.some]]], minlength=len(self.grams.keys))
+
+    def totals(self, told: pd.DataFrame) -> None:
+        """What came back for the grams: how often each occurs, 0 if under LEAST, and whether this block speaks for it."""
+        both = _told(told[told.kind == GRAMS])[self.grams.rank]
+        self.n, self.mine = both >> 1, (both & 1) > 0
+
+    def context_sums(self):
+        """By key, each context's training occurrences here; of the grams that this block speaks for: key, kinds, stored, gain, the two largest counts."""
+        size = np.bincount(self.contexts.rank[self.contexts.at[self.trained]], minlength=len(self.contexts.keys))
+        own = np.flatnonzero(self.mine & (self.n > 0))
+        by, n, below = self.grams.codes[own] // len(self.hashes), self.n[own], self.p[self.some[self.grams.first[own]]]
+        if not len(own):
+            return size, own, own, own, own.astype(float), np.zeros((0, 2), np.int64)
+        start = np.flatnonzero(np.append(True, by[1:] != by[:-1]))
+        kinds = np.diff(np.append(start, len(by)))
+        first = np.maximum.reduceat(n, start)
+        top = n == np.repeat(first, kinds)
+        second = np.where(np.add.reduceat(top.astype(np.int64), start) > 1, first, np.maximum.reduceat(np.where(top, 0, n), start))
+        key = self.contexts.rank[by[start]]
+        order = np.argsort(key)
+        return size, key[order], kinds[order], np.add.reduceat(n, start)[order], np.add.reduceat(n * np.log(n / below), start)[order], np.stack([first, second], 1)[order]
+
+    def carry_on(self, k: int, told: pd.DataFrame) -> tuple:
+        """Applies the retained contexts; done: the log10 of the places that end here, by text; the rest goes to the next level."""
+        notes = told[told.kind == CONTEXTS].sort_values("part")
+        flags = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x, np.uint8) for x in notes.n)])
+        counts = [int(np.count_nonzero(np.frombuffer(x, np.uint8))) for x in notes.n]
+        stored, kinds, size = (np.concatenate([np.zeros(0, np.int64), *(_numbers(raw, c) for raw, c in zip(notes[x], counts))]) for x in ("stored", "kinds", "sizes"))
+        number = np.where(flags > 0, np.cumsum(flags > 0) - 1, -1)[self.contexts.rank]
+        flags = flags[self.contexts.rank]
+        mine = number[self.contexts.at]
+        at = np.flatnonzero(mine >= 0)
+        n = np.zeros(len(self.places), np.int64)
+        n[self.some] = self.n[self.grams.at]
+        weight = size - stored + kinds
+        self.p[at] = (n[at] + weight[mine[at]] * self.p[at]) / (stored + weight)[mine[at]]
+        # A longer context is the gram at the place before; -1 where that was not asked.
+        before = np.full(len(self.numbers), -1, np.int64)
+        before[self.places] = n
+        on = (flags[self.contexts.at] == 3) & (self.here >= k)
+        on[on] = before[self.places[on] - 1] != 0
+        done = np.bincount(self.text[self.places[~on]], np.log10(self.p[~on]), len(self.lengths))
+        alive = np.zeros(len(self.numbers), bool)
+        alive[self.places[on]] = True
+        return int(on.sum()), _bits(alive), _bits(n[on] > 0), self.p[on].astype(np.float32).tobytes(), (done + (np.frombuffer(self.row.done, np.float64) if k > 1 else 0)).tobytes()
+
+
+def _told(notes: pd.DataFrame) -> np.ndarray:
+    notes = notes.sort_values("part")
+    return np.concatenate([np.zeros(0, np.int64), *(_numbers(raw, n) for raw, n in zip(notes.n, notes["size"]))])
+
+
+def _frame(kind: str, rows: list) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_columns(kind)) if rows else pd.DataFrame({x: [] for x in _columns(kind)})
+
+
+def _asked_counts(block: int, found: _Distinct, count: np.ndarray, parts: int) -> list:
+    return [(part, block, y - x, _differences(found.keys[x:y]), _packed(count[x:y]), 0, b"", b"", b"", b"", b"") for part, x, y in found.parts(parts)]
+
+
+def _ask_words(parts: int):
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                b = _Block(r)
+                found = b.words()
+                yield _frame(_ASKED, _asked_counts(r.block, found, np.bincount(found.rank[found.at[b.train]], minlength=len(found.keys)), parts))
 
     return run
 
 
-def _triple_rows(n: int, v: int, ends: int, start: tuple):
-    """A block's triples (b, a, w): n in its training texts, the size of (b, a) and the probability of w at a."""
+def _ask_grams(k: int, n: int, v: int, parts: int):
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                b = _Block(r)
+                b.level(k, n, v)
+                yield _frame(_ASKED, _asked_counts(r.block, b.grams, b.gram_counts(), parts))
+
+    return run
 
+
+def _ask_contexts(k: int, n: int, v: int, parts: int):
     def run(block: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({x.split()[0]: [] for x in _TRIPLE.split(", ")})] if not len(block) else []
+        rows = []
         for r in block.itertuples():
-            b = _Block(r, notes, ends)
-            b.triples()
-            b.first_level(start)
-            pair, w = b.grams // b.width, b.grams % b.width
-            far, a = (b.pairs[pair] // b.width, b.pairs[pair] % b.width) if len(pair) else (pair, pair)
-            below = b.tree.smooth(0, a, w, (b.total[w] + 1.0) / (n + v + 1.0))
-            out.append(pd.DataFrame({"block": r.block, "at": np.arange(len(w)), "b": b.hashes[far], "a": b.hashes[a], "w": b.hashes[w], "n": b.trained(b.gram_at, len(w)), "size": b.n1[pair] if len(pair) else pair, "below": below}))
-        return pd.concat(out)
+            b = _Block(r)
+            b.level(k, n, v)
+            b.totals(notes)
+            size, by, kinds, stored, gain, top = b.context_sums()
+            for part, x, y in b.contexts.parts(parts):
+                i, j = np.searchsorted(by, [x, y])
+                rows.append((part, r.block, y - x, _differences(b.contexts.keys[x:y]), _packed(size[x:y]), j - i, _packed(by[i:j] - x), _packed(kinds[i:j]), _packed(stored[i:j]), gain[i:j].tobytes(), _packed(top[i:j].ravel())))
+        return _frame(_ASKED, rows)
 
     return run
 
 
-def _scored(n: int, v: int, ends: int, start: tuple):
-    def run(block: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({x.split()[0]: [] for x in _OUT.split(", ")})] if not len(block) else []
-        for r in block.itertuples():
-            b = _Block(r, notes, ends)
-            b.triples()
-            b.first_level(start)
-            b.second_level()
-            lengths, c = b.lengths, b.count
-            begin = np.cumsum(lengths + 1) - lengths - 1
-            counts = np.insert(c[b.idx] if len(b.idx) else np.zeros(0, np.int64), np.cumsum(lengths), ends)
-            p = (counts + 1.0) / (n + v + 1.0)
-            base = np.add.reduceat(np.log10(p), begin)
-            score = np.add.reduceat(np.log10(b.tree.score(b.numbers, b.place, p)), begin)
-            seen = np.add.reduceat((counts > 0).astype(np.int64), begin)
-            out.append(pd.DataFrame({"doc_id": pd.array([None if x == _NO_ID else x for x in r.docs], "Int64"), "held_out": r.held, "n_tokens": lengths + 1, "n_known": seen, "train_tokens": n, "base_score": base, "score": score}))
-        return pd.concat(out)
+def _gathered(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A part's messages by block, where each ends, and of all keys: how many are distinct, which one each is, and the sums of what came with them."""
+    rows = rows.sort_values("block")
+    keys = np.concatenate([np.cumsum(_unpacked(x, n), dtype=np.uint64) for x, n in zip(rows["keys"], rows["size"])])
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.append(True, keys[1:] != keys[:-1])
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(new) - 1
+    kinds = int(new.sum())
+    n = np.bincount(at, np.concatenate([_numbers(x, s) for x, s in zip(rows.n, rows["size"])]), kinds).astype(np.int64)
+    return rows, np.cumsum(rows["size"].to_numpy()), at, n
+
+
+def _count(least: int):
+    """For a part of the hash space: every message's totals, in its order, with one block speaking for each key. One more row, of block -1, has how many keys occur."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, ends, at, n = _gathered(rows)
+        n[n < least] = 0
+        first = np.empty(len(n), np.int64)
+        first[at[::-1]] = np.arange(len(at))[::-1]
+        both = n[at] << 1
+        both[first] |= 1
+        part = int(rows.part.iloc[0])
+        out = [(b, part, GRAMS, s, _packed(both[e - s : e]), b"", b"", b"") for b, s, e in zip(rows.block, rows["size"], ends)]
+        return _frame(_TOLD, [(-1, part, GRAMS, int((n > 0).sum()), b"", b"", b"", b""), *out])
 
     return run
 
 
-def _notes(df: DataFrame, kind: int) -> DataFrame:
-    """df as rows of _NOTE, null where it has no such column."""
-    out = [F.lit(kind).alias("kind") if x.split()[0] == "kind" else (F.col(x.split()[0]) if x.split()[0] in df.columns else F.lit(None)).cast(x.split()[1]).alias(x.split()[0]) for x in _NOTE.split(", ")]
-    return df.select(*out)
+def _decide(n_all: int):
+    """For a part of the hash space: which contexts are retained, and below which longer ones can be (flags 1 and 3)."""
+    least = 0.5 * math.log(max(2.0, n_all))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, ends, at, size = _gathered(rows)
+        own = rows.own.to_numpy()
+        many = lambda x, each=1: np.concatenate([_numbers(raw, c * each) for raw, c in zip(rows[x], own)])
+        mine = at[many("at") + np.repeat(ends - rows["size"].to_numpy(), own)]
+        add = lambda x: np.bincount(mine, x, len(size))
+        kinds, stored, gain = add(many("kinds")).astype(np.int64), add(many("stored")).astype(np.int64), add(np.concatenate([np.frombuffer(g, np.float64) for g in rows.gain]))
+        top, both = many("top", 2), np.repeat(mine, 2)
+        order = np.lexsort((-top, both))
+        top, both = top[order], both[order]
+        rank = np.arange(len(both)) - np.searchsorted(both, both)
+        first, second = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+        first[both[rank == 0]], second[both[rank == 1]] = top[rank == 0], top[rank == 1]
+        kept = (kinds > 0) & (gain - stored * np.log(np.maximum(size, 1)) > least * kinds)
+        whole = np.maximum(size + kinds, 1).astype(np.float64)
+        rise = lambda x: x * np.log(whole / np.maximum(x, 1))
+        more = (rise(first) > least) | (rise(np.minimum(second, whole / math.e)) > least)
+        flags = np.where(kept, np.where(more, 3, 1), 0).astype(np.uint8)
+        out, part = [], int(rows.part.iloc[0])
+        for b, s, e in zip(rows.block, rows["size"], ends):
+            f = flags[at[e - s : e]]
+            some = at[e - s : e][f > 0]
+            out.append((b, part, CONTEXTS, s, f.tobytes(), _packed(stored[some]), _packed(kinds[some]), _packed(size[some])))
+        return _frame(_TOLD, out)
+
+    return run
+
 
+def _with_words(block: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
+    """Blocks with the training occurrences of their words, the end's last."""
+    out = []
+    for r in block.itertuples(index=False):
+        found = _Block(r).words()
+        seen = np.zeros(r.n_words + 1, np.int64)
+        seen[found.codes] = (_told(notes) >> 1)[found.rank]
+        out.append(r._replace(seen=_packed(seen)))
+    return _frame(_STATE, out)
 
-def _totals(rows: DataFrame, key: list[str], label: str, once: list[str]) -> DataFrame:
-    """Rows of the blocks -> those whose key occurs LEAST times in all, with n that total and first on one row of each key; the columns once are on that row alone."""
-    # A key is in a block once, so no key holds more rows than there are blocks.
-    by = Window.partitionBy(*key).orderBy("block")
-    total, first = F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lag("block").over(by).isNull()
-    out = rows.withColumns({"n": total, "first": first}).where(F.col("n") >= LEAST)
-    return keep(out.withColumns({x: F.when(F.col("first"), F.col(x)) for x in once}), label)
+
+def _carry_on(k: int, n: int, v: int):
+    def run(block: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in block.itertuples(index=False):
+            b = _Block(r)
+            b.level(k, n, v)
+            b.totals(notes)
+            out.append(r._replace(**dict(zip(("alive", "places", "listed", "p", "done"), b.carry_on(k, notes)))))
+        return _frame(_STATE, out)
+
+    return run
+
+
+def _results(n: int, v: int):
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                b = _Block(r)
+                base = np.add.reduceat(np.log10(b.base(n, v)), b.begin)
+                known = np.add.reduceat((_numbers(r.seen, r.n_words + 1) > 0)[b.numbers].astype(np.int64), b.begin)
+                ids = pd.array(np.frombuffer(r.docs, np.int64), "Int64", copy=True)
+                ids[_unbits(r.nameless, len(ids))] = pd.NA
+                yield pd.DataFrame({"doc_id": ids, "held_out": b.held, "n_tokens": b.lengths + 1, "n_known": known, "train_tokens": n, "base_score": base, "score": np.frombuffer(r.done, np.float64)})
+
+    return run
 
 
-def _contexts(listed: DataFrame, key: list[str], n: int) -> DataFrame:
-    """Listed words of contexts, once each -> key, stored, weight, kept: whether the context diverges from its suffix."""
-    count = F.col("n").cast("double")
-    sums = listed.where("first").groupBy(*key).agg(F.sum("n").alias("stored"), F.count("*").alias("kinds"), F.first("size").alias("size"), F.sum(count * F.log(count / F.col("below"))).alias("gain"), F.sum("below").alias("listed"))
-    spare = F.greatest(F.lit(0), F.col("size") - F.col("stored")).cast("double")
-    whole = F.col("stored") + spare
-    rest = F.when(spare > 0, spare * F.log(spare / whole / F.greatest(F.lit(1e-12), 1 - F.col("listed")))).otherwise(0.0)
-    gain = F.col("gain") - F.col("stored") * F.log(whole) + rest
-    return sums.select(*key, "stored", (spare + F.col("kinds")).alias("weight"), (gain > 0.5 * math.log(max(2.0, n)) * F.col("kinds")).alias("kept"))
+def _trained(batches):
+    for pdf in batches:
+        yield pd.DataFrame({"n": [int(_Block(r).train.sum()) for r in pdf.itertuples()]})
 
 
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id"), FOLDS).alias("held_out"))
-    blocks = keep(mine.mapInArrow(_blocks, _BLOCK), "op9-blocks")
-    sizes = blocks.agg(F.sum(F.aggregate("known", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"), F.sum(F.size(F.filter("held", lambda x: ~x))).alias("ends")).first()
-    ends = sizes["ends"] or 0
-    n = (sizes["n"] or 0) + ends
-    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "known")).alias("at", "w")).select("block", "at", F.col("w.words").alias("word"), F.col("w.known").alias("known"))
-    # A word is in a block once, so no word holds more rows than there are blocks.
-    total, first = F.sum("known").over(Window.partitionBy("word")), F.lag("block").over(Window.partitionBy("word").orderBy("block")).isNull()
-    counted = words.select("block", "at", "known", total.alias("n"), first.alias("first"))
-    distinct = Observation()
-    counted = counted.observe(distinct, F.count_if(F.col("first") & (F.col("n") > 0)).alias("v"))
-    notes = keep(_notes(counted.where(F.col("n") != F.col("known")), WORD), "op9-counts")
-    v = (distinct.get["v"] if sizes["ends"] is not None else 0) + (ends > 0)
-
-    def told(notes: DataFrame, run, kind: str) -> DataFrame:
-        return blocks.groupBy("block").cogroup(notes.groupBy("block")).applyInPandas(run, kind)
-
-    pairs = _totals(told(notes, _pair_rows(n, v, ends), _PAIR), ["a", "w"], "op9-pairs", ["size", "below"])
-    one = keep(_contexts(pairs, ["a"], n), "op9-contexts")
-    places = words.select("block", "at", F.col("word").alias("a"))
-    found = one.where(F.col("a") == _START).first()
-    start = (found["stored"], found["weight"], found["kept"]) if found else (0, float(ends), False)
-    counts = notes.unionByName(_notes(pairs, PAIR))
-    notes = counts.unionByName(_notes(places.join(one, "a"), FIRST))
-    triples = _totals(told(notes, _triple_rows(n, v, ends, start), _TRIPLE), ["b", "a", "w"], "op9-triples", ["b", "a", "w", "size", "below"])
-    two = keep(_contexts(triples, ["b", "a"], n).where("kept"), "op9-contexts")
-    # A context that a longer retained one ends in is retained.
-    ending = two.select("a").distinct().withColumn("ends", F.lit(True))
-    one = keep(one.join(ending, "a", "left").withColumn("kept", F.col("kept") | F.coalesce("ends", F.lit(False))).drop("ends"), "op9-contexts")
-    owned = pairs.select("block", "at", F.col("a").alias("b"), F.col("w").alias("a")).join(two, ["b", "a"])
-    notes = counts.unionByName(_notes(places.join(one, "a"), FIRST)).unionByName(_notes(owned, SECOND)).unionByName(_notes(triples, TRIPLE))
-    return told(notes, _scored(n, v, ends, start), _OUT)
+    blocks = keep(mine.mapInArrow(_blocks, _STATE), "op9-blocks")
+    alive, many = blocks.agg(F.coalesce(F.sum("alive"), F.lit(0)), F.count("*")).first()
+    n = int(blocks.mapInPandas(_trained, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), many // 4)
+
+    def parts() -> int:
+        return max(16, alive // PART_PLACES)
+
+    def told(state: DataFrame, notes: DataFrame, run, kind: str) -> DataFrame:
+        return state.groupBy("block").cogroup(notes.where("block >= 0").groupBy("block")).applyInPandas(run, kind)
+
+    words = keep(blocks.mapInPandas(_ask_words(parts()), _ASKED).groupBy("part").applyInPandas(_count(1), _TOLD), "op9-words")
+    v = int(words.where("block = -1").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    state = keep(told(blocks, words, _with_words, _STATE), "op9-state", ("block", buckets))
+    dropped(blocks, words)
+    k = 1
+    while alive:
+        grams = keep(state.mapInPandas(_ask_grams(k, n, v, parts()), _ASKED).groupBy("part").applyInPandas(_count(LEAST), _TOLD), "op9-grams")
+        contexts = keep(told(state, grams, _ask_contexts(k, n, v, parts()), _ASKED).groupBy("part").applyInPandas(_decide(n), _TOLD), "op9-contexts")
+        after = keep(told(state, grams.unionByName(contexts), _carry_on(k, n, v), _STATE), "op9-state", ("block", buckets))
+        dropped(state, grams, contexts)
+        state, k = after, k + 1
+        alive = state.agg(F.sum("alive")).first()[0]
+    return state.mapInPandas(_results(n, v), _OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
