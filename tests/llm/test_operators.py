@@ -345,7 +345,7 @@ def tree_scores(data, least=2):
     return [(d, len(t), sum(map(math.log10, q))) for (d, t), q in zip(texts, p)], retained
 
 
-@pytest.mark.parametrize("block", [500, 500_000])
+@pytest.mark.parametrize("block", [5_000, 500_000])
 def test_suffix_tree_against_dictionaries(spark, rows, monkeypatch, block):
     """Contexts of any length, in texts whose next word depends on several before; blocks of few and of many texts."""
     monkeypatch.setattr(op9_suffix_tree, "BLOCK_TOKENS", block)

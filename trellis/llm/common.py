@@ -74,7 +74,7 @@ def keep(df: DataFrame, label: str, buckets: tuple[str, int] | None = None) -> D
     with settings(spark, _WHILE_WRITING):
         if buckets:
             name = name.replace("-", "_")
-            df.repartition(buckets[1], buckets[0]).write.bucketBy(buckets[1], buckets[0]).option("path", path).saveAsTable(name)
+            df.write.bucketBy(buckets[1], buckets[0]).option("path", path).saveAsTable(name)
         else:
             df.write.parquet(path)
     atexit.register(_drop_at_exit, spark, path)
