@@ -22,7 +22,7 @@ No longer context is tried where none can be retained, which changes no result:
 a retained one below a context needs a word with n * ln(T / n) above the threshold, T being the size and the kinds of the
 context above, a bound that falls with every longer context.
 
-The blocks are a bucketed table, so they stay where they are while messages come and go. Messages hold sorted hashes as differences, in planes of
+Blocks and the state of their places are bucketed tables, so they stay where they are while messages come and go. Messages hold sorted hashes as differences, in planes of
 bytes, which compress.
 
 Defined results: null and empty texts, or those without words, are one end. Rows with null doc_id are in training. Rows that
@@ -45,7 +45,8 @@ FOLDS, LEAST = 7, 2
 _END, _START = 1, 2
 #: Tokens after which a block ends, and places for each part of the hash space.
 BLOCK_TOKENS, PART_PLACES = 500_000, 1_000_000
-_STATE = "block long, words binary, n_words long, seen binary, idx binary, docs binary, nameless binary, held binary, lengths binary, alive long, places binary, listed binary, p binary, done binary"
+_TEXTS = "block long, words binary, n_words long, seen binary, idx binary, docs binary, nameless binary, held binary, lengths binary, tokens long"
+_PLACES = "block long, alive long, places binary, listed binary, p binary, done binary"
 _ASKED = "part long, block long, size long, keys binary, n binary, own long, at binary, kinds binary, stored binary, gain binary, top binary"
 _TOLD = "block long, part long, kind int, size long, n binary, stored binary, kinds binary, sizes binary"
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -104,12 +105,12 @@ def _blocks(batches):
         order = np.argsort(-np.bincount(idx, minlength=len(words)), kind="stable")
         new = np.empty(len(words), np.int64)
         new[order] = np.arange(len(words))
-        known = dict.fromkeys(_columns(_STATE), b"") | {
+        known = dict.fromkeys(_columns(_TEXTS), b"") | {
             "block": part << 32 | seq, "words": words[order].tobytes(), "n_words": len(words), "idx": _packed(new[idx]), "docs": np.array([d or 0 for d, _, _ in held], np.int64).tobytes(), "nameless": _bits(np.array([d is None for d, _, _ in held])),
-            "held": _bits(np.array([x for _, x, _ in held])), "lengths": _packed(np.array([n for _, _, n in held])), "alive": size,
+            "held": _bits(np.array([x for _, x, _ in held])), "lengths": _packed(np.array([n for _, _, n in held])), "tokens": size,
         }
-        kinds = [pa.int64() if x.endswith("long") else pa.binary() for x in _STATE.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array([known[x]], t) for x, t in zip(_columns(_STATE), kinds)], _columns(_STATE))
+        kinds = [pa.int64() if x.endswith("long") else pa.binary() for x in _TEXTS.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array([known[x]], t) for x, t in zip(_columns(_TEXTS), kinds)], _columns(_TEXTS))
 
     for b in batches:
         for doc, out, text in zip(*(b.column(x).to_pylist() for x in ("doc_id", "held_out", "text"))):
@@ -384,18 +385,18 @@ def _with_words(block: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
         seen = np.zeros(r.n_words + 1, np.int64)
         seen[found.codes] = (_told(notes) >> 1)[found.rank]
         out.append(r._replace(seen=_packed(seen)))
-    return _frame(_STATE, out)
+    return _frame(_TEXTS, out)
 
 
 def _carry_on(k: int, n: int, v: int):
     def run(block: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for r in block.itertuples(index=False):
+        for r in block.itertuples():
             b = _Block(r)
             b.level(k, n, v)
             b.totals(notes)
-            out.append(r._replace(**dict(zip(("alive", "places", "listed", "p", "done"), b.carry_on(k, notes)))))
-        return _frame(_STATE, out)
+            out.append((r.block, *b.carry_on(k, notes)))
+        return _frame(_PLACES, out)
 
     return run
 
@@ -422,10 +423,10 @@ def _trained(batches):
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id"), FOLDS).alias("held_out"))
-    blocks = keep(mine.mapInArrow(_blocks, _STATE), "op9-blocks")
-    alive, many = blocks.agg(F.coalesce(F.sum("alive"), F.lit(0)), F.count("*")).first()
+    blocks = keep(mine.mapInArrow(_blocks, _TEXTS), "op9-blocks")
+    alive, many = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     n = int(blocks.mapInPandas(_trained, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), many // 4)
+    buckets = "block", max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), many // 4)
 
     def parts() -> int:
         return max(16, alive // PART_PLACES)
@@ -433,18 +434,23 @@ def score(docs: DataFrame) -> DataFrame:
     def told(state: DataFrame, notes: DataFrame, run, kind: str) -> DataFrame:
         return state.groupBy("block").cogroup(notes.where("block >= 0").groupBy("block")).applyInPandas(run, kind)
 
-    words = keep(blocks.mapInPandas(_ask_words(parts()), _ASKED).groupBy("part").applyInPandas(_count(1), _TOLD), "op9-words")
+    def by_part(asked: DataFrame, run) -> DataFrame:
+        return asked.repartition(parts(), "part").groupBy("part").applyInPandas(run, _TOLD)
+
+    words = keep(by_part(blocks.mapInPandas(_ask_words(parts()), _ASKED), _count(1)), "op9-words")
     v = int(words.where("block = -1").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
-    state = keep(told(blocks, words, _with_words, _STATE), "op9-state", ("block", buckets))
+    texts = keep(told(blocks, words, _with_words, _TEXTS), "op9-texts", buckets)
     dropped(blocks, words)
-    k = 1
+    places, state, k = None, texts, 1
     while alive:
-        grams = keep(state.mapInPandas(_ask_grams(k, n, v, parts()), _ASKED).groupBy("part").applyInPandas(_count(LEAST), _TOLD), "op9-grams")
-        contexts = keep(told(state, grams, _ask_contexts(k, n, v, parts()), _ASKED).groupBy("part").applyInPandas(_decide(n), _TOLD), "op9-contexts")
-        after = keep(told(state, grams.unionByName(contexts), _carry_on(k, n, v), _STATE), "op9-state", ("block", buckets))
-        dropped(state, grams, contexts)
-        state, k = after, k + 1
-        alive = state.agg(F.sum("alive")).first()[0]
+        grams = keep(by_part(state.mapInPandas(_ask_grams(k, n, v, parts()), _ASKED), _count(LEAST)), "op9-grams")
+        contexts = keep(by_part(told(state, grams, _ask_contexts(k, n, v, parts()), _ASKED), _decide(n)), "op9-contexts")
+        after = keep(told(state, grams.unionByName(contexts), _carry_on(k, n, v), _PLACES), "op9-places", buckets)
+        dropped(grams, contexts, *([places] if places else []))
+        places, state, k = after, texts.join(after, "block"), k + 1
+        alive = places.agg(F.sum("alive")).first()[0]
+    if places is None:
+        return docs.sparkSession.createDataFrame([], _OUT)
     return state.mapInPandas(_results(n, v), _OUT)
 
 
