@@ -9,8 +9,11 @@ Targets: the sources, by code point with null last, weigh WEIGHTS in turn and sh
 most MOST times its source's size, and what is above goes to the others by weight until none is above. That is one
 level L with target = least(MOST * size, L * weight), found by going through the sources in order of size / weight.
 
+Keys are a hash of doc_id and text, so rows without doc_id, or that share one, are spread like others.
+
 Defined results: a null or empty text has size 0 and takes 0. A null source is a source of its own. Null and repeated doc_ids
-are documents of their own; ties of keys go by doc_id, then source rows are interchangeable. A source without words has target 0.
+are documents of their own; rows that share source, doc_id and text have one key and are interchangeable: as many of them are taken in
+every run. A source without words has target 0.
 Other columns are ignored, whatever their names. An empty table gives an empty result."""
 
 from __future__ import annotations
@@ -48,10 +51,11 @@ def _taken(size: Column, before: Column, source_size: Column, target: Column) ->
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: str = SEED, row: str | None = None) -> DataFrame:
     """(doc_id, text, source) -> doc_id, size, source_size, target, taken, and the column row if one is named."""
     own = [F.col(row).alias("_row")] if row else []
-    sized = keep(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), hash_bits(F.col("doc_id"), seed).alias("_key"), *own), "op2-sizes")
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit(""))))
+    sized = keep(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), hash_bits(key, seed).alias("_key"), *own), "op2-sizes")
     shares = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     shares = keep(shares, "op2-targets").withColumnRenamed("source", "_of")
-    running = prefix_sums(sized, "source", "_key", ["doc_id", "_row"] if row else ["doc_id"], F.col("size"), "before")
+    running = prefix_sums(sized, "source", "_key", ["doc_id", "size", *(["_row"] if row else [])], F.col("size"), "before")
     out = running.join(shares, F.col("source").eqNullSafe(F.col("_of")))
     return out.select("doc_id", "size", "source_size", "target", _taken(F.col("size"), F.col("before"), F.col("source_size"), F.col("target")).alias("taken"), *([F.col("_row").alias(row)] if row else []))
 
@@ -61,9 +65,9 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, n.cast("int")), "")
 
 
-def _written(joined: DataFrame, docs: DataFrame, counted: Column) -> DataFrame:
-    """Rows with _size and _taken -> each as often as it is taken whole, and its first words once more; where not counted or without words, as it is."""
-    usual = counted & (F.col("_size") > 0)
+def _written(joined: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows with _size and _taken -> each as often as it is taken whole, and its first words once more; without words, as it is."""
+    usual = F.col("_size") > 0
     whole = F.when(usual, F.floor(F.col("_taken") / F.col("_size"))).otherwise(F.lit(1))
     part = F.when(usual, F.col("_taken") % F.col("_size")).otherwise(0)
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when(part > 0, F.array(part.cast("long"))).otherwise(F.array().cast("array<bigint>")))
@@ -75,23 +79,16 @@ def _written(joined: DataFrame, docs: DataFrame, counted: Column) -> DataFrame:
     return out.select(*docs.columns)
 
 
-def materialize(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it is taken whole, and the one at a cut once more with its first words.
-
-    mixed: what mix() gives for docs. Rows without a doc_id, or that share one, are left as they are: no count is theirs alone.
-    mixture() counts them too."""
-    counts = mixed.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"), F.first("size").alias("_size"), F.first("taken").alias("_taken"))
-    joined = docs.join(counts, F.col("doc_id") == F.col("_id"), "left")
-    return _written(joined, docs, F.coalesce(F.col("_rows"), F.lit(0)) == 1)
-
-
 def mixture(docs: DataFrame) -> DataFrame:
-    """The mix itself for all rows, whatever their doc_ids: the rows get numbers that are written once, and each its own count.
+    """The mix itself, all columns of docs: each row as often as it is taken whole, and the one at a cut once more with its first words.
+
+    Rows get numbers that are written once, and each its own count, whatever their doc_ids. Rows of one doc_id and text that differ in other
+    columns are taken in order of a hash of all columns.
 
     Documents without words have no share in any target and are written once."""
-    numbered = keep(docs.withColumn("_number", F.monotonically_increasing_id()), "op2-rows")
+    numbered = keep(docs.withColumn("_number", F.struct(F.xxhash64(*docs.columns).alias("h"), F.monotonically_increasing_id().alias("n"))), "op2-rows")
     counts = mix(numbered, row="_number").select(F.col("_number").alias("_of"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    return _written(numbered.join(counts, F.col("_number") == F.col("_of")), docs, F.lit(True))
+    return _written(numbered.join(counts, F.col("_number") == F.col("_of")), docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +98,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 12) AS key FROM documents),
+    substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 12) AS key FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3] AS w FROM d GROUP BY source),
 l AS (
@@ -109,7 +106,7 @@ l AS (
     / sum(w) OVER (ORDER BY 3 * source_size / w, source IS NULL, encode(source) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
 a AS (SELECT level FROM l WHERE level * w <= 3 * source_size ORDER BY 3 * source_size / w, source IS NULL, encode(source) LIMIT 1),
 t AS (SELECT source, source_size, least((3 * source_size)::DOUBLE, coalesce((SELECT level FROM a) * w, (3 * source_size)::DOUBLE)) AS target FROM l),
-r AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d),
+r AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d),
 e AS (SELECT *, floor(target)::BIGINT AS budget, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS epochs FROM t)
 SELECT r.doc_id, r.size, e.source_size, e.target,
   (epochs * size + greatest(0, least(size, budget - epochs * source_size - before)))::BIGINT AS taken
