@@ -8,7 +8,7 @@ move only into or out of the subtrees whose weights change.
 topology(n): BASE shards in regions of 12 and racks of 4; each further shard is a region of its own. So the law is `key`: doc_id
 and shard count decide, and one more shard takes rows only into itself.
 
-The slot of a row counts the rows before it in its shard, by random bits of its id: ranges of these bits are counted apart
+The slot of a row counts the rows before it in its shard, by random bits of its id and text: ranges of these bits are counted apart
 and only their counts meet, so a shard may hold any number of rows.
 
 Defined results: null doc_ids go by the hash of null; a null text has 8 bytes (none plus 8) and the CRC of the empty text;
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm.common import hash_bits, keep, prefix_sums, table
+from trellis.llm.common import keep, prefix_sums, table
 
 SHARDS, BASE, PER_RACK, PER_REGION = 24, 24, 4, 12
 
@@ -58,7 +58,7 @@ def place(doc_id: Column, leaves: list[tuple[str, str, int, float]]) -> Column:
 def _placed(docs: DataFrame, shards: int) -> DataFrame:
     """docs with size, text_crc32, law, shard, grown_shard and _bits."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.withColumns({"size": F.length(raw).cast("long") + 8, "text_crc32": F.crc32(raw), "law": F.lit("key"), "shard": place(F.col("doc_id"), topology(shards)), "grown_shard": place(F.col("doc_id"), topology(shards + 1)), "_bits": hash_bits(F.col("doc_id"), "slot:")})
+    return docs.withColumns({"size": F.length(raw).cast("long") + 8, "text_crc32": F.crc32(raw), "law": F.lit("key"), "shard": place(F.col("doc_id"), topology(shards)), "grown_shard": place(F.col("doc_id"), topology(shards + 1)), "_bits": F.shiftrightunsigned(F.xxhash64("doc_id", raw, F.lit("slot")), 16)})
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
