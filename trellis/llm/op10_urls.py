@@ -1,7 +1,7 @@
 """URL filters by hash prefixes.
 
-A URL's host and path are expanded into expressions: each suffix of the host's labels with each prefix of the path that ends in a
-slash, and the path's empty prefix. The expressions' SHA-256 digests are joined with the rules' on their first four bytes; then the full
+A URL's host and path are expanded into expressions: suffixes of the host's labels with prefixes of the path that end in a
+slash, and the path's empty prefix; only those of as many labels and slashes as some rule has, so a URL of any length gives few. The expressions' SHA-256 digests are joined with the rules' on their first four bytes; then the full
 digest, the host and the path's start are confirmed, and of the rules that fit the longest wins (ties: the longer host, then
 code points). A rule whose path does not end in a slash is keyed by its path up to the last slash and confirmed on the whole.
 
@@ -30,12 +30,11 @@ def _host_path(url: Column) -> tuple[Column, Column]:
     return lower_az(host), F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
-def _expressions(host: Column, path: Column) -> Column:
-    """Every host suffix + every path prefix that ends in a slash (and the empty one)."""
-    labels, parts = F.split(host, r"\."), F.split(path, "/")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    paths = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
-    return F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, F.lit("\x00"), p))))
+def _expressions(host: Column, path: Column, depths: list[tuple[int, int]]) -> Column:
+    """For each (labels, slashes) the host's last labels + the path up to that many slashes, where the URL has as many; each is linear in the URL."""
+    hosts = {n: F.when(F.length(host) - F.length(F.replace(host, F.lit("."))) >= n - 1, F.substring_index(host, ".", -n)) for n in {x for x, _ in depths}}
+    paths = {n: F.when(F.length(path) - F.length(F.replace(path, F.lit("/"))) >= n, F.concat(F.substring_index(path, "/", n), F.lit("/"))) if n else F.lit("") for n in {x for _, x in depths}}
+    return F.array_compact(F.array(*[F.concat(hosts[a], F.lit("\x00"), paths[b]) for a, b in depths]))
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
@@ -44,9 +43,12 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     digest = F.sha2(F.concat(F.col("rule_host"), F.lit("\x00"), F.regexp_extract("rule_path", "(?s)^(.*/|)", 1)), 256)
     keyed = rules.select(lower_az(F.col("host")).alias("rule_host"), F.col("path").alias("rule_path"), "verdict").where("rule_host <> '' and rule_path is not null")
     keyed = keyed.withColumn("_full", digest).select(F.substring("_full", 1, 8).alias("_short"), "_full", "rule_host", "rule_path", "verdict").distinct()
+    count = lambda c, x: (F.length(c) - F.length(F.replace(c, F.lit(x)))).cast("int")
+    # Pairs of small numbers: hosts have at most 127 labels.
+    depths = sorted(map(tuple, keyed.select(count(F.col("rule_host"), ".") + 1, count(F.col("rule_path"), "/")).distinct().collect()))
     host, path = _host_path(F.col("url"))
     urls = pages.select("url").where("url is not null").distinct().select("url", host.alias("host"), path.alias("path")).where("host <> ''")
-    asked = urls.select("url", "host", "path", F.explode(_expressions(F.col("host"), F.col("path"))).alias("_e")).withColumn("_digest", F.sha2("_e", 256))
+    asked = urls.select("url", "host", "path", F.explode(_expressions(F.col("host"), F.col("path"), depths) if depths else F.array().cast("array<string>")).alias("_e")).withColumn("_digest", F.sha2("_e", 256))
     hits = asked.withColumn("_short", F.substring("_digest", 1, 8)).join(broadcast_up_to(keyed, BROADCAST_RULES), "_short")
     confirmed = hits.where("_digest = _full").where((F.col("host") == F.col("rule_host")) | F.col("host").endswith(F.concat(F.lit("."), F.col("rule_host")))).where(F.col("path").startswith(F.col("rule_path")))
     rule = F.concat("rule_host", "rule_path")
