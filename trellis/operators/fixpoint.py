@@ -2,36 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # at exit the session may be gone; then its owner clears the folder
-        pass
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+from trellis.storage import written
 
 
 def closure(edges: DataFrame, keys: list[str] = (), start: str | None = None, seeds: DataFrame | None = None) -> DataFrame:
