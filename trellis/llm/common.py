@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import uuid
 import weakref
@@ -11,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trellis.storage import drop_at_exit, drop_folder, shared_dir
+
 #: What separates words: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -20,29 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset, a folder in the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def drop_table(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is not None:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _drop_at_exit(spark: SparkSession, path: str) -> None:
-    try:
-        drop_table(spark, path)
-    except Exception:  # the session may be gone; then its owner clears the folder
-        pass
-
-
 #: While a table is written: shuffle files go once the table is there, and Python gets few rows at a time, for texts may be long.
 _WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.parquet.compression.codec": "zstd"}
 
@@ -77,7 +55,7 @@ def keep(df: DataFrame, label: str, buckets: tuple[str, int] | None = None) -> D
             df.write.bucketBy(buckets[1], buckets[0]).option("path", path).saveAsTable(name)
         else:
             df.write.parquet(path)
-    atexit.register(_drop_at_exit, spark, path)
+    drop_at_exit(spark, path)
     out = spark.table(name) if buckets else spark.read.schema(df.schema).parquet(path)
     _kept[id(out)] = (path, name if buckets else None)
     weakref.finalize(out, _kept.pop, id(out), None)
@@ -91,7 +69,7 @@ def dropped(*tables: DataFrame) -> None:
         if name:
             df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         if path:
-            drop_table(df.sparkSession, path)
+            drop_folder(df.sparkSession, path)
 
 
 def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:

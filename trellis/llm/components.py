@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import drop_table, keep
+from trellis.llm.common import dropped, keep
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,12 +27,12 @@ def components(edges: DataFrame) -> DataFrame:
     Rounds of large and small stars, each written to the shared folder, until the edges stay the same; the number of
     rounds grows with the logarithm of the longest path. Loops, repeated edges and an empty table are fine; null ends drop out."""
     now = edges.where("u is not null and v is not null and u <> v").select("u", "v").distinct()
-    spark, seen, path = edges.sparkSession, None, None
+    seen, old = None, None
     while True:
         now = keep(_star(_star(now, True), False), "edges")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if path:
-            drop_table(spark, path)
+        if old is not None:
+            dropped(old)
         if mark == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        seen, path = mark, now.inputFiles()[0].rsplit("/", 1)[0] if now.inputFiles() else None
+        seen, old = mark, now

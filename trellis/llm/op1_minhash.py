@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm.common import broadcast_up_to, keep, mix, shingle_set, table
+from trellis.llm.common import broadcast_up_to, dropped, keep, mix, shingle_set, table
 from trellis.llm.components import components
 
 WORDS, SYMBOLS, CHUNKS, RADIUS = 5, 64, 16, 31
@@ -109,17 +109,21 @@ def _read_sets(wanted: DataFrame, firsts: DataFrame, docs: DataFrame, column: st
     wanted = keep(firsts.join(wanted, "nid").select("nid", "doc_id"), "op1-wanted")
     texts = docs.join(broadcast_up_to(wanted, BROADCAST_IDS), "doc_id").select("nid", "text")
     found = texts.mapInArrow(of, f"nid long, found long, out {kind}").where("nid = found").dropDuplicates(["nid"])
-    return keep(found.select("nid", F.col("out").alias(name)), f"op1-{name}")
+    out = keep(found.select("nid", F.col("out").alias(name)), f"op1-{name}")
+    dropped(wanted)
+    return out
 
 
 def _confirmed(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b, na, nb), those whose full sets have a Jaccard of 0.75 or more."""
+    """Of the pairs (a, b, na, nb), those whose full sets have a Jaccard of 0.75 or more; a written table."""
     pairs = keep(pairs, "op1-candidates")
     wanted = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
     sets = _read_sets(wanted, firsts, docs, "shingles array<long>", _of_sets(pa.list_(pa.int64()), lambda s: s.view(np.int64)))
     joined = pairs.join(sets.select(F.col("nid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("nid").alias("b"), F.col("shingles").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    return joined.where(both * 100 >= (F.col("na") + F.col("nb") - both) * 75).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    out = keep(joined.where(both * 100 >= (F.col("na") + F.col("nb") - both) * 75).select(F.col("a").alias("u"), F.col("b").alias("v")), "op1-edges")
+    dropped(pairs, sets)
+    return out
 
 
 def _first_bucket(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,12 +193,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = keep(keys.groupBy("key", "at").agg(F.min("nid").alias("head"), F.count("*").alias("members")).where("members > 1"), "op1-buckets")
     members = keep(keys.join(buckets, ["key", "at"]), "op1-members")
     stars = members.where("nid <> head").select(F.col("head").alias("a"), F.col("nid").alias("b")).distinct()
-    edges = keep(_confirmed(_within(stars, nodes), firsts, docs), "op1-edges")
+    edges = _confirmed(_within(stars, nodes), firsts, docs)
     roots = keep(components(edges), "op1-roots")
     # What the stars leave open: buckets of three and more that still hold several components.
     open_ = members.where("members > 2").join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("key", "at", "nid", "head", F.coalesce("root", "nid").alias("comp"))
     several = open_.groupBy("key", "at").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("members")).where("least <> most").select("key", "at", "members")
     open_ = keep(open_.where("nid <> head").join(several, ["key", "at"]).select("key", "at", "nid", "comp", "members"), "op1-open")
+    dropped(buckets, members)
     bins = _read_sets(open_.select("nid").distinct(), firsts, docs, "bins binary", _of_sets(pa.binary(), _bins))
     rows = open_.join(nodes.select("nid", "n", "chunks").join(bins, "nid"), "nid")
     blocks = F.ceil(F.col("members") / SPLIT)
@@ -206,7 +211,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = dealt.groupBy("g", "i", "j").applyInPandas(_compared, "a long, b long").where("a <> b").distinct()
     sizes = [nodes.select(F.col("nid").alias(s), F.col("n").alias(f"n{s}")) for s in "ab"]
     more = more.join(sizes[0], "a").join(sizes[1], "b")
-    more = keep(_confirmed(more, firsts, docs), "op1-edges")
+    more = _confirmed(more, firsts, docs)
+    dropped(open_, bins)
     if not more.isEmpty():
         roots = keep(components(edges.unionByName(more)), "op1-roots")
     root = nodes.select("nid", "hi", "doc_id").join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("nid", "hi", "doc_id", F.coalesce("root", "nid").alias("root"))
