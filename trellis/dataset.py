@@ -490,7 +490,9 @@ class GraphDataset:
             raise ValueError("its portal is gone")
         gone = self.traverse_portal(portal.iri)
         graphs = self.layers(activity.target_iri, "interior")
-        n = self.store.remove([(g, *t) for g in graphs for t in gone if t in self.store.get_graph(g)])
+        away = self.store.spark.createDataFrame([(*t, g) for g in graphs for t in map(tuple, gone)], "s string, p string, o string, name string")
+        there = self.quads.join(away.withColumn("g", F.concat(F.lit("<"), "name", F.lit(">"))), ["g", "s", "p", "o"], "left_semi").collect()  # at most what goes
+        n = self.store.remove([(r.g[1:-1], r.s, r.p, r.o) for r in there])
         for g in graphs:
             self._refresh_eager(g, activity.target_iri)
         return n
@@ -505,10 +507,17 @@ class GraphDataset:
 
     # validation
     def _validated(self, holon_iri, data: DataFrame) -> MembraneResult:
-        shapes = [t for g in self.layers(holon_iri, "boundary") for t in self.store.get_graph(g)]
-        if not any(s_p[1].startswith(f"<{SH}") for s_p in shapes):
+        shapes = self._boundary(holon_iri)
+        if not shapes:
             return MembraneResult(holon_iri, True, MembraneHealth.INTACT, "No boundary shapes defined.")
-        report = sorted(shacl.validate(data, shapes, self.quads).collect(), key=str)
+        return self._judged(holon_iri, shacl.validate(data, shapes, self.quads).collect())
+
+    def _boundary(self, holon_iri) -> frozenset:
+        shapes = frozenset(t for g in self.layers(holon_iri, "boundary") for t in self.store.get_graph(g))
+        return shapes if any(t[1].startswith(f"<{SH}") for t in shapes) else frozenset()
+
+    def _judged(self, holon_iri, report: list) -> MembraneResult:
+        report = sorted(report, key=lambda r: str([r[x] for x in ("shape", "focus", "path", "value", "message", "severity", "component")]))
         violations, warnings, rows = [], [], []
         for r in report:
             kind = "Violation" if r.severity.endswith("Violation") else "Warning" if r.severity.endswith("Warning") else None
@@ -526,7 +535,21 @@ class GraphDataset:
         return result
 
     def validate_all(self) -> dict[str, MembraneResult]:
-        return {h: self.validate_membrane(h) for h in self._holons()}
+        """Every unit against its boundary; units of one boundary are one plan, in which the unit is a key."""
+        by, out = defaultdict(list), {}
+        for h in self._holons():
+            by[self._boundary(h)].append(h)
+        for shapes, units in by.items():
+            found = defaultdict(list)
+            if shapes:
+                graphs = self.store.spark.createDataFrame([(iri(g), h) for h in units for g in self.layers(h, "interior")], "g string, unit string")
+                for r in shacl.validate(self.quads.join(graphs, "g").select("unit", "s", "p", "o"), shapes, self.quads).collect():
+                    found[r.unit].append(r)
+            out |= {h: self._judged(h, found[h]) if shapes else MembraneResult(h, True, MembraneHealth.INTACT, "No boundary shapes defined.") for h in units}
+        for h in self._holons():
+            for hook in self._validation_hooks:
+                hook(h, out[h])
+        return {h: out[h] for h in self._holons()}
 
     def surface_report(self, holon_iri, result: MembraneResult | None = None) -> SurfaceReport:
         out = SurfaceReport(holon_iri)

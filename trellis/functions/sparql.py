@@ -11,19 +11,26 @@ from trellis.functions import terms as T
 
 
 class Value:
-    def __init__(self, column: Column, kind: str = "term", whole: Column | None = None, constant: str | None = None):
-        self.column, self.kind, self.whole, self.constant = column, kind, whole, constant
+    def __init__(self, column: Column, kind: str = "term", whole: Column | None = None, constant: str | None = None, precise: Column | None = None):
+        """whole: whether a num is an integer; precise: that integer as a decimal, for what a double can't hold."""
+        self.column, self.kind, self.whole, self.constant, self.precise = column, kind, whole, constant, precise
 
     def token(self) -> Column:
         if self.kind == "term":
             return self.column
         if self.kind == "num" and self.whole is not None:
-            return F.when(self.column.isNotNull(), F.when(self.whole, T.encode(self.column.try_cast("bigint"), "int")).otherwise(T.encode(self.column, "num")))
+            return F.when(self.column.isNotNull(), F.when(self.whole, T.encode(self.column.try_cast("bigint") if self.precise is None else self.precise, "int")).otherwise(T.encode(self.column, "num")))
         return T.encode(self.column, self.kind)
 
     def number(self) -> Column:
         return T.number(self.column) if self.kind == "term" else self.column if self.kind in ("int", "num") else F.lit(None).cast("double")
 
+    def exact(self) -> Column:
+        """The value of an integer or decimal; null for doubles."""
+        if self.precise is not None:
+            return F.when(self.whole, self.precise)
+        return T.exact(self.column) if self.kind == "term" else self.column.try_cast("decimal(38,9)") if self.kind == "int" else F.lit(None).cast("decimal(38,9)")
+
     def is_whole(self) -> Column:
         if self.kind == "term":
             return F.coalesce(self.column.rlike(rf'\^\^<{T.XSD}(?:{"|".join(T.INTEGERS)})>$'), F.lit(False))
@@ -43,6 +50,9 @@ class Value:
         return [rank.alias("k0"), self.number().alias("k1"), self.timestamp().alias("k2"), self.string().alias("k3")]
 
 
+_EXACT = float(2**53)
+
+
 def truth(v: Value) -> Column:
     """The effective boolean value; null for an error."""
     if v.kind == "bool":
@@ -67,7 +77,10 @@ def compare(op: str, a: Value, b: Value) -> Column:
         for x, y in ((a, b), (b, a)):  # an IRI or plain string equals its own token alone
             if x.constant is not None and (x.constant.startswith("<") or x.constant.endswith('"')):
                 return relate(y.token(), x.column)
-    numbers, times = relate(a.number(), b.number()), relate(a.timestamp(), b.timestamp())
+    # Doubles hold integers up to 2^53; beyond, digits are compared.
+    p, q = a.number(), b.number()
+    numbers = F.when((F.abs(p) >= _EXACT) & (F.abs(q) >= _EXACT), F.coalesce(relate(a.exact(), b.exact()), relate(p, q))).otherwise(relate(p, q))
+    times = relate(a.timestamp(), b.timestamp())
     x, y = a.token(), b.token()
     if op in ("=", "!="):
         return F.coalesce(numbers, times, relate(x, y))
@@ -93,6 +106,17 @@ def _uri_encoded(x: Column) -> Column:
     return x
 
 
+def _zone(text: Column) -> Column:
+    return F.regexp_extract(text, r"T.*?(Z|[+-]\d{2}:\d{2})$", 1)
+
+
+def _duration(zone: Column) -> Column:
+    hours, minutes = (F.substring(zone, at, 2).try_cast("int") for at in (2, 5))
+    part = lambda n, unit: F.when(n != 0, F.concat(n.cast("string"), F.lit(unit))).otherwise("")
+    some = F.coalesce((hours != 0) | (minutes != 0), F.lit(False))
+    return F.when(some, F.concat(F.when(zone.startswith("-"), "-").otherwise(""), F.lit("PT"), part(hours, "H"), part(minutes, "M"))).otherwise("PT0S")
+
+
 def _pattern(args: list[Value], at: int) -> Column:
     flags = F.concat(F.lit("(?"), args[at].string(), F.lit(")")) if len(args) > at else F.lit("")
     return F.concat(flags, args[1].string())
@@ -160,6 +184,8 @@ def call(name: str, a: list[Value], raw: list, columns: dict) -> Value:
         "ROUND": lambda: Value(F.floor(n[0]() + 0.5).cast("double"), "num", whole=a[0].is_whole()),
         "YEAR": lambda: date(F.year), "MONTH": lambda: date(F.month), "DAY": lambda: date(F.day),
         "HOURS": lambda: date(F.hour), "MINUTES": lambda: date(F.minute), "SECONDS": lambda: date(F.second),
+        "TZ": lambda: Value(F.when(a[0].timestamp().isNotNull(), _zone(s[0]())), "str"),
+        "TIMEZONE": lambda: Value(F.when(a[0].timestamp().isNotNull() & (_zone(s[0]()) != ""), F.concat(T.encode(_duration(_zone(s[0]())), "str"), F.lit(f"^^<{T.XSD}dayTimeDuration>")))),
         "NOW": lambda: Value(F.current_timestamp(), "ts"),
         "MD5": lambda: Value(F.md5(s[0]()), "str"), "SHA1": lambda: Value(F.sha1(s[0]()), "str"),
         "SHA256": lambda: Value(F.sha2(s[0](), 256), "str"), "SHA384": lambda: Value(F.sha2(s[0](), 384), "str"), "SHA512": lambda: Value(F.sha2(s[0](), 512), "str"),

@@ -150,6 +150,13 @@ def number(t: Column) -> Column:
     return F.when(text != "", text.try_cast("double"))
 
 
+def exact(t: Column) -> Column:
+    """The value of an integer or decimal literal, nine digits behind the point."""
+    kinds = "|".join([*INTEGERS, "decimal"])
+    text = F.regexp_extract(t, rf'^"([^"]*)"\^\^<{re.escape(XSD)}(?:{kinds})>$', 1)
+    return F.when(text != "", text.try_cast("decimal(38,9)"))
+
+
 def timestamp(t: Column) -> Column:
     text = F.regexp_extract(t, rf'^"([^"]*)"\^\^<{re.escape(XSD)}date(?:Time)?>$', 1)
     return F.when(text != "", text.try_cast("timestamp"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 import itertools
 
@@ -102,15 +103,21 @@ class Validator:
         for target in sh.all(shape, "target"):
             select = sh.one(target, "select")
             if select:
-                parts.append(self.sparql(decode(select), sh.prefixes(target)).select(*keys, F.col("this").alias("focus")))
+                found = self.sparql(decode(select), sh.prefixes(target))
+                found = found if not keys or "unit" in found.columns else found.join(self.data.select("unit", F.col("s").alias("this")).distinct(), "this")
+                parts.append(found.select(*keys, F.col("this").alias("focus")))
         return functools.reduce(DataFrame.unionByName, parts).distinct() if parts else None
 
     def sparql(self, text: str, prefixes: dict) -> DataFrame:
         from trellis.plans.compile import Compiler
-        from trellis.plans.sparql import Parser
+        from trellis.plans.sparql import Parser, Var
 
-        out = Compiler(self.spark, self.quads).run(Parser(text, prefixes).parse())
-        return out.crossJoin(self.data.select("unit").distinct()) if self.keys else out
+        q = Parser(text, prefixes).parse()
+        if self.keys and not _names_graphs(q.where):  # every unit's data by itself: the unit is the graph
+            unit = Var("unit")
+            q = dataclasses.replace(q, where=[("graph", unit, q.where)], project=[*q.project, (("var", unit), unit)] if q.project is not None else None, group=[*q.group, (("var", unit), unit)] if q.group else q.group)
+            return Compiler(self.spark, self.data.select(F.col("unit").alias("g"), "s", "p", "o")).run(q)
+        return Compiler(self.spark, self.quads).run(q)
 
     # paths
     def path(self, p: str):
@@ -242,7 +249,9 @@ class Validator:
                 hits = self.sparql(decode(text), {**sh.prefixes(query), **sh.prefixes(shape)})
                 own = [decode(m) for m in sh.all(query, "message")]
                 shown = F.col("value") if "value" in hits.columns else F.col("this")
-                hits = hits.withColumn("focus", F.col("this")).withColumn("value", shown).join(focus, [*keys, "focus"], "left_semi")
+                hits = hits.withColumn("focus", F.col("this")).withColumn("value", shown)
+                # A query that names graphs sees them all; its rows then belong to every unit whose focus node it is.
+                hits = hits.join(focus, [*keys, "focus"], "left_semi") if not keys or "unit" in hits.columns else hits.join(focus, "focus")
                 bad(hits, "SPARQL", F.col("value"), F.lit(own[0] if own else "SPARQL constraint"))
         for inner in sh.all(shape, "property"):
             if p := sh.one(inner, "path"):
@@ -257,6 +266,11 @@ class Validator:
         return functools.reduce(DataFrame.unionByName, parts, self.empty()).select(*self.keys, F.col("focus").alias("value")).distinct()
 
 
+def _names_graphs(e) -> bool:
+    """Whether a pattern has GRAPH, or a sub-select, whose variables are its own."""
+    return isinstance(e, (tuple, list)) and bool(e) and (e[0] in ("graph", "select") or any(_names_graphs(x) for x in e))
+
+
 def health(report: DataFrame, units: DataFrame) -> DataFrame:
     """(unit) -> unit, health: compromised with a violation, weakened with a warning, else intact."""
     worst = report.groupBy("unit").agg(F.max(F.col("severity").endswith("Violation")).alias("v"), F.max(F.col("severity").endswith("Warning")).alias("w"))

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.functions.terms import decode, iri, literal
-from trellis.operators.fixpoint import written
+from trellis.storage import written
 from trellis.plans.compile import Compiler
 from trellis.plans.sparql import Query, Update, parse
 from trellis.sources import bulk, turtle
 
 SCHEMA = bulk.QUADS
+#: An update of at most so many quads goes through the driver; beyond, through a plan.
+FEW = 1_000
 Triple = tuple[str, str, str]
 
 
@@ -224,23 +226,31 @@ class SparkStore(AbstractGraphStore):
             solution = compiler.group(u.where)
             solution.df = written(solution.df, "match") if solution.names else solution.df
             away, new = (compiler.construct(t, solution) for t in (u.delete, u.insert))
-            away = [tuple(r) for r in away.collect()]
-            new = [tuple(r) for r in new.collect()]
-            everywhere = {t[1:] for t in away if t[0] is None}
-            gone = {q for q in plain(t for t in away if t[0])} | ({q for q in self.rows() if q[1:] in everywhere} if everywhere else set())
-            if any(q[0] is None for q in new):
+            if any(t[0] is None for t in u.insert):
                 raise ValueError("every triple lives in a named graph: use GRAPH")
-            if gone:
-                self.remove(gone)
-            self._insert(plain(new))
+            few = [df.limit(FEW + 1).collect() for df in (away, new)]
+            if max(map(len, few)) <= FEW and not any(t[0] is None for t in u.delete):
+                if few[0]:
+                    self.remove(set(plain(few[0])))
+                self._insert(plain(few[1]))
+            else:  # any number of quads: one plan, written
+                left = self.quads.join(away.where("g is not null"), ["g", "s", "p", "o"], "left_anti")
+                if any(t[0] is None for t in u.delete):
+                    left = left.join(away.where("g is null").select("s", "p", "o"), ["s", "p", "o"], "left_anti")
+                self.base, self.local = written(left.select("g", "s", "p", "o").unionByName(new).distinct(), "quads"), {}
+                self._changed(True)
         elif u.kind == "drop":
             for g in self.list_named_graphs() if u.target in ("all", "named") else [] if u.target == "default" else [u.target[1:-1]]:
                 self.delete_graph(g)
         elif u.kind in ("copy", "move", "add"):
             source, target = u.source[1:-1], u.target[1:-1]
             if source != target:
-                triples = self.get_graph(source)
-                (self.post_graph if u.kind == "add" else self.put_graph)(target, triples)
+                if u.kind != "add":
+                    self.delete_graph(target)
+                if source in self.base_names():
+                    self.load(self.quads.where(F.col("g") == u.source).withColumn("g", F.lit(u.target)))
+                else:
+                    self.post_graph(target, self.local.get(source, ()))
                 if u.kind == "move":
                     self.delete_graph(source)
         elif u.kind == "load":

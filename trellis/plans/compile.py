@@ -7,6 +7,7 @@ keeps them connected and starts with the most constants. Expressions never raise
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 import itertools
 
@@ -31,6 +32,7 @@ class Solution:
 class Compiler:
     def __init__(self, spark: SparkSession, quads: DataFrame, bindings: dict[str, str] | None = None):
         self.spark, self.quads, self.bindings = spark, quads, bindings or {}
+        self.default = quads  # what patterns outside GRAPH see
         self.fresh = itertools.count()
 
     # solutions
@@ -40,7 +42,7 @@ class Compiler:
     def scan(self, graph) -> tuple[DataFrame, str | None]:
         """The triples that a graph context sees; for a variable, with its column g."""
         if graph is None:
-            return self.quads.select("s", "p", "o").distinct(), None
+            return self.default.select("s", "p", "o").distinct(), None
         if isinstance(graph, Var):
             return self.quads, graph
         return self.quads.where(F.col("g") == graph).select("s", "p", "o"), None
@@ -49,7 +51,7 @@ class Compiler:
         if isinstance(p, tuple):
             return self.path(s, p, o, graph)
         if graph is None:  # filter first, then drop what several graphs repeat
-            df, g = self.quads, None
+            df, g = self.default, None
         else:
             df, g = self.scan(graph)
         seen: dict[str, str] = {}
@@ -123,8 +125,8 @@ class Compiler:
             reached = closure(edges, keep, start)
         return reached if kind == "plus" else reached.unionByName(same).distinct()
 
-    def join(self, a: Solution, b: Solution, how: str = "inner", extra: list = ()) -> Solution:
-        """Natural join; extra: filters of an OPTIONAL that belong to the condition."""
+    def join(self, a: Solution, b: Solution, how: str = "inner", extra: list = (), minus: bool = False) -> Solution:
+        """Natural join; extra: filters of an OPTIONAL that belong to the condition; minus: one variable must be bound on both sides."""
         both = [v for v in a.names if v in b.names]
         if not both and not extra and how == "inner":
             return Solution(a.df.crossJoin(b.df), a.sure | b.sure, a.maybe | b.maybe)
@@ -136,6 +138,8 @@ class Compiler:
         tag = f"__r{next(self.fresh)}_"
         right = b.df.select(*[F.col(v).alias(tag + v) for v in b.names])
         condition = [F.col(v) == F.col(tag + v) if v in plain else F.col(v).isNull() | F.col(tag + v).isNull() | (F.col(v) == F.col(tag + v)) for v in both]
+        if minus and not plain:
+            condition.append(functools.reduce(Column.__or__, [F.coalesce(F.col(v) == F.col(tag + v), F.lit(False)) for v in both]))
         if extra:
             columns = {v: F.coalesce(F.col(v), F.col(tag + v)) if v in both else F.col(tag + v) if v in b.names else F.col(v) for v in {*a.names, *b.names}}
             condition += [truth(self.value(e, columns)) for e in extra]
@@ -180,7 +184,7 @@ class Compiler:
             if kind == "minus":
                 right = self.group(e[1], graph)
                 if set(now.names) & set(right.names):
-                    now = self.join(now, right, "left_anti")
+                    now = self.join(now, right, "left_anti", minus=True)
                 continue
             if kind == "bind":
                 value = self.value(e[1], {v: F.col(v) for v in now.names}).token()
@@ -294,7 +298,10 @@ class Compiler:
             a, b = (self.value(x, columns) for x in e[1:])
             x, y = a.number(), b.number()
             out = {"+": x + y, "-": x - y, "*": x * y, "/": F.try_divide(x, y)}[kind]
-            return Value(out, "int" if kind != "/" and a.kind == "int" and b.kind == "int" else "num", whole=F.lit(kind != "/") & a.is_whole() & b.is_whole())
+            if kind == "/":
+                return Value(out, "num", whole=F.lit(False))
+            p, q = (v.exact().cast("decimal(38,0)") for v in (a, b))
+            return Value(out, "num", whole=a.is_whole() & b.is_whole(), precise={"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[kind](p, q))
         if kind == "call":
             return call(e[1], [self.value(x, columns) for x in e[2]], e[2], columns)
         raise ValueError(f"unknown expression {kind}")
@@ -374,7 +381,11 @@ class Compiler:
         if name in ("SUM", "AVG"):
             number = value.number()
             whole = F.coalesce(F.every(value.is_whole()), F.lit(True)) if name == "SUM" else F.lit(False)
-            total = (F.sum_distinct(number) if distinct else F.sum(number)) if name == "SUM" else (F.avg(F.when(F.lit(True), number)) if not distinct else F.sum_distinct(number) / F.count_distinct(number))
+            if name == "SUM":  # whole numbers add up exactly
+                exact = value.exact().cast("decimal(38,0)")
+                exact = F.coalesce(F.sum_distinct(exact) if distinct else F.try_sum(exact), F.lit(0).cast("decimal(38,0)"))
+                return F.when(whole, T.encode(exact, "int")).otherwise(T.encode(F.sum_distinct(number) if distinct else F.sum(number), "num"))
+            total = None if name == "SUM" else (F.avg(F.when(F.lit(True), number)) if not distinct else F.sum_distinct(number) / F.count_distinct(number))
             return Value(F.coalesce(total, F.lit(0.0)), "num", whole=whole).token()
         if name in ("MIN", "MAX"):
             best = (F.min if name == "MIN" else F.max)(F.when(token.isNotNull(), F.struct(*value.order_keys(), token.alias("t"))))
@@ -407,6 +418,10 @@ class Compiler:
 
     def run(self, q: Query) -> DataFrame:
         """select: a column for each variable; construct and describe: (s, p, o); ask: one row with `ask`."""
+        if q.dataset is not None:
+            chosen = Compiler(self.spark, self.quads.where(F.col("g").isin(q.dataset[1]) if q.dataset[1] else F.lit(False)), self.bindings)
+            chosen.default = self.default.where(F.col("g").isin(q.dataset[0]) if q.dataset[0] else F.lit(False))
+            return chosen.run(dataclasses.replace(q, dataset=None))
         if q.form == "select":
             return self.select(q).df
         if q.form == "ask":
