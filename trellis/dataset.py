@@ -228,7 +228,7 @@ class GraphDataset:
             return None
         d = self._summary(holon_iri, HolonDetail)
         d.interior_graphs, d.boundary_graphs, d.projection_graphs, d.context_graphs = info.interior_graphs, info.boundary_graphs, info.projection_graphs, info.context_graphs
-        d.interior_triple_count = sum(len(self.store.rows(g)) for g in info.interior_graphs)
+        d.interior_triple_count = self.quads.where(F.col("g").isin([iri(g) for g in info.interior_graphs])).count()
         for g in [g for r in ROLES for g in self.layers(holon_iri, r)]:
             if m := self.get_graph_metadata(g):
                 d.layer_metadata[g] = m
@@ -236,11 +236,9 @@ class GraphDataset:
         return d
 
     def holon_interior_classes(self, holon_iri: str) -> list[ClassInstanceCount]:
-        found = defaultdict(set)
-        for g in self.layers(holon_iri, "interior"):
-            for _, s, _, o in self.store.rows(g, None, TYPE):
-                found[o].add(s)
-        return [ClassInstanceCount(decode(c), len(x)) for c, x in sorted(found.items(), key=lambda x: (-len(x[1]), x[0]))]
+        typed = self.quads.where(F.col("g").isin([iri(g) for g in self.layers(holon_iri, "interior")]) & (F.col("p") == TYPE))
+        found = [ClassInstanceCount(decode(r.o), r.n) for r in typed.groupBy("o").agg(F.count_distinct("s").alias("n")).collect()]
+        return sorted(found, key=lambda c: (-c.count, c.class_iri))
 
     def compute_depth(self, holon: str | None = None) -> HolarchyTree:
         parents: dict = {h: None for h in self._holons()}
@@ -645,7 +643,12 @@ class GraphDataset:
         return age is None or age > max_age
 
     def stale_holons(self, max_age: timedelta = timedelta(hours=1)) -> list[str]:
-        return [h for h in self._holons() if self.is_stale(h, max_age)]
+        """One pass over the history for all units."""
+        last: dict = {}
+        for r in self._traversals():  # the last comes first
+            last.setdefault(r.target_iri, parse_time(r.timestamp) if r.timestamp else None)
+        at = datetime.now(timezone.utc)
+        return [h for h in self._holons() if last.get(h) is None or at - last[h] > max_age]
 
     def derivation_chain(self, holon_iri) -> list[str]:
         out, seen, queue = [], {holon_iri}, deque([holon_iri])
@@ -667,13 +670,16 @@ class GraphDataset:
             if holon:
                 self._rollup(holon)
 
-    def refresh_graph(self, graph: str) -> GraphMetadata:
+    def refresh_graph(self, graph: str, counted: tuple | None = None) -> GraphMetadata:
+        """counted: the graph's triples and instances by class, if they are known."""
         if hasattr(self.store, "refresh_graph_metadata"):
             return self.store.refresh_graph_metadata(graph, self.registry)
         if not self._typed:
             self._add((iri(self.registry), TYPE, self.cga("HolonicGraph")), (iri(self.registry), self.cga("graphRole"), self.cga("RegistryRole")))
             self._typed = True
-        if graph in self.store.base_names():  # one aggregate over the graph's quads
+        if counted is not None:
+            total, classes = counted
+        elif graph in self.store.base_names():  # one aggregate over the graph's quads
             of = self.quads.where(F.col("g") == iri(graph))
             total, classes = of.count(), {r[0]: r[1] for r in of.where(F.col("p") == TYPE).groupBy("o").count().collect()}
         else:
@@ -702,15 +708,21 @@ class GraphDataset:
         times = [o for r in ROLES for g in self.layers(holon, r) for _, _, o in self._reg(iri(g), self.cga("lastModified"))]
         self._add((h, self.cga("interiorTripleCount"), literal(sum(c for c in counts if c))), *([(h, self.cga("holonLastModified"), max(times))] if times else []))
 
-    def refresh_metadata(self, holon_iri) -> None:
+    def refresh_metadata(self, holon_iri, counted: dict | None = None) -> None:
         for g in [g for r in ROLES for g in self.layers(holon_iri, r)]:
-            self.refresh_graph(g)
+            self.refresh_graph(g, None if counted is None else counted.get(g, (0, {})))
         self._rollup(holon_iri)
 
     def refresh_all_metadata(self) -> int:
+        """All layers' counts by one aggregate over the quads."""
         every = self._holons()
+        layers = self.store.spark.createDataFrame([(iri(g),) for h in every for r in ROLES for g in self.layers(h, r)], "g string").distinct()
+        counted: dict = {}
+        for r in self.quads.join(layers, "g", "left_semi").groupBy("g", F.when(F.col("p") == TYPE, F.col("o")).alias("c")).agg(F.count("*").alias("n")).collect():
+            total, classes = counted.get(r.g[1:-1], (0, {}))
+            counted[r.g[1:-1]] = (total + r.n, classes | ({r.c: r.n} if r.c is not None else {}))
         for h in every:
-            self.refresh_metadata(h)
+            self.refresh_metadata(h, counted)
         return len(every)
 
     def get_graph_metadata(self, graph_iri) -> GraphMetadata | None:

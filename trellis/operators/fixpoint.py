@@ -10,6 +10,8 @@ from trellis.storage import written
 
 #: So many edges are walked on the driver: they have at most some 500,000 pairs of ends. Beyond, rounds of joins; the result is the same.
 SMALL = 1_000
+#: Steps of a search in one round.
+STEPS = 4
 
 
 def _few(edges: DataFrame) -> list | None:
@@ -71,8 +73,13 @@ def distances(edges: DataFrame, start: DataFrame, max_depth: int | None = None)
     seen = front = written(start.select("node", F.lit(0).alias("distance")).distinct(), "front")
     depth = 0
     while (max_depth is None or depth < max_depth) and not front.isEmpty():
-        depth += 1
-        found = front.join(edges, front["node"] == edges["a"]).select(F.col("b").alias("node")).distinct()
-        front = written(found.join(seen, "node", "left_anti").select("node", F.lit(depth).alias("distance")), "front")
-        seen = seen.unionByName(front)
+        steps = STEPS if max_depth is None else min(STEPS, max_depth - depth)
+        found, at = None, front.select("node")
+        for k in range(1, steps + 1):  # several steps a round: what a later one finds again is farther
+            at = at.join(edges, at["node"] == edges["a"]).select(F.col("b").alias("node")).distinct()
+            one = at.select("node", F.lit(depth + k).alias("distance"))
+            found = one if found is None else found.unionByName(one)
+        depth += steps
+        new = written(found.groupBy("node").agg(F.min("distance").alias("distance")).join(seen, "node", "left_anti"), "front")
+        seen, front = seen.unionByName(new), new.where(F.col("distance") == depth)
     return seen

@@ -18,6 +18,8 @@ from trellis.sources import bulk, turtle
 SCHEMA = bulk.QUADS
 #: An update of at most so many quads goes through the driver; beyond, through a plan.
 FEW = 1_000
+#: A graph of at most so many triples is kept on the driver once it was read.
+CACHED = 20_000
 Triple = tuple[str, str, str]
 
 
@@ -91,6 +93,7 @@ class SparkStore(AbstractGraphStore):
         self._frame: DataFrame | None = None
         #: The base's graph names, read once a snapshot.
         self._names: set | None = None
+        self._read: dict[str, list | None] = {}
 
     # snapshots
     def snapshot(self):
@@ -98,12 +101,12 @@ class SparkStore(AbstractGraphStore):
 
     def restore(self, snapshot) -> None:
         self.base, self.local, self._names = snapshot[0], dict(snapshot[1]), snapshot[2]
-        self._frame = None
+        self._frame, self._read = None, {}
 
     def _changed(self, base: bool = False) -> None:
         self._frame = None
         if base:
-            self._names = None
+            self._names, self._read = None, {}
 
     @property
     def quads(self) -> DataFrame:
@@ -118,17 +121,34 @@ class SparkStore(AbstractGraphStore):
             self._names = set() if self.base is None else {r[0][1:-1] for r in self.base.select("g").distinct().collect()}
         return self._names
 
+    def _small(self, graph: str) -> list | None:
+        """The triples of a graph of the base with at most CACHED of them, read once a snapshot: the catalog's graphs are asked often."""
+        if graph not in self._read:
+            found = self.base.where(F.col("g") == iri(graph)).select("s", "p", "o").distinct().limit(CACHED + 1).collect()
+            self._read[graph] = [tuple(r) for r in found] if len(found) <= CACHED else None
+        return self._read[graph]
+
     def rows(self, graph: str | None = None, s: str | None = None, p: str | None = None, o: str | None = None) -> list[tuple]:
         """Quads that match a pattern (graph without brackets, terms as tokens); for the catalog's small graphs."""
         names = [graph] if graph is not None else list(self.local)
         out = [(g, *t) for g in names for t in self.local.get(g, ()) if (s is None or t[0] == s) and (p is None or t[1] == p) and (o is None or t[2] == o)]
-        if self.base is not None and (graph is None or graph in self.base_names()):
+        small = self._small(graph) if graph is not None and self.base is not None and graph in self.base_names() else None
+        if small is not None:
+            out = list({*out, *((graph, *t) for t in small if (s is None or t[0] == s) and (p is None or t[1] == p) and (o is None or t[2] == o))})
+        elif self.base is not None and (graph is None or graph in self.base_names()):
             df = self.base
             for column, term in (("g", iri(graph) if graph is not None else None), ("s", s), ("p", p), ("o", o)):
                 df = df if term is None else df.where(F.col(column) == term)
             out = list({*out, *((r[0][1:-1], r[1], r[2], r[3]) for r in df.select("g", "s", "p", "o").distinct().collect())})
         return sorted(out)
 
+    def graphs_with(self, p: str, o: str) -> set[str]:
+        """The graphs that have a triple with this predicate and object: one plan, of which names alone come back."""
+        found = {g for g, ts in self.local.items() if any(t[1] == p and t[2] == o for t in ts)}
+        if self.base is not None:
+            found |= {r[0][1:-1] for r in self.base.where((F.col("p") == p) & (F.col("o") == o)).select("g").distinct().collect()}
+        return found
+
     # graphs
     def graph_exists(self, graph: str) -> bool:
         return bool(self.local.get(graph)) or graph in self.base_names()

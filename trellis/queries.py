@@ -62,7 +62,7 @@ def events(spark, d):
 
 def key(column: str) -> Column:
     """The number at the end of an IRI."""
-    return F.regexp_extract(column, r"(\d+)>$", 1).cast("long")
+    return F.regexp_extract(column, r"(\d+)>$", 1).try_cast("long")
 
 
 TYPES: dict[str, Callable[[str], Column]] = {"key": key, "str": lambda c: T.lexical(F.col(c)), "num": lambda c: T.number(F.col(c)), "int": lambda c: T.number(F.col(c)).cast("long"), "bool": lambda c: T.boolean(F.col(c)), "round": lambda c: F.round(T.number(F.col(c)), 2)}
@@ -101,8 +101,8 @@ _add("union_bag", _sparql("SELECT ?x ?name WHERE { { GRAPH :suppliers { ?x :name
      "SELECT s_suppkey AS x, s_name AS name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer")
 _add("exists_semi", _sparql("SELECT ?c WHERE { GRAPH ?g { ?c a :Customer } FILTER EXISTS { GRAPH :orders { ?o :customer ?c ; :status \"O\" } } }", (customers, orders), c="key"),
      "SELECT c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O')")
-_add("not_exists_anti", _sparql("SELECT ?c WHERE { GRAPH ?g { ?c a :Customer } FILTER NOT EXISTS { GRAPH :orders { ?o :customer ?c } } }", (customers, orders), c="key"),
-     "SELECT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+_add("not_exists_anti", _sparql("SELECT ?c WHERE { GRAPH ?g { ?c a :Customer } FILTER NOT EXISTS { GRAPH :orders { ?o :customer ?c ; :status \"P\" } } }", (customers, orders), c="key"),
+     "SELECT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 _add("minus", _sparql("SELECT ?p WHERE { GRAPH :parts { ?p a :Part } MINUS { GRAPH :parts { ?p :brand \"Brand#11\" } } }", (parts,), p="key"),
      "SELECT p_partkey AS p FROM part WHERE p_brand <> 'Brand#11'")
 _add("values_inline", _sparql("SELECT ?c ?s WHERE { VALUES ?s { \"BUILDING\" \"MACHINERY\" } GRAPH ?g { ?c :mktsegment ?s } }", (customers,), c="key", s="str"),
@@ -122,8 +122,8 @@ _add("order_limit_offset", _sparql("SELECT ?o ?t WHERE { GRAPH :orders { ?o :tot
 _add("sub_select", _sparql("SELECT ?c ?name ?n WHERE { { SELECT ?c (COUNT(?o) AS ?n) WHERE { GRAPH :orders { ?o :customer ?c } } GROUP BY ?c } GRAPH ?g { ?c :name ?name } FILTER(?n >= 10) }", (customers, orders), c="key", name="str", n="int"),
      "SELECT c_custkey AS c, c_name AS name, n FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) JOIN customer ON o_custkey = c_custkey WHERE n >= 10")
 _add("distinct_default_graph", _sparql("SELECT DISTINCT ?s WHERE { ?c :mktsegment ?s }", (customers,), s="str"), "SELECT DISTINCT c_mktsegment AS s FROM customer")
-_add("theta_contains", _sparql("SELECT ?r ?n WHERE { GRAPH <urn:holarchy:registry> { ?a rdfs:label ?r . FILTER NOT EXISTS { ?a :memberOf ?x } ?b :memberOf ?y ; rdfs:label ?n } FILTER(CONTAINS(?r, SUBSTR(?n, 1, 1))) }", (registry,), r="str", n="str"),
-     "SELECT r_name AS r, n_name AS n FROM region, nation WHERE contains(r_name, substr(n_name, 1, 1))")
+_add("theta_contains", _sparql("SELECT ?r ?n WHERE { GRAPH <urn:holarchy:registry> { ?a rdfs:label ?r . FILTER NOT EXISTS { ?a :memberOf ?x } ?b :memberOf ?y ; rdfs:label ?n } FILTER(CONTAINS(?r, SUBSTR(?n, 2, 1))) }", (registry,), r="str", n="str"),
+     "SELECT r_name AS r, n_name AS n FROM region, nation WHERE contains(r_name, substr(n_name, 2, 1))")
 _add("construct_triples", lambda spark, d: Compiler(spark, orders(spark, d)).run(parse(_PREFIX + "CONSTRUCT { ?c :placed ?o . ?o :worth ?t } WHERE { GRAPH :orders { ?o :customer ?c ; :total ?t } FILTER(?t > 300000) }")).groupBy(F.regexp_extract("p", r"([a-z]+)>$", 1).alias("p")).agg(F.count("*").alias("n"), F.count_distinct("s").alias("subjects")),
      "SELECT 'placed' AS p, count(*) AS n, count(DISTINCT o_custkey) AS subjects FROM orders WHERE o_totalprice > 300000 HAVING count(*) > 0 UNION ALL SELECT 'worth', count(*), count(*) FROM orders WHERE o_totalprice > 300000 HAVING count(*) > 0")
 _add("ask", lambda spark, d: Compiler(spark, customers(spark, d)).run(parse(_PREFIX + "ASK { GRAPH ?g { ?c :acctbal ?b } FILTER(?b < 0) }")),
@@ -193,8 +193,8 @@ def scope_resolve(spark, d):
 _add("scope_resolve", scope_resolve, f"SELECT * FROM ({_BFS.format(edges=f'{_ONE} UNION SELECT b, a FROM ({_ONE})', depth=3)}) WHERE nation IN (SELECT c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal < 0)")
 
 
-def lineage(spark, d, max_depth=3):
-    """Orders that an order of the same customer follows, as derivations; how far each is from the customers' last order, up to max_depth (None: all)."""
+def lineage(spark, d):
+    """Orders that an order of the same customer follows, as derivations; how far each is from the customers' last order."""
     o = _table(spark, d, "orders")
     from pyspark.sql import Window
 
@@ -203,11 +203,10 @@ def lineage(spark, d, max_depth=3):
     quads = lift(follow, f"{P}context", ref(f"{P}order:", "o_orderkey"), {f"{PROV}wasDerivedFrom": ref(f"{P}order:", "before")})
     edges = quads.select(F.col("s").alias("a"), F.col("o").alias("b"))
     last = follow.where("after is null").select(ref(f"{P}order:", "o_orderkey").alias("node"))
-    return distances(edges, last, max_depth).groupBy(F.col("distance").cast("long").alias("distance")).agg(F.count("*").alias("n"))
+    return distances(edges, last).groupBy(F.col("distance").cast("long").alias("distance")).agg(F.count("*").alias("n"))
 
 
-_add("lineage", lineage, "SELECT k::BIGINT AS distance, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) - 1 AS k FROM orders) WHERE k <= 3 GROUP BY 1")
-_add("lineage_whole", lambda s, d: lineage(s, d, None), "SELECT k::BIGINT AS distance, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) - 1 AS k FROM orders) GROUP BY 1")
+_add("lineage", lineage, "SELECT k::BIGINT AS distance, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) - 1 AS k FROM orders) GROUP BY 1")
 
 # validation
 _SHAPE = f"@prefix : <{P}> . @prefix sh: <{SH}> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> . "
@@ -316,3 +315,120 @@ _add("rdfs_types", rdfs_types, """SELECT * FROM (SELECT 'urn:t:Customer' AS k, c
 _add("compose_union", lambda s, d: _spo(customers, s, d).unionByName(_spo(suppliers, s, d)).distinct().agg(F.count("*").alias("n"), F.count_distinct("s").alias("subjects")), "SELECT (SELECT 5 * count(*) FROM customer) + (SELECT 4 * count(*) FROM supplier) AS n, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS subjects")
 _add("graph_difference", lambda s, d: _spo(orders, s, d).join(Compiler(s, orders(s, d)).run(parse(_PREFIX + "CONSTRUCT { ?o ?p ?v } WHERE { GRAPH :orders { ?o :status \"F\" ; ?p ?v } }")), ["s", "p", "o"], "left_anti").agg(F.count("*").alias("n")), "SELECT 6 * count(*) AS n FROM orders WHERE o_orderstatus <> 'F'")
 _add("text_round_trip", lambda s, d: Compiler(s, lift(_table(s, d, "documents"), f"{P}docs", ref(f"{P}doc:", "doc_id"), {f"{P}text": "text"})).run(parse(_PREFIX + "SELECT ?d ?t WHERE { GRAPH :docs { ?d :text ?t } }")).select(key("d").alias("doc"), F.md5(T.lexical(F.col("t"))).alias("digest")), "SELECT doc_id AS doc, md5(text) AS digest FROM documents WHERE text IS NOT NULL")
+
+# more of SPARQL
+_add("minus_unbound", _sparql("SELECT ?c ?o WHERE { GRAPH ?g { ?c a :Customer } OPTIONAL { GRAPH :orders { ?o :customer ?c ; :status \"P\" } } MINUS { GRAPH :orders { ?o :priority \"1-URGENT\" } } }", (customers, orders), c="key", o="key"),
+     "SELECT c_custkey AS c, o_orderkey AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' WHERE o_orderkey IS NULL OR o_orderpriority <> '1-URGENT'")
+_BIG = 9007199254740992
+
+
+def _big(spark, d):
+    """Numbers around 2^53, which doubles can't tell apart."""
+    return lift(_table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 7 + _BIG).alias("n"), "o_orderstatus"), f"{P}big", ref(f"{P}order:", "o_orderkey"), {f"{P}n": "n", f"{P}status": "o_orderstatus"})
+
+
+TYPES["long"] = lambda c: T.lexical(F.col(c)).cast("decimal(38,0)").cast("string")
+_add("exact_integers", _sparql(f"SELECT ?o ?m WHERE {{ GRAPH :big {{ ?o :n ?n }} FILTER(?n > {_BIG + 4} || ?n = {_BIG + 1}) BIND(?n * 3 - 1 AS ?m) }}", (_big,), o="key", m="long"),
+     f"SELECT o_orderkey AS o, ((o_orderkey % 7 + {_BIG}) * 3 - 1)::VARCHAR AS m FROM orders WHERE o_orderkey % 7 IN (1, 5, 6)")
+_add("exact_sum", _sparql("SELECT ?s (SUM(?n) AS ?total) WHERE { GRAPH :big { ?o :n ?n ; :status ?s } } GROUP BY ?s", (_big,), s="str", total="long"),
+     f"SELECT o_orderstatus AS s, sum((o_orderkey % 7 + {_BIG})::HUGEINT)::VARCHAR AS total FROM orders GROUP BY 1")
+_add("from_named", _sparql("SELECT ?s (COUNT(?o) AS ?n) FROM :suppliers FROM NAMED :orders WHERE { ?x :nation ?nat . GRAPH ?g { ?o :status ?s ; :customer ?c } FILTER(?x = <urn:t:supplier:1>) } GROUP BY ?s", (customers, suppliers, orders), s="str", n="int"),
+     "SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1")
+_add("time_zones", _sparql("SELECT ?z ?d (COUNT(?e) AS ?n) WHERE { GRAPH :context { ?e prov:startedAtTime ?t } BIND(TZ(?t) AS ?z) BIND(STR(TIMEZONE(?t)) AS ?d) } GROUP BY ?z ?d", (events,), z="str", d="str", n="int"),
+     "SELECT 'Z' AS z, 'PT0S' AS d, count(*) AS n FROM events")
+_add("path_star", _sparql("SELECT ?x ?up WHERE { GRAPH <urn:holarchy:registry> { ?x a :Holon . ?x :memberOf* ?up } }", (registry,), x="str", up="str"),
+     "SELECT 'urn:t:region:' || r_regionkey AS x, 'urn:t:region:' || r_regionkey AS up FROM region UNION ALL SELECT 'urn:t:nation:' || n_nationkey, 'urn:t:nation:' || n_nationkey FROM nation UNION ALL SELECT 'urn:t:nation:' || n_nationkey, 'urn:t:region:' || n_regionkey FROM nation")
+_add("optional_nested", _sparql("SELECT ?c ?o ?t WHERE { GRAPH ?g { ?c a :Customer } OPTIONAL { GRAPH :orders { ?o :customer ?c ; :status \"P\" } OPTIONAL { GRAPH :orders { ?o :total ?t } FILTER(?t > 300000) } } }", (customers, orders), c="key", o="key", t="num"),
+     "SELECT c_custkey AS c, o_orderkey AS o, CASE WHEN o_totalprice > 300000 THEN o_totalprice END AS t FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P'")
+_add("group_implicit", _sparql("SELECT (COUNT(*) AS ?n) (COUNT(DISTINCT ?s) AS ?kinds) (MAX(?b) AS ?most) WHERE { GRAPH ?g { ?c :acctbal ?b ; :mktsegment ?s } }", (customers,), n="int", kinds="int", most="num"),
+     "SELECT count(*) AS n, count(DISTINCT c_mktsegment) AS kinds, max(c_acctbal) AS most FROM customer")
+_add("string_functions", _sparql("SELECT ?p ?r ?u ?i ?x WHERE { GRAPH :parts { ?p rdfs:label ?l ; :brand ?b } BIND(REPLACE(?l, \" \", \"-\") AS ?r) BIND(ENCODE_FOR_URI(CONCAT(?l, \"#/é\")) AS ?u) BIND(STRAFTER(?b, \"#\") AS ?x) BIND(STR(IRI(CONCAT(\"urn:b:\", ?x))) AS ?i) }", (parts,), p="key", r="str", u="str", i="str", x="str"),
+     "SELECT p_partkey AS p, replace(p_name, ' ', '-') AS r, replace(p_name, ' ', '%20') || '%23%2F%C3%A9' AS u, 'urn:b:' || split_part(p_brand, '#', 2) AS i, split_part(p_brand, '#', 2) AS x FROM part")
+_add("describe", lambda s, d: Compiler(s, customers(s, d)).run(parse(_PREFIX + "DESCRIBE ?c WHERE { GRAPH ?g { ?c :acctbal ?b FILTER(?b > 9000) } }")).groupBy(key("s").alias("c")).agg(F.count("*").alias("n")),
+     "SELECT c_custkey AS c, 5::BIGINT AS n FROM customer WHERE c_acctbal > 9000")
+
+# more of SHACL
+_add("shacl_maxcount", _shacl(":S a sh:NodeShape ; sh:targetClass :Customer ; sh:property [ sh:path [ sh:inversePath :customer ] ; sh:maxCount 9 ] .", lambda s, d: orders(s, d).unionByName(customers(s, d))),
+     "SELECT o_custkey AS focus, 'Violation' AS severity FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 HAVING count(*) > 9")
+_add("shacl_nodekind", _shacl(":S a sh:NodeShape ; sh:targetClass :Part ; sh:property [ sh:path :type ; sh:nodeKind sh:IRI ] .", parts, True),
+     "SELECT p_partkey AS focus, 'Violation' AS severity, p_type AS value FROM part")
+_add("shacl_closed", _shacl(":S a sh:NodeShape ; sh:targetClass :Supplier ; sh:closed true ; sh:ignoredProperties ( <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> ) ; sh:property [ sh:path :name ] ; sh:property [ sh:path :nation ] .", suppliers),
+     "SELECT s_suppkey AS focus, 'Violation' AS severity FROM supplier")
+_add("shacl_sparql_target", _shacl(":S a sh:NodeShape ; sh:target [ a sh:SPARQLTarget ; sh:select \"SELECT ?this WHERE { GRAPH ?g { ?this <urn:t:status> 'F' } }\" ] ; sh:property [ sh:path :total ; sh:maxInclusive 250000 ] .", orders),
+     "SELECT o_orderkey AS focus, 'Violation' AS severity FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 250000")
+
+
+def shacl_sparql_units(spark, d):
+    """A SPARQL constraint for every nation by itself: a customer whom its own nation's graph has with the largest balance there is a violation."""
+    quads = customers(spark, d)
+    text = _SHAPE + ":S a sh:NodeShape ; sh:targetClass :Customer ; sh:sparql [ sh:select \"SELECT $this WHERE { $this <urn:t:acctbal> ?b . FILTER NOT EXISTS { ?other <urn:t:acctbal> ?more . FILTER(?more > ?b) } }\" ] ."
+    report = shacl.validate(quads.select(F.col("g").alias("unit"), "s", "p", "o"), [q[1:] for q in turtle(text)])
+    return report.select(key("unit").alias("nation"), key("focus").alias("customer"))
+
+
+_add("shacl_sparql_units", shacl_sparql_units, "SELECT c_nationkey::BIGINT AS nation, c_custkey AS customer FROM customer QUALIFY rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) = 1")
+
+
+# the dataset facade and the store over the same tables
+def _dataset(spark, d, *more):
+    from trellis.dataset import GraphDataset
+    from trellis.operators.store import SparkStore
+
+    quads = registry(spark, d)
+    for f in more:
+        quads = quads.unionByName(f(spark, d))
+    return GraphDataset(SparkStore(spark, quads), REG, load_ontology=False, metadata_updates="off", vocabulary=P)
+
+
+_add("dataset_holons", lambda s, d: s.createDataFrame([(h.iri, h.label, len(h.interior_graphs)) for h in _dataset(s, d).list_holons()], "h string, label string, interiors long"), SQL["holons_with_layers"])
+_add("dataset_find_path", lambda s, d: s.createDataFrame([(k, p.iri) for k, p in enumerate(_dataset(s, d).find_path(f"{P}nation:0", f"{P}nation:14"))], "step long, portal string"),
+     f"WITH RECURSIVE e AS ({_ONE}), r(step, a, b) AS (SELECT 0, a, b FROM e WHERE a = 0 UNION ALL SELECT step + 1, e.a, e.b FROM r JOIN e ON e.a = r.b WHERE r.b <> 14 AND step < 25) SELECT step::BIGINT AS step, 'urn:t:portal:' || a AS portal FROM r")
+_add("dataset_neighborhood", lambda s, d: s.createDataFrame([(n.key, n.depth) for n in _dataset(s, d).holon_neighborhood(f"{P}nation:0", 2).nodes], "node string, depth long"),
+     f"SELECT 'urn:t:nation:' || nation AS node, distance AS depth FROM ({SQL['neighborhood']})")
+
+
+def dataset_resolve(spark, d):
+    from trellis.operators.scope import HasClassInInterior
+
+    ds = _dataset(spark, d, lambda s, d: customers(s, d).where((F.col("p") != TYPE) | (key("g") % 2 == 0)))
+    return spark.createDataFrame([(m.iri, m.distance) for m in ds.resolve(HasClassInInterior(f"{P}Customer"), f"{P}nation:0", 3)], "holon string, distance long")
+
+
+_add("dataset_resolve", dataset_resolve, f"SELECT 'urn:t:nation:' || nation AS holon, distance FROM ({_BFS.format(edges=f'{_ONE} UNION SELECT b, a FROM ({_ONE})', depth=3)}) WHERE nation % 2 = 0 AND nation IN (SELECT c_nationkey FROM customer)")
+_add("dataset_interior_classes", lambda s, d: s.createDataFrame([(c.class_iri, c.count) for c in _dataset(s, d, customers).holon_interior_classes(f"{P}nation:7")], "class string, n long"),
+     "SELECT 'urn:t:Customer' AS class, count(*) AS n FROM customer WHERE c_nationkey = 7 HAVING count(*) > 0")
+
+
+def dataset_validate_all(spark, d):
+    """All nations against one boundary, through the facade."""
+    ds = _dataset(spark, d, customers)
+    ds.store.parse_into(f"{P}boundary", _SHAPE + ":S a sh:NodeShape ; sh:targetClass :Customer ; sh:property [ sh:path :acctbal ; sh:minInclusive -900 ] ; sh:property [ sh:path :acctbal ; sh:minInclusive -500 ; sh:severity sh:Warning ] .")
+    for r in _table(spark, d, "nation").select("n_nationkey").collect():  # the registry's units
+        ds.store.post_graph(REG, [(f"<{P}nation:{r[0]}>", f"<{P}hasBoundary>", f"<{P}boundary>")])
+    rows = [(int(h.rpartition(":")[2]), m.health.value) for h, m in ds.validate_all().items() if ":nation:" in h]
+    return spark.createDataFrame(rows, "nation long, health string")
+
+
+_add("dataset_validate_all", dataset_validate_all, SQL["membrane_health"])
+
+
+def dataset_metadata(spark, d):
+    ds = _dataset(spark, d, customers)
+    ds.refresh_all_metadata()
+    rows = [(int(h.rpartition(":")[2]), m.triple_count, sum(c.count for c in m.class_inventory)) for h in ds._holons() for g in ds.layers(h, "interior") if (m := ds.get_graph_metadata(g))]
+    return spark.createDataFrame(rows, "g long, triples long, typed long")
+
+
+_add("dataset_metadata", dataset_metadata, SQL["count_triples_by_graph"])
+
+
+def store_update(spark, d):
+    """The store's own update, of any number of quads, and a copied graph."""
+    from trellis.operators.store import SparkStore
+
+    store = SparkStore(spark, orders(spark, d))
+    store.update(_PREFIX + "DELETE { GRAPH :orders { ?o :status \"P\" } } INSERT { GRAPH :orders { ?o :status \"pending\" } } WHERE { GRAPH :orders { ?o :status \"P\" } } ; COPY :orders TO :copy ; DELETE WHERE { GRAPH :copy { ?o :status \"F\" } }")
+    return store.quads.where(F.col("p") == f"<{P}status>").groupBy(F.regexp_extract("g", r"([a-z]+)>$", 1).alias("g"), T.lexical(F.col("o")).alias("status")).agg(F.count("*").alias("n"))
+
+
+_add("store_update", store_update, "SELECT g, CASE WHEN o_orderstatus = 'P' THEN 'pending' ELSE o_orderstatus END AS status, count(*) AS n FROM orders, (SELECT unnest(['orders', 'copy']) AS g) WHERE NOT (g = 'copy' AND o_orderstatus = 'F') GROUP BY 1, 2")
