@@ -428,7 +428,7 @@ def test_pipeline(spark, docs, rows, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
-@pytest.mark.parametrize("name", ["op1_near_dedup", "op2_mix", "op3_line_dedup", "op4_decontaminate", "op5_top_k", "op10_url_filter"])
+@pytest.mark.parametrize("name", ["op1_near_dedup", "op2_mix", "op3_line_dedup", "op4_decontaminate", "op5_top_k", "op8_shard", "op10_url_filter"])
 def test_sql(spark, name):
     import duckdb
 

@@ -11,7 +11,7 @@ and shard count decide, and one more shard takes rows only into itself.
 The slot of a row counts the rows before it in its shard, by random bits of its id and text: ranges of these bits are counted apart
 and only their counts meet, so a shard may hold any number of rows.
 
-Defined results: null doc_ids go by the hash of null; a null text has 8 bytes (none plus 8) and the CRC of the empty text;
+Defined results: null doc_ids go by the hash of the empty name; a null text has 8 bytes (none plus 8) and the CRC of the empty text;
 rows that repeat go to one shard, with a slot each. Other columns are ignored, whatever their names. An empty table gives an empty result."""
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm.common import keep, prefix_sums, table
+from trellis.llm.common import hash_bits, keep, prefix_sums, table
 
 SHARDS, BASE, PER_RACK, PER_REGION = 24, 24, 4, 12
 
@@ -40,16 +40,16 @@ def _children(leaves: list, depth: int) -> list[list[tuple[str, float, int]]]:
 
 
 def place(doc_id: Column, leaves: list[tuple[str, str, int, float]]) -> Column:
-    """The shard of an id in a tree. A draw is an exponential variable whose rate is the child's weight, made of a hash: 52
-    random bits as a number between 0 and 1."""
+    """The shard of an id in a tree. A draw is an exponential variable whose rate is the child's weight, made of a hash: the
+    first 48 bits of an MD5 as a number between 0 and 1."""
     leaves = [x for x in leaves if x[3] > 0]
-    node = F.lit(0)
+    node, name = F.lit(0), F.coalesce(doc_id.cast("string"), F.lit(""))
     for depth in range(3):
         children = F.array(*[F.array(*[F.struct(F.lit(p).alias("path"), F.lit(w).alias("weight"), F.lit(k).alias("node")) for p, w, k in own]) for own in _children(leaves, depth)])
 
         def draw(child: Column) -> Column:
-            bits = F.shiftrightunsigned(F.xxhash64(doc_id, child["path"]), 12).cast("double")
-            return F.struct((-F.log((bits + 0.5) / float(2**52)) / child["weight"]).alias("draw"), child["node"].alias("node"))
+            bits = F.conv(F.substring(F.md5(F.concat(child["path"], F.lit(":"), name)), 1, 12), 16, 10).cast("double")
+            return F.struct((-F.log((bits + 0.5) / float(2**48)) / child["weight"]).alias("draw"), child["node"].alias("node"))
 
         node = F.array_min(F.transform(F.get(children, node), draw))["node"]
     return node.cast("int")
@@ -58,7 +58,7 @@ def place(doc_id: Column, leaves: list[tuple[str, str, int, float]]) -> Column:
 def _placed(docs: DataFrame, shards: int) -> DataFrame:
     """docs with size, text_crc32, law, shard, grown_shard and _bits."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.withColumns({"size": F.length(raw).cast("long") + 8, "text_crc32": F.crc32(raw), "law": F.lit("key"), "shard": place(F.col("doc_id"), topology(shards)), "grown_shard": place(F.col("doc_id"), topology(shards + 1)), "_bits": F.shiftrightunsigned(F.xxhash64("doc_id", raw, F.lit("slot")), 16)})
+    return docs.withColumns({"size": F.length(raw).cast("long") + 8, "text_crc32": F.crc32(raw), "law": F.lit("key"), "shard": place(F.col("doc_id"), topology(shards)), "grown_shard": place(F.col("doc_id"), topology(shards + 1)), "_bits": hash_bits(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(raw)), "slot:")})
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -78,4 +78,33 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
-SQL = None
+def _sql() -> str:
+    """The same in DuckDB: one table of all nodes of both trees, from the root down; CRC-32 by its table, which eight shifts a byte make."""
+    nodes = []
+    for tree, shards in ((0, SHARDS), (1, SHARDS + 1)):
+        for depth in range(3):
+            for parent, own in enumerate(_children(topology(shards), depth)):
+                nodes += [f"({tree}, {depth}, {parent}, '{path}', {weight}, {node})" for path, weight, node in own]
+    steps = []
+    for depth in range(3):
+        above = "SELECT *, t.tree, 0 AS node FROM d, (VALUES (0), (1)) t(tree)" if not depth else f"SELECT * FROM l{depth - 1}"
+        steps.append(f"""l{depth} AS (
+  SELECT a.n, a.doc_id, a.hash, a.size, a.crc, a.tree, arg_min(c.node, -ln((('0x' || substr(md5(c.path || ':' || coalesce(a.doc_id::VARCHAR, '')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE) / c.weight) AS node
+  FROM ({above}) a JOIN nodes c ON c.tree = a.tree AND c.depth = {depth} AND c.parent = a.node GROUP BY ALL)""".replace("SELECT *, t.tree", "SELECT d.*, t.tree"))
+    return f"""
+WITH bytes AS (
+  SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS crc_of FROM range(256) t(b)),
+d AS (
+  SELECT row_number() OVER () AS n, doc_id, md5(coalesce(text, '')) AS hash, octet_length(encode(coalesce(text, '')))::BIGINT + 8 AS size,
+    xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+      lambda c, b: xor(c // 256, crc_of[1 + xor(c % 256, b)])), 4294967295) AS crc
+  FROM documents, bytes),
+nodes(tree, depth, parent, path, weight, node) AS (VALUES {", ".join(nodes)}),
+{", ".join(steps)}
+SELECT a.doc_id, a.size, a.crc AS text_crc32, 'key' AS law, a.node::INTEGER AS shard,
+  row_number() OVER (PARTITION BY a.node ORDER BY substr(md5('slot:' || coalesce(a.doc_id::VARCHAR, '') || ':' || a.hash), 1, 12), a.doc_id, a.crc) - 1 AS slot, b.node::INTEGER AS grown_shard
+FROM l2 a JOIN l2 b ON a.n = b.n AND a.tree = 0 AND b.tree = 1
+"""
+
+
+SQL = _sql()
