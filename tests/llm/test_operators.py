@@ -261,6 +261,73 @@ def test_language(spark, docs, rows, none):
     assert op6_language.predictions(docs).count() == len(rows) and op6_language.predictions(none).count() == 0
 
 
+def test_language_against_plain_sums(spark):
+    """Prototypes and cosines once more, trigram by trigram."""
+    import numpy as np
+
+    data = [(k, words(20 + k % 40, k, "aeiouäß" if k % 3 else "xyzwvq") + (" 42!" if k % 5 else ""), "ab"[k % 3 > 0]) for k in range(60)] + [(60, "ΑΒΓ αβγ", "c"), (60, "ΑΒΓ αβγ", "c"), (61, "same", None), (62, "-- 7", "a"), (None, "no id", "a")]
+    got = {r.doc_id: r for r in op6_language.predictions(spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(5)).collect()}
+
+    def bundle(text):
+        kept = "".join(c if c.isalpha() else " " for c in text.lower())
+        kept = " " + " ".join(kept.split()) + " "
+        out = np.zeros(op6_language.DIM)
+        for a, b, c in zip(kept, kept[1:], kept[2:]):
+            a, b, c = (op6_language._letter(ord(x)).astype(float) for x in (a, b, c))
+            out += np.roll(a, 2) * np.roll(b, 1) * c
+        return out if kept.strip() else None
+
+    sums = {}
+    for doc, text, lang in data:
+        v = bundle(text)
+        if lang is not None and v is not None and not out_of(doc, 4):
+            sums[lang] = sums.get(lang, 0) + v
+    for doc, text, _ in data:
+        v = bundle(text)
+        if v is None:
+            assert (got[doc].lang_pred, got[doc].score) == ("und", 0)
+            continue
+        cos = {x: float(p @ v / np.linalg.norm(p) / np.linalg.norm(v)) for x, p in sums.items()}
+        best = max(sorted(cos), key=cos.get)
+        assert got[doc].lang_pred == best and abs(got[doc].score - min(1, max(0, cos[best]))) < 1e-9
+
+
+def test_quality_against_plain_algebra(spark):
+    """The fit once more: moments, Fourier map, ridge by least squares, isotonic means by the min-max rule."""
+    import numpy as np
+
+    data = [(k, words(10 + k % 60, k) if k % 3 else " ".join(["spam $$$", words(4, k)] * (5 + k % 9))) for k in range(240)] + [(240, None), (241, "")]
+    labels = [(k, int(k % 3 == 0) if k % 11 else 1) for k in range(200)] + [(5, 0), (6, None)]
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in op7_quality.scores(spark.createDataFrame(data, "doc_id long, text string").repartition(5), marks).collect()}
+    x = np.array([op7_quality.statistics(t) for _, t in data]) / op7_quality.FIX
+    by = {}
+    for doc, y in labels:
+        if y is not None and not out_of(doc, 4):
+            by.setdefault(doc, []).append(y)
+    y = np.array([np.mean(by[d]) if d in by else np.nan for d, _ in data])
+    known = ~np.isnan(y)
+    mean, std = x[known].mean(0), x[known].std(0)
+    rng = np.random.Generator(np.random.PCG64(11))
+    w, b = rng.standard_normal((x.shape[1], op7_quality.FEATURES)) / np.sqrt(x.shape[1]), rng.uniform(0, 2 * np.pi, op7_quality.FEATURES)
+    z = np.clip((x - mean) / np.where(std > 1e-9, std, 1), -6, 6)
+    phi = np.hstack([np.rint(np.cos(z @ w + b) * op7_quality.FIX) / op7_quality.FIX, np.ones((len(x), 1))])
+    check = known & np.array([zlib.crc32(str(d).encode()) % 4 == 3 for d, _ in data])
+    fit = known & ~check
+    rows = np.vstack([phi[fit], np.sqrt(op7_quality.RIDGE) * np.eye(phi.shape[1])])
+    theta = np.linalg.lstsq(rows, np.concatenate([np.rint(y[fit] * op7_quality.FIX) / op7_quality.FIX, np.zeros(phi.shape[1])]), rcond=None)[0]
+    raw = phi @ theta
+    order = np.argsort(raw[check])
+    s, v = raw[check][order], y[check][order]
+    level = [max(min(v[i : j + 1].mean() for j in range(k, len(v))) for i in range(k + 1)) for k in range(len(v))]
+    pools = {}
+    for a, at in zip(s, level):
+        pools.setdefault(round(at, 9), []).append(a)
+    want = np.clip(np.interp(raw, [np.mean(p) for p in pools.values()], list(pools)), 0, 1)
+    assert len(pools) > 2 and len(got) == len(data)
+    assert max(abs(got[d] - q) for (d, _), q in zip(data, want)) < 1e-3
+
+
 def test_quality(spark, docs, rows, none):
     data = [(k, words(50, k) if k % 3 else " ".join(["spam $$$"] * 25)) for k in range(300)] + [(300, None), (301, ""), (None, "x")]
     labels = [(k, int(k % 3 > 0), 0) for k in range(250)] + [(260, None, 0), (None, 1, 1), (3, 0, 0)]
