@@ -328,6 +328,25 @@ def test_quality_against_plain_algebra(spark):
     assert max(abs(got[d] - q) for (d, _), q in zip(data, want)) < 1e-3
 
 
+def test_language_rejects_unknown_ones(spark):
+    """Texts of a language nothing was learned of go, however many letters they share with known ones; known ones stay, short or repeated."""
+
+    def said(vocabulary, seed):
+        r = random.Random(seed)
+        return " ".join(r.choice(vocabulary) for _ in range(120))
+
+    a, b, c = (words(80, seed, kind).split() for seed, kind in ((1, "aeiou"), (2, "xyzwvq"), (3, "mnprst")))
+    known = [(k, said(a if k % 2 else b, k), "ab"[k % 2]) for k in range(300)]
+    odd = [(1000 + k, said(c, k), None) for k in range(20)] + [(1100 + k, "".join(chr(0x4E00 + (k * 97 + i * 31) % 9000) for i in range(200)), None) for k in range(5)]
+    plain = [(2000, "ae", "a"), (2001, "edi " * 500, "a"), (2002, None, "a"), (2003, "12 3", "a")]
+    d = spark.createDataFrame([(a, b, c, "s") for a, b, c in known + odd + plain], "doc_id long, text string, lang string, _lid string").drop("_lid").repartition(4)
+    kept = {r.doc_id for r in op6_language.accepted(d).collect()}
+    assert kept == {k for k, *_ in known} | {2000, 2001}
+    assert op6_language.accepted(d.where("lang is null")).count() == 0
+    with_name = d.withColumn("score", d.text).withColumn("kinds", d.lang)
+    assert op6_language.accepted(with_name).columns == with_name.columns
+
+
 def test_quality(spark, docs, rows, none):
     data = [(k, words(50, k) if k % 3 else " ".join(["spam $$$"] * 25)) for k in range(300)] + [(300, None), (301, ""), (None, "x")]
     labels = [(k, int(k % 3 > 0), 0) for k in range(250)] + [(260, None, 0), (None, 1, 1), (3, 0, 0)]

@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.llm.common import held_out, table
@@ -68,9 +68,14 @@ def _place(code: int) -> int:
 
 def vector(text: str | None) -> np.ndarray | None:
     """The bundle of a text; None without a letter."""
+    return _bundle(text)[0]
+
+
+def _bundle(text: str | None) -> tuple[np.ndarray | None, int]:
+    """The bundle of a text, and how many n-grams it has that differ."""
     codes = _coded(text) if text else ()
     if not len(codes):
-        return None
+        return None, 0
     if len(_rows) > CACHE:
         _rows.clear()
     kinds, counts = np.unique(codes, return_counts=True)
@@ -79,7 +84,7 @@ def vector(text: str | None) -> np.ndarray | None:
         rows = [_place(c) for c in kinds[at : at + 4096].tolist()]
         exact = np.float32 if len(codes) < 2**23 else np.float64
         out += counts[at : at + 4096].astype(exact) @ _vectors[rows].astype(exact)
-    return out
+    return out, len(kinds)
 
 
 def _bundles(batches):
@@ -105,24 +110,27 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 def _predict(langs: list[str], protos: np.ndarray):
     def predict(texts: pd.Series) -> pd.DataFrame:
-        names, scores = [], []
+        names, scores, seconds, sizes = [], [], [], []
         for text in texts:
-            v = vector(text) if langs else None
+            v, kinds = _bundle(text) if langs else (None, 0)
+            sizes.append(kinds)
             if v is None:
                 names.append(UND)
                 scores.append(0.0)
+                seconds.append(None)
                 continue
             cos = protos @ v / max(np.linalg.norm(v), 1e-300)
             at = int(cos.argmax())
             names.append(langs[at])
             scores.append(float(min(1.0, max(0.0, cos[at]))))
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+            seconds.append(float(np.delete(cos, at).max()) if len(langs) > 1 else None)
+        return pd.DataFrame({"lang_pred": names, "score": scores, "second": pd.Series(seconds, dtype="float64"), "kinds": sizes})
 
-    return F.pandas_udf(predict, "lang_pred string, score double")
+    return F.pandas_udf(predict, "lang_pred string, score double, second double, kinds int")
 
 
 def identify(docs: DataFrame, langs: list[str], protos: np.ndarray) -> DataFrame:
-    """docs with a struct _lid of lang_pred and score."""
+    """docs with a struct _lid of lang_pred, score, second (the cosine with the next language) and kinds (the number of different n-grams)."""
     return docs.withColumn("_lid", _predict(langs, protos)(F.col("text")))
 
 
@@ -133,12 +141,51 @@ def predictions(docs: DataFrame) -> DataFrame:
     return identify(mine.select("doc_id", "held_out", "text"), langs, protos).select("doc_id", "held_out", "_lid.lang_pred", "_lid.score")
 
 
-def accepted(docs: DataFrame, least: float = 3 / DIM**0.5, chars: int = 200) -> DataFrame:
-    """The documents of a known language, all their columns. Rejected: `und`, and texts of at least so many characters whose
-    cosine is what vectors of a strange language have by chance (three deviations); shorter texts get the benefit of the doubt."""
-    langs, protos = learn(docs.where(~held_out(F.col("doc_id"), FOLDS)))
-    judged = identify(docs, langs, protos)
-    return judged.where((F.col("_lid.lang_pred") != UND) & ((F.col("_lid.score") >= least) | (F.length("text") < chars))).drop("_lid")
+#: A text's class is the power of two of its number of different n-grams; beyond the last one they count as it.
+CLASSES, MANY = 22, 6
+
+
+def _class() -> Column:
+    return F.least(F.lit(CLASSES - 1), F.floor(F.log2(F.greatest(F.lit(1), F.col("_lid.kinds"))))).cast("int")
+
+
+def bars(train: DataFrame, langs: list[str], protos: np.ndarray, rows: int = 30, deviations: float = 5.0) -> list[float]:
+    """For each class of texts the cosine below which a text is of no known language.
+
+    A training text's cosine with its language shows what known texts reach, that with the next language what texts of a language not
+    learned reach. The bar is so many standard deviations above the latter's mean, but at least as many below the former's, so known
+    texts stay. A class with fewer training texts than `rows` takes the bar of the one before it. From 2^MANY different n-grams
+    the bar is never below what vectors of a strange script reach by chance (three deviations)."""
+    judged = identify(train.where("lang is not null and text is not null").select("text"), langs, protos).where(F.col("_lid.lang_pred") != UND)
+    fixed = [F.rint(F.col(f"_lid.{x}") * 4096).cast("long").alias(x) for x in ("score", "second")]
+    sums = judged.select(_class().alias("k"), *fixed).groupBy("k").agg(F.count("*").alias("n"), *[f(c).alias(f"{c}_{name}") for c in ("score", "second") for name, f in (("s", F.sum), ("q", lambda x: F.sum(F.col(x) * F.col(x))))])
+    have = {r.k: r for r in sums.collect()}  # one row a class
+
+    def moments(row, c: str) -> tuple[float, float]:
+        mean = row[f"{c}_s"] / row.n
+        return mean / 4096, max(0.0, row[f"{c}_q"] / row.n - mean**2) ** 0.5 / 4096
+
+    out: list[float] = []
+    for k in range(CLASSES):
+        bar = out[-1] if out else -1.0
+        if k in have and have[k].n >= rows:
+            mean, sd = moments(have[k], "score")
+            bar = mean - deviations * sd
+            if len(langs) > 1:
+                mean, sd = moments(have[k], "second")
+                bar = min(bar, mean + deviations * sd)
+        out.append(max(bar, 3 / DIM**0.5) if k >= MANY else bar)
+    return out
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """The documents of a known language, all their columns. Rejected: `und`, and texts whose cosine is under the bar of their class."""
+    train = docs.where(~held_out(F.col("doc_id"), FOLDS))
+    langs, protos = learn(train)
+    if not langs:
+        return docs.where("false")
+    least = F.get(F.array(*map(F.lit, bars(train, langs, protos))), _class())
+    return identify(docs, langs, protos).where((F.col("_lid.lang_pred") != UND) & (F.col("_lid.score") >= least)).drop("_lid")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
