@@ -198,6 +198,29 @@ def test_registry_shapes(spark):
     assert sorted((decode(r.focus), r.severity.rsplit("#", 1)[1]) for r in rows) == [("urn:b", "Violation"), ("urn:p1", "Violation"), ("urn:p2", "Warning")]
 
 
+def test_registry_shapes_of_every_kind(spark):
+    from trellis.operators import shacl
+
+    ds = GraphDataset(spark, metadata_updates="off")
+    p = ds.cga("")[1:-1] if ds.cga("").startswith("<") else ds.cga("")
+    ds.store.parse_into(ds.registry, f"""@prefix c: <{p}> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . @prefix prov: <http://www.w3.org/ns/prov#> . @prefix : <urn:x:> .
+:ok a c:Holon, c:DataHolon ; rdfs:label "ok" ; c:dataSteward :me ; c:dataClassification :open ; c:materializationMode "cached" . :open a c:ClassificationLevel . :shut a c:ClassificationLevel .
+:old a c:Holon ; c:holonStatus c:Archived ; c:dataClassification :shut ; c:materializationMode "elsewhere" ; c:memberOf :nobody .
+:door a c:Portal ; rdfs:label "door" ; c:sourceHolon :ok ; c:targetHolon :old .
+:gap a c:Portal ; rdfs:label "gap" ; c:sourceHolon :ok ; c:targetHolon :nobody .
+:split a c:HolonSplit ; prov:used :ok ; prov:generated :one . :domain a c:DataDomain . :system a c:ExternalSystem ; rdfs:label "s" .
+:agent a c:AgentHolon . :step a c:ProjectionPipelineStep . :spec a c:ProjectionPipelineSpec ; rdfs:label "spec" ; c:hasStep :step .""")
+    rows = shacl.validate(ds._frame([ds.registry]), ds.store.get_graph("urn:holarchy:ontology:shapes"), ds.quads).collect()
+    found = {(decode(r.focus)[6:], r.message) for r in rows}
+    assert found == {
+        ("old", "An archived unit names its successor."), ("old", "One of the four modes."), ("old", "The parent is no unit."),
+        ("door", "An active portal leads to an archived unit."), ("door", "The portal joins units of different classification."), ("gap", "The target is no unit."),
+        ("split", "A split has two results or more."), ("split", "A split has a reason."), ("split", "A split has a time."), ("domain", "A domain has one label."), ("system", "A system has one type."),
+        ("agent", "An agent has a label."), ("agent", "An agent keeps its state in an interior."), ("agent", "An agent's output has a boundary."), ("agent", "An agent's history has a context."),
+        ("step", "A step has a transform or a query."),
+    }
+
+
 def test_projection_scope_hides_the_interior(ds):
     ds.add_holon("urn:hr")
     ds.add_holon("urn:dir")
