@@ -38,7 +38,7 @@ def test_builders(spark):
     nodes, edges = P.holon_to_yfiles(ds, "urn:a")
     by = {n["id"]: n["properties"] for n in reversed(nodes)}  # the boundary also names the unit, as its portal's source
     assert by["urn:a"]["is_group"] and by["urn:a/interior"]["parent"] == "urn:a" and by["urn:x:e"]["parent"] == "urn:a/interior" and by["urn:x:e"]["layer"] == "interior"
-    assert by["urn:x:S"]["layer"] == "boundary" and by["urn:x:S"]["label"].startswith("«NodeShape»\nThing") and "n" in by["urn:x:S"]["label"]
+    assert by["urn:x:S"]["layer"] == "boundary" and by["urn:x:S"]["label"].startswith("«NodeShape»\nS\n") and "n" in by["urn:x:S"]["label"]
     assert [(e["start"], e["end"], e["properties"]["label"]) for e in edges if e["properties"]["layer"] == "interior"] == [("urn:x:e", "urn:x:f", "to")]
     assert {n["id"] for n in P.holon_to_yfiles(ds, "urn:a", ["interior"], show_group=False)[0]} == {"urn:x:e", "urn:x:f"} and P.holon_to_yfiles(ds, "urn:none", show_group=False) == ([], [])
     inside = P.holarchy_to_yfiles(ds, show_internals=True)
