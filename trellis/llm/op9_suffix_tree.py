@@ -46,7 +46,9 @@ _END, _START = 1, 2
 #: Tokens after which a block ends, and places for each part of the hash space.
 BLOCK_TOKENS, PART_PLACES = 500_000, 1_000_000
 _TEXTS = "block long, words binary, n_words long, seen binary, idx binary, docs binary, nameless binary, held binary, lengths binary, tokens long"
-_PLACES = "block long, alive long, places binary, listed binary, p binary, done binary"
+_STATE = "block long, alive long, places binary, listed binary, p binary, done binary"
+#: A block's state (part -1), and its messages of the next level's grams.
+_PLACES = f"{_STATE}, part long, size long, keys binary, n binary"
 _ASKED = "part long, block long, size long, keys binary, n binary, own long, at binary, kinds binary, stored binary, gain binary, top binary"
 _TOLD = "block long, part long, kind int, size long, n binary, stored binary, kinds binary, sizes binary"
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -91,11 +93,19 @@ def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
 
 
+class _Numbers(dict):
+    """Numbers words in order of their first occurrence."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def _blocks(batches):
     """Texts -> blocks: distinct words, the most frequent first, and each text's words as numbers of these."""
     from pyspark import TaskContext
 
-    part, seq, size, held, numbers, found = TaskContext.get().partitionId(), 0, 0, [], [], {}
+    part, seq, size, held, numbers, found = TaskContext.get().partitionId(), 0, 0, [], [], _Numbers()
 
     def row():
         spaced = b" ".join(found)
@@ -115,14 +125,12 @@ def _blocks(batches):
     for b in batches:
         for doc, out, text in zip(*(b.column(x).to_pylist() for x in ("doc_id", "held_out", "text"))):
             words = text.encode("utf-8", "replace").lower().split() if text else []
-            for w in dict.fromkeys(words):
-                found.setdefault(w, len(found))
             numbers.append(np.fromiter(map(found.__getitem__, words), np.int32, len(words)))
             held.append((doc, out, len(words)))
             size += len(words) + 1
             if size >= BLOCK_TOKENS:
                 yield row()
-                seq, size, held, numbers, found = seq + 1, 0, [], [], {}
+                seq, size, held, numbers, found = seq + 1, 0, [], [], _Numbers()
     if held:
         yield row()
 
@@ -197,6 +205,10 @@ class _Block:
         else:
             self.places = np.flatnonzero(_unbits(self.row.places, len(self.numbers)))
             self.p, self.listed = np.frombuffer(self.row.p, np.float32).astype(np.float64), _unbits(self.row.listed, len(self.places))
+        self.look(k)
+
+    def look(self, k: int) -> None:
+        """The contexts and grams of the places."""
         width = len(self.hashes)
         self.here = self.places - self.begin[self.text[self.places]]
         far = [np.where(self.here >= j, self.numbers[np.maximum(self.places - j, 0)], width - 1) for j in range(1, k + 1)]
@@ -239,7 +251,7 @@ class _Block:
         return size, key[order], kinds[order], np.add.reduceat(n, start)[order], np.add.reduceat(n * np.log(n / below), start)[order], np.stack([first, second], 1)[order]
 
     def carry_on(self, k: int, told: pd.DataFrame) -> tuple:
-        """Applies the retained contexts; done: the log10 of the places that end here, by text; the rest goes to the next level."""
+        """Applies the retained contexts; done: the log10 of the places that end here, by text; the rest goes to the next level, and is left here."""
         notes = told[told.kind == CONTEXTS].sort_values("part")
         flags = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x, np.uint8) for x in notes.n)])
         counts = [int(np.count_nonzero(np.frombuffer(x, np.uint8))) for x in notes.n]
@@ -260,7 +272,9 @@ class _Block:
         done = np.bincount(self.text[self.places[~on]], np.log10(self.p[~on]), len(self.lengths))
         alive = np.zeros(len(self.numbers), bool)
         alive[self.places[on]] = True
-        return int(on.sum()), _bits(alive), _bits(n[on] > 0), self.p[on].astype(np.float32).tobytes(), (done + (np.frombuffer(self.row.done, np.float64) if k > 1 else 0)).tobytes()
+        self.places, kept, self.listed = self.places[on], self.p[on].astype(np.float32), n[on] > 0
+        self.p = kept.astype(np.float64)
+        return len(kept), _bits(alive), _bits(self.listed), kept.tobytes(), (done + (np.frombuffer(self.row.done, np.float64) if k > 1 else 0)).tobytes()
 
 
 def _told(notes: pd.DataFrame) -> np.ndarray:
@@ -287,12 +301,12 @@ def _ask_words(parts: int):
     return run
 
 
-def _ask_grams(k: int, n: int, v: int, parts: int):
+def _ask_grams(n: int, v: int, parts: int):
     def run(batches):
         for pdf in batches:
             for r in pdf.itertuples():
                 b = _Block(r)
-                b.level(k, n, v)
+                b.level(1, n, v)
                 yield _frame(_ASKED, _asked_counts(r.block, b.grams, b.gram_counts(), parts))
 
     return run
@@ -302,6 +316,8 @@ def _ask_contexts(k: int, n: int, v: int, parts: int):
     def run(block: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for r in block.itertuples():
+            if k > 1 and not r.alive:
+                continue
             b = _Block(r)
             b.level(k, n, v)
             b.totals(notes)
@@ -388,14 +404,22 @@ def _with_words(block: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
     return _frame(_TEXTS, out)
 
 
-def _carry_on(k: int, n: int, v: int):
+def _carry_on(k: int, n: int, v: int, parts: int):
+    """The blocks' next state, and with it the messages of the next level's grams, so that a block is unpacked once for both."""
+
     def run(block: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in block.itertuples():
+            if k > 1 and not r.alive:
+                out.append((r.block, 0, r.places, r.listed, r.p, r.done, -1, 0, b"", b""))
+                continue
             b = _Block(r)
             b.level(k, n, v)
             b.totals(notes)
-            out.append((r.block, *b.carry_on(k, notes)))
+            out.append((r.block, *b.carry_on(k, notes), -1, 0, b"", b""))
+            if len(b.places):
+                b.look(k + 1)
+                out += [(at, 0, b"", b"", b"", b"", part, size, keys, counts) for part, at, size, keys, counts, *_ in _asked_counts(r.block, b.grams, b.gram_counts(), parts)]
         return _frame(_PLACES, out)
 
     return run
@@ -442,12 +466,14 @@ def score(docs: DataFrame) -> DataFrame:
     texts = keep(told(blocks, words, _with_words, _TEXTS), "op9-texts", buckets)
     dropped(blocks, words)
     places, state, k = None, texts, 1
+    asked = texts.mapInPandas(_ask_grams(n, v, parts()), _ASKED)
     while alive:
-        grams = keep(by_part(state.mapInPandas(_ask_grams(k, n, v, parts()), _ASKED), _count(LEAST)), "op9-grams")
+        grams = keep(by_part(asked, _count(LEAST)), "op9-grams")
         contexts = keep(by_part(told(state, grams, _ask_contexts(k, n, v, parts()), _ASKED), _decide(n)), "op9-contexts")
-        after = keep(told(state, grams.unionByName(contexts), _carry_on(k, n, v), _PLACES), "op9-places", buckets)
+        after = keep(told(state, grams.unionByName(contexts), _carry_on(k, n, v, parts()), _PLACES), "op9-places", buckets)
         dropped(grams, contexts, *([places] if places else []))
-        places, state, k = after, texts.join(after, "block"), k + 1
+        places, state, k = after, texts.join(after.where("part < 0").select(*_columns(_STATE)), "block"), k + 1
+        asked = after.where("part >= 0").select("part", "block", "size", "keys", "n")
         alive = places.agg(F.sum("alive")).first()[0]
     if places is None:
         return docs.sparkSession.createDataFrame([], _OUT)
