@@ -44,7 +44,7 @@ FOLDS, LEAST = 7, 2
 #: The end and the start in place of word hashes.
 _END, _START = 1, 2
 #: Tokens after which a block ends, and places for each part of the hash space.
-BLOCK_TOKENS, PART_PLACES = 500_000, 1_000_000
+BLOCK_TOKENS, PART_PLACES = 750_000, 2_500_000
 _TEXTS = "block long, words binary, n_words long, seen binary, idx binary, docs binary, nameless binary, held binary, lengths binary, tokens long"
 _STATE = "block long, alive long, places binary, listed binary, p binary, done binary"
 #: A block's state (part -1), and its messages of the next level's grams.
