@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from trellis.llm import op1_minhash, op2_mix, op3_lines, op4_decontaminate, op5_topk, op6_language, op7_quality, op8_shard, op9_suffix_tree, op10_urls
 
@@ -104,6 +105,17 @@ def test_large_bucket_is_compared_in_blocks(spark, monkeypatch):
     assert got == {k: find(k) for k in range(200)}
 
 
+def test_keys_are_made_in_tasks_of_few_sets(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(op1_minhash, "KEYED", 100)
+    spark.range(2_000).selectExpr("id AS nid", "transform(sequence(0, 15), j -> xxhash64(id, j)) AS chunks").coalesce(1).write.parquet(str(tmp_path / "nodes"))
+    nodes = spark.read.parquet(str(tmp_path / "nodes"))  # one file, so one task reads all
+    sizes = op1_minhash._keyed(nodes).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in sizes) == 64 * 2_000 and max(r["count"] for r in sizes) <= 64 * 200
+    want = {tuple(r) for r in nodes.select(F.posexplode(op1_minhash._keys(F.col("chunks"))), "nid").collect()}
+    assert want == {tuple(r) for r in op1_minhash._keyed(nodes).collect()}
+    assert op1_minhash._keyed(nodes.limit(0)).count() == 0
+
+
 def test_mix(docs, rows, none):
     got = op2_mix.mix(docs).collect()
     assert len(got) == len(rows) and sorted((r.doc_id or -1, r.taken) for r in got) == sorted((r.doc_id or -1, r.taken) for r in op2_mix.mix(docs.repartition(7)).collect())

@@ -32,6 +32,8 @@ from trellis.llm.components import components
 WORDS, SYMBOLS, CHUNKS, RADIUS = 5, 64, 16, 31
 #: Members of a bucket in one block, rows of small buckets in one group, and the fewest and most bins of a set.
 SPLIT, TOGETHER, BINS = 512, 4096, (256, 2048)
+#: So many sets get their keys in one task.
+KEYED = 8_192
 #: An id table of up to so many rows (8 bytes each) is broadcast to pick documents.
 BROADCAST_IDS = 1_000_000
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -85,6 +87,12 @@ def _keys(chunks: Column) -> Column:
     return F.flatten(F.transform(chunks, lambda c, i: F.array(*[F.xxhash64(c.bitwiseAND(F.lit(m).cast("long")), i * 4 + j) for j, m in enumerate(masks)])))
 
 
+def _keyed(nodes: DataFrame) -> DataFrame:
+    """(at, key, nid): the 64 keys of each set. The sets are dealt out by their number first, for a task holds some 64 times what it reads."""
+    spread = nodes.select("nid", "chunks").repartition(nodes.count() // KEYED + 1, "nid")
+    return spread.select(F.posexplode(_keys(F.col("chunks"))).alias("at", "key"), "nid")
+
+
 def _distance(a: Column, b: Column) -> Column:
     """In how many symbols two signatures differ."""
     def lanes(x: Column) -> Column:
@@ -189,7 +197,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = feats.where("n > 0 and doc_id is not null")
     nodes = keep(known.groupBy("nid", "hi").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("chunks").alias("chunks")), "op1-nodes")
     firsts = nodes.select("nid", "doc_id")
-    keys = nodes.select(F.posexplode(_keys(F.col("chunks"))).alias("at", "key"), "nid")
+    keys = _keyed(nodes)
     buckets = keep(keys.groupBy("key", "at").agg(F.min("nid").alias("head"), F.count("*").alias("members")).where("members > 1"), "op1-buckets")
     members = keep(keys.join(buckets, ["key", "at"]), "op1-members")
     stars = members.where("nid <> head").select(F.col("head").alias("a"), F.col("nid").alias("b")).distinct()
