@@ -359,6 +359,13 @@ def test_language_rejects_unknown_ones(spark):
     assert op6_language.accepted(with_name).columns == with_name.columns
 
 
+def test_language_is_predicted_once_a_text(docs):
+    judged = op6_language.identify(docs, *op6_language.learn(docs))
+    filtered = judged.where((F.col("_lid.lang_pred") != "und") & (F.col("_lid.score") > 0.1))
+    for out in (filtered.select("_lid.score", "_lid.second"), filtered.drop("_lid"), judged.select("_lid.lang_pred", "_lid.score")):
+        assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_quality(spark, docs, rows, none):
     data = [(k, words(50, k) if k % 3 else " ".join(["spam $$$"] * 25)) for k in range(300)] + [(300, None), (301, ""), (None, "x")]
     labels = [(k, int(k % 3 > 0), 0) for k in range(250)] + [(260, None, 0), (None, 1, 1), (3, 0, 0)]

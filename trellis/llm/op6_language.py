@@ -126,7 +126,8 @@ def _predict(langs: list[str], protos: np.ndarray):
             seconds.append(float(np.delete(cos, at).max()) if len(langs) > 1 else None)
         return pd.DataFrame({"lang_pred": names, "score": scores, "second": pd.Series(seconds, dtype="float64"), "kinds": sizes})
 
-    return F.pandas_udf(predict, "lang_pred string, score double, second double, kinds int")
+    # Called nondeterministic so that no filter on its columns is pushed below it: that would run it twice, in a second Python worker a task.
+    return F.pandas_udf(predict, "lang_pred string, score double, second double, kinds int").asNondeterministic()
 
 
 def identify(docs: DataFrame, langs: list[str], protos: np.ndarray) -> DataFrame:
