@@ -474,6 +474,22 @@ def test_suffix_tree_against_dictionaries(spark, rows, monkeypatch, block):
         assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-5 * max(1, abs(b[2]))
 
 
+def test_suffix_tree_exchanges_once_a_level(spark, monkeypatch):
+    """A level's grams and contexts go in one message and come back in one; texts with separators at their ends, of separators alone, and longer than a block."""
+    monkeypatch.setattr(op9_suffix_tree, "BLOCK_TOKENS", 50)
+    made, keep = [], op9_suffix_tree.keep
+    monkeypatch.setattr(op9_suffix_tree, "keep", lambda df, label, *rest: made.append(label) or keep(df, label, *rest))
+    r = random.Random(5)
+    odd = [None, "", " ", "\t\n\x0b\x0c\r ", "  a b", "a b \n", "A\u00a0b a\x85b \x1c a\x1cb", "\u00c4 \u00e4 \u0130 K k \u212a", "a b c " * 70]
+    data = [(k, odd[k % len(odd)]) for k in range(60)] + [(100 + k, " ".join(r.choice("abc") for _ in range(30))) for k in range(40)]
+    want, retained = tree_scores(data)
+    got = op9_suffix_tree.score(spark.createDataFrame(data, "doc_id long, text string").repartition(2)).collect()
+    levels = max(map(len, retained)) + 1
+    assert made[:3] == ["op9-blocks", "op9-words", "op9-texts"] and len(made) % 2 and made[3:] == ["op9-notes", "op9-places"] * ((len(made) - 3) // 2) and len(made) <= 3 + 2 * levels
+    for a, b in zip(sorted((x.doc_id, x.n_tokens, x.score) for x in got), sorted(want), strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-5 * max(1, abs(b[2]))
+
+
 def test_suffix_tree_is_a_distribution(spark):
     """The probabilities of all known words behind a context, and of one unknown word, add up to 1."""
     r = random.Random(9)

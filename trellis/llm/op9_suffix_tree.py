@@ -12,11 +12,11 @@ A retained context gives (n + weight * below) / (stored + weight): stored is wha
 occurrences and as much again as words are listed. The root is the base distribution, add one. A word's probability is that
 at its longest retained context.
 
-The tree is never in one place. Texts are put into blocks, each a dictionary of word hashes and the texts as numbers of these. Level
-by level, a block sends the hashes of its grams (context and next word), summed within the block, to the parts of the hash
-space, gets their totals back in the same order, does the same with its contexts, and carries on with the places whose
-context was retained. Places that are done are added up and leave the state. A gram is in a block's message once, so the most frequent one adds
-one entry for each block to a part; parts grow in number with the places that are left.
+The tree is never in one place. Texts are put into blocks, each with the numbers of its words among all words and the texts as numbers of these. Level
+by level, a block sends the hashes of its contexts, and with each its next words, how often they occur and their probability so far, summed
+within the block, to the parts of the hash space. A part has everything about its contexts: it decides which are retained, and sends the
+totals back in the same order. The block carries on with the places whose context was retained. Places that are done are added up and leave the
+state. A context is in a block's message once, so the most frequent one adds one entry for each block to a part; parts grow in number with the places that are left.
 
 No longer context is tried where none can be retained, which changes no result: a context that occurs less than LEAST times lists nothing, and
 a retained one below a context needs a word with n * ln(T / n) above the threshold, T being the size and the kinds of the
@@ -31,28 +31,29 @@ repeat count as often as they occur. Without training texts N and V are 0. Other
 from __future__ import annotations
 
 import math
+from collections import namedtuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.llm.common import dropped, held_out, keep, mix, span_hashes, table
 
 FOLDS, LEAST = 7, 2
-#: The end and the start in place of word hashes.
-_END, _START = 1, 2
+#: The end in place of a word's hash, and the start in place of a word's number.
+_END, _START = 1, 1 << 62
 #: Tokens after which a block ends, and places for each part of the hash space.
 BLOCK_TOKENS, PART_PLACES = 750_000, 2_500_000
-_TEXTS = "block long, words binary, n_words long, seen binary, idx binary, docs binary, nameless binary, held binary, lengths binary, tokens long"
+_TEXTS = "block long, words binary, n_words long, ids binary, seen binary, idx binary, docs binary, nameless binary, held binary, lengths binary, tokens long, trained long"
+_WORDS = "part long, block long, size long, keys binary, n binary"
+_COUNTED = "part long, block long, size long, n binary, ids binary"
 _STATE = "block long, alive long, places binary, listed binary, p binary, done binary"
-#: A block's state (part -1), and its messages of the next level's grams.
-_PLACES = f"{_STATE}, part long, size long, keys binary, n binary"
-_ASKED = "part long, block long, size long, keys binary, n binary, own long, at binary, kinds binary, stored binary, gain binary, top binary"
-_TOLD = "block long, part long, kind int, size long, n binary, stored binary, kinds binary, sizes binary"
+_ASKED = "part long, block long, size long, keys binary, n binary, kinds binary, grams long, next binary, times binary, below binary"
+_TOLD = "part long, block long, size long, flags binary, stored binary, kinds binary, sizes binary, grams long, n binary"
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-GRAMS, CONTEXTS = 0, 1
 
 
 def _columns(kind: str) -> list[str]:
@@ -62,14 +63,18 @@ def _columns(kind: str) -> list[str]:
 def _packed(x: np.ndarray) -> bytes:
     """Numbers of at least 0 in planes of bytes: all lowest bytes, then the next, as many as the largest needs."""
     planes = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 0
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes()
+    x = x.astype("<u8" if planes > 4 else "<u4")
+    out = np.empty((planes, len(x)), np.uint8)
+    for j in range(planes):
+        np.right_shift(x, x.dtype.type(8 * j), out=out[j], casting="unsafe")
+    return out.tobytes()
 
 
 def _unpacked(raw: bytes, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    if n:
-        out[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(-1, n).T
-    return out.view("<u8").ravel()
+    out = np.zeros(n, np.uint64)
+    for j, plane in enumerate(np.frombuffer(raw, np.uint8).reshape(-1, n) if n else ()):
+        out |= plane.astype(np.uint64) << np.uint64(8 * j)
+    return out
 
 
 def _numbers(raw: bytes, n: int) -> np.ndarray:
@@ -80,6 +85,14 @@ def _differences(keys: np.ndarray) -> bytes:
     return _packed(np.diff(keys, prepend=np.zeros(1, np.uint64)))
 
 
+def _floats(x: np.ndarray) -> bytes:
+    return _packed(x.astype("<f4").view("<u4"))
+
+
+def _unfloats(raw: bytes, n: int) -> np.ndarray:
+    return _unpacked(raw, n).astype("<u4").view("<f4")
+
+
 def _bits(x: np.ndarray) -> bytes:
     return np.packbits(x).tobytes()
 
@@ -93,44 +106,46 @@ def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
 
 
-class _Numbers(dict):
-    """Numbers words in order of their first occurrence."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 def _blocks(batches):
     """Texts -> blocks: distinct words, the most frequent first, and each text's words as numbers of these."""
     from pyspark import TaskContext
 
-    part, seq, size, held, numbers, found = TaskContext.get().partitionId(), 0, 0, [], [], _Numbers()
+    part, seq, size, held = TaskContext.get().partitionId(), 0, 0, []
 
     def row():
-        spaced = b" ".join(found)
-        end = np.flatnonzero(np.frombuffer(spaced + b" ", np.uint8) == 32) if found else np.zeros(0, np.int64)
-        words = span_hashes(spaced, np.append(0, end[:-1] + 1), end) if found else np.zeros(0, np.uint64)
-        idx = np.concatenate([np.zeros(0, np.int32), *numbers])
+        texts, lengths, docs, nameless, out = zip(*held)
+        found = pa.chunked_array(texts, pa.string()).combine_chunks().dictionary_encode()
+        idx, words = found.indices.to_numpy(), np.zeros(0, np.uint64)
+        if len(found.dictionary):
+            _, ends, spelled = found.dictionary.buffers()
+            ends = np.frombuffer(ends, np.int32)[: len(found.dictionary) + 1].astype(np.int64)
+            words = span_hashes(memoryview(spelled)[: ends[-1]], ends[:-1], ends[1:])
         order = np.argsort(-np.bincount(idx, minlength=len(words)), kind="stable")
         new = np.empty(len(words), np.int64)
         new[order] = np.arange(len(words))
+        lengths, docs, nameless, out = (np.concatenate(x) for x in (lengths, docs, nameless, out))
         known = dict.fromkeys(_columns(_TEXTS), b"") | {
-            "block": part << 32 | seq, "words": words[order].tobytes(), "n_words": len(words), "idx": _packed(new[idx]), "docs": np.array([d or 0 for d, _, _ in held], np.int64).tobytes(), "nameless": _bits(np.array([d is None for d, _, _ in held])),
-            "held": _bits(np.array([x for _, x, _ in held])), "lengths": _packed(np.array([n for _, _, n in held])), "tokens": size,
+            "block": part << 32 | seq, "words": words[order].tobytes(), "n_words": len(words), "idx": _packed(new[idx]), "docs": docs.tobytes(), "nameless": _bits(nameless),
+            "held": _bits(out), "lengths": _packed(lengths), "tokens": size, "trained": int((lengths + 1)[~out].sum()),
         }
-        kinds = [pa.int64() if x.endswith("long") else pa.binary() for x in _TEXTS.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array([known[x]], t) for x, t in zip(_columns(_TEXTS), kinds)], _columns(_TEXTS))
+        return _table(_TEXTS, [tuple(known[x] for x in _columns(_TEXTS))]).to_batches()[0]
 
     for b in batches:
-        for doc, out, text in zip(*(b.column(x).to_pylist() for x in ("doc_id", "held_out", "text"))):
-            words = text.encode("utf-8", "replace").lower().split() if text else []
-            numbers.append(np.fromiter(map(found.__getitem__, words), np.int32, len(words)))
-            held.append((doc, out, len(words)))
-            size += len(words) + 1
+        texts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(b.column("text"), "")))
+        words, lengths = texts.flatten(), pc.list_value_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        none = pc.equal(words, "").to_numpy(zero_copy_only=False)  # at the ends of texts
+        lengths -= np.bincount(np.repeat(np.arange(len(lengths)), lengths)[none], minlength=len(lengths))
+        words, ends, total = words.filter(pa.array(~none)), np.append(0, np.cumsum(lengths)), np.append(0, np.cumsum(lengths + 1))
+        docs, nameless, out = pc.fill_null(b.column("doc_id"), 0).to_numpy(), b.column("doc_id").is_null().to_numpy(zero_copy_only=False), b.column("held_out").to_numpy(zero_copy_only=False)
+        x = 0
+        while x < len(lengths):
+            y = min(int(np.searchsorted(total[1:], total[x] + BLOCK_TOKENS - size)) + 1, len(lengths))
+            held.append((words.slice(ends[x], ends[y] - ends[x]), lengths[x:y], docs[x:y], nameless[x:y], out[x:y]))
+            size += int(total[y] - total[x])
             if size >= BLOCK_TOKENS:
                 yield row()
-                seq, size, held, numbers, found = seq + 1, 0, [], [], _Numbers()
+                seq, size, held = seq + 1, 0, []
+            x = y
     if held:
         yield row()
 
@@ -179,7 +194,6 @@ class _Block:
 
     def __init__(self, r):
         self.row, w = r, r.n_words
-        self.hashes = np.append(np.frombuffer(r.words, np.uint64), np.array([_END, _START], np.uint64))
         texts = len(r.docs) // 8
         self.lengths, self.held = _numbers(r.lengths, texts), _unbits(r.held, texts)
         ends = np.cumsum(self.lengths)
@@ -190,8 +204,8 @@ class _Block:
 
     def words(self) -> _Distinct:
         """Level 0: the words, and the end."""
-        found = _Distinct(self.numbers, len(self.hashes))
-        found.hashed(self.hashes[found.codes])
+        found = _Distinct(self.numbers, self.row.n_words + 1)
+        found.hashed(np.append(np.frombuffer(self.row.words, np.uint64), np.uint64(_END))[found.codes])
         return found
 
     def base(self, n: int, v: int) -> np.ndarray:
@@ -199,6 +213,8 @@ class _Block:
 
     def level(self, k: int, n: int, v: int) -> None:
         """The places of level k: their probability so far, their contexts, and their grams where the shorter gram is listed."""
+        self.ids = _numbers(self.row.ids, self.row.n_words + 1)
+        self.hashes = mix(np.append(self.ids, _START).astype(np.uint64))
         if k == 1:
             self.places, self.p = np.arange(len(self.numbers)), self.base(n, v)
             self.listed = (_numbers(self.row.seen, self.row.n_words + 1) >= LEAST)[self.numbers]
@@ -208,7 +224,7 @@ class _Block:
         self.look(k)
 
     def look(self, k: int) -> None:
-        """The contexts and grams of the places."""
+        """The contexts and grams of the places; context: of each place, in order of keys."""
         width = len(self.hashes)
         self.here = self.places - self.begin[self.text[self.places]]
         far = [np.where(self.here >= j, self.numbers[np.maximum(self.places - j, 0)], width - 1) for j in range(1, k + 1)]
@@ -219,208 +235,177 @@ class _Block:
         for x in far:
             h = _joined(h, self.hashes[x[self.contexts.first]])
         self.contexts.hashed(h)
+        self.context = self.contexts.rank[self.contexts.at]
         self.some = np.flatnonzero(self.listed)
-        word = self.numbers[self.places[self.some]]
-        self.grams = _Distinct(self.contexts.at[self.some] * width + word, len(h) * width)
-        self.grams.hashed(_joined(h[self.grams.codes // width] ^ np.uint64(0xD1B54A32D192ED03), self.hashes[self.grams.codes % width]))
-        self.trained = self.train[self.places]
-
-    def gram_counts(self) -> np.ndarray:
-        """By key, how often each gram occurs in this block's training texts."""
-        return np.bincount(self.grams.rank[self.grams.at[self.trained[self.some]]], minlength=len(self.grams.keys))
-
-    def totals(self, told: pd.DataFrame) -> None:
-        """What came back for the grams: how often each occurs, 0 if under LEAST, and whether this block speaks for it."""
-        both = _told(told[told.kind == GRAMS])[self.grams.rank]
-        self.n, self.mine = both >> 1, (both & 1) > 0
-
-    def context_sums(self):
-        """By key, each context's training occurrences here; of the grams that this block speaks for: key, kinds, stored, gain, the two largest counts."""
-        size = np.bincount(self.contexts.rank[self.contexts.at[self.trained]], minlength=len(self.contexts.keys))
-        own = np.flatnonzero(self.mine & (self.n > 0))
-        by, n, below = self.grams.codes[own] // len(self.hashes), self.n[own], self.p[self.some[self.grams.first[own]]]
-        if not len(own):
-            return size, own, own, own, own.astype(float), np.zeros((0, 2), np.int64)
-        start = np.flatnonzero(np.append(True, by[1:] != by[:-1]))
-        kinds = np.diff(np.append(start, len(by)))
-        first = np.maximum.reduceat(n, start)
-        top = n == np.repeat(first, kinds)
-        second = np.where(np.add.reduceat(top.astype(np.int64), start) > 1, first, np.maximum.reduceat(np.where(top, 0, n), start))
-        key = self.contexts.rank[by[start]]
-        order = np.argsort(key)
-        return size, key[order], kinds[order], np.add.reduceat(n, start)[order], np.add.reduceat(n * np.log(n / below), start)[order], np.stack([first, second], 1)[order]
-
-    def carry_on(self, k: int, told: pd.DataFrame) -> tuple:
-        """Applies the retained contexts; done: the log10 of the places that end here, by text; the rest goes to the next level, and is left here."""
-        notes = told[told.kind == CONTEXTS].sort_values("part")
-        flags = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x, np.uint8) for x in notes.n)])
-        counts = [int(np.count_nonzero(np.frombuffer(x, np.uint8))) for x in notes.n]
-        stored, kinds, size = (np.concatenate([np.zeros(0, np.int64), *(_numbers(raw, c) for raw, c in zip(notes[x], counts))]) for x in ("stored", "kinds", "sizes"))
-        number = np.where(flags > 0, np.cumsum(flags > 0) - 1, -1)[self.contexts.rank]
-        flags = flags[self.contexts.rank]
-        mine = number[self.contexts.at]
+        self.grams = _Distinct(self.context[self.some] * width + self.numbers[self.places[self.some]], len(h) * width)
+
+    def asked(self, parts: int) -> list:
+        """Messages: by key, each context's training occurrences here and its grams: next word, training occurrences here, probability so far."""
+        keys, trained = self.contexts.keys, self.train[self.places]
+        size = np.bincount(self.context[trained], minlength=len(keys))
+        of, word = np.divmod(self.grams.codes, len(self.hashes))
+        times = np.bincount(self.grams.at[trained[self.some]], minlength=len(of))
+        word, below = self.ids[word], self.p[self.some[self.grams.first]]
+        kinds = np.bincount(of, minlength=len(keys))
+        to = np.append(0, np.cumsum(kinds)).tolist()
+        return [
+            (part, self.row.block, y - x, _differences(keys[x:y]), _packed(size[x:y]), _packed(kinds[x:y]), to[y] - to[x], _packed(word[to[x] : to[y]]), _packed(times[to[x] : to[y]]), _floats(below[to[x] : to[y]]))
+            for part, x, y in self.contexts.parts(parts)
+        ]
+
+    def carry_on(self, k: int, told: list) -> tuple:
+        """Applies the retained contexts: how many places go to the next level, which, their state; done: the log10 of the places that end here, by text."""
+        flags = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x.flags, np.uint8) for x in told)])
+        counts = [int(np.count_nonzero(np.frombuffer(x.flags, np.uint8))) for x in told]
+        stored, kinds, size = (np.concatenate([np.zeros(0, np.int64), *(_numbers(getattr(x, name), c) for x, c in zip(told, counts))]) for name in ("stored", "kinds", "sizes"))
+        mine = np.where(flags > 0, np.cumsum(flags > 0) - 1, -1)[self.context]
         at = np.flatnonzero(mine >= 0)
         n = np.zeros(len(self.places), np.int64)
-        n[self.some] = self.n[self.grams.at]
-        weight = size - stored + kinds
-        self.p[at] = (n[at] + weight[mine[at]] * self.p[at]) / (stored + weight)[mine[at]]
+        n[self.some] = np.concatenate([np.zeros(0, np.int64), *(_numbers(x.n, x.grams) for x in told)])[self.grams.at]
+        weight, mine = size - stored + kinds, mine[at]
+        self.p[at] = (n[at] + weight[mine] * self.p[at]) / (stored + weight)[mine]
         # A longer context is the gram at the place before; -1 where that was not asked.
         before = np.full(len(self.numbers), -1, np.int64)
         before[self.places] = n
-        on = (flags[self.contexts.at] == 3) & (self.here >= k)
+        on = (flags[self.context] == 3) & (self.here >= k)
         on[on] = before[self.places[on] - 1] != 0
         done = np.bincount(self.text[self.places[~on]], np.log10(self.p[~on]), len(self.lengths))
         alive = np.zeros(len(self.numbers), bool)
         alive[self.places[on]] = True
-        self.places, kept, self.listed = self.places[on], self.p[on].astype(np.float32), n[on] > 0
-        self.p = kept.astype(np.float64)
-        return len(kept), _bits(alive), _bits(self.listed), kept.tobytes(), (done + (np.frombuffer(self.row.done, np.float64) if k > 1 else 0)).tobytes()
-
-
-def _told(notes: pd.DataFrame) -> np.ndarray:
-    notes = notes.sort_values("part")
-    return np.concatenate([np.zeros(0, np.int64), *(_numbers(raw, n) for raw, n in zip(notes.n, notes["size"]))])
+        kept = self.p[on].astype(np.float32)
+        return len(kept), _bits(alive), _bits(n[on] > 0), kept.tobytes(), (done + (np.frombuffer(self.row.done, np.float64) if k > 1 else 0)).tobytes()
 
 
-def _frame(kind: str, rows: list) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=_columns(kind)) if rows else pd.DataFrame({x: [] for x in _columns(kind)})
+def _table(kind: str, rows: list) -> pa.Table:
+    kinds = [pa.int64() if x.endswith("long") else pa.binary() for x in kind.split(", ")]
+    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], _columns(kind))
 
 
-def _asked_counts(block: int, found: _Distinct, count: np.ndarray, parts: int) -> list:
-    return [(part, block, y - x, _differences(found.keys[x:y]), _packed(count[x:y]), 0, b"", b"", b"", b"", b"") for part, x, y in found.parts(parts)]
+def _rows(table) -> list:
+    """A table's or batch's rows, in order of parts where it has these."""
+    row = namedtuple("Row", table.schema.names)
+    rows = [row(*x) for x in zip(*(c.to_pylist() for c in table.columns))]
+    return sorted(rows, key=lambda r: r.part) if "part" in row._fields else rows
 
 
 def _ask_words(parts: int):
     def run(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
+        for batch in batches:
+            for r in _rows(batch):
                 b = _Block(r)
                 found = b.words()
-                yield _frame(_ASKED, _asked_counts(r.block, found, np.bincount(found.rank[found.at[b.train]], minlength=len(found.keys)), parts))
+                count = np.bincount(found.rank[found.at[b.train]], minlength=len(found.keys))
+                yield from _table(_WORDS, [(part, r.block, y - x, _differences(found.keys[x:y]), _packed(count[x:y])) for part, x, y in found.parts(parts)]).to_batches()
 
     return run
 
 
-def _ask_grams(n: int, v: int, parts: int):
+def _ask(k: int, n: int, v: int, parts: int):
     def run(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
+        for batch in batches:
+            for r in _rows(batch):
+                if k > 1 and not r.alive:
+                    continue
                 b = _Block(r)
-                b.level(1, n, v)
-                yield _frame(_ASKED, _asked_counts(r.block, b.grams, b.gram_counts(), parts))
+                b.level(k, n, v)
+                yield from _table(_ASKED, b.asked(parts)).to_batches()
 
     return run
 
 
-def _ask_contexts(k: int, n: int, v: int, parts: int):
-    def run(block: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for r in block.itertuples():
-            if k > 1 and not r.alive:
-                continue
-            b = _Block(r)
-            b.level(k, n, v)
-            b.totals(notes)
-            size, by, kinds, stored, gain, top = b.context_sums()
-            for part, x, y in b.contexts.parts(parts):
-                i, j = np.searchsorted(by, [x, y])
-                rows.append((part, r.block, y - x, _differences(b.contexts.keys[x:y]), _packed(size[x:y]), j - i, _packed(by[i:j] - x), _packed(kinds[i:j]), _packed(stored[i:j]), gain[i:j].tobytes(), _packed(top[i:j].ravel())))
-        return _frame(_ASKED, rows)
-
-    return run
-
-
-def _gathered(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A part's messages by block, where each ends, and of all keys: how many are distinct, which one each is, and the sums of what came with them."""
-    rows = rows.sort_values("block")
-    keys = np.concatenate([np.cumsum(_unpacked(x, n), dtype=np.uint64) for x, n in zip(rows["keys"], rows["size"])])
+def _gathered(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A part's messages: where each ends, and of all keys: which distinct one each is, and the sums of what came with them."""
+    keys = np.concatenate([np.cumsum(_unpacked(r.keys, r.size), dtype=np.uint64) for r in rows])
     order = np.argsort(keys)
     keys = keys[order]
     new = np.append(True, keys[1:] != keys[:-1])
     at = np.empty(len(keys), np.int64)
     at[order] = np.cumsum(new) - 1
-    kinds = int(new.sum())
-    n = np.bincount(at, np.concatenate([_numbers(x, s) for x, s in zip(rows.n, rows["size"])]), kinds).astype(np.int64)
-    return rows, np.cumsum(rows["size"].to_numpy()), at, n
+    n = np.bincount(at, np.concatenate([_numbers(r.n, r.size) for r in rows]), int(new.sum())).astype(np.int64)
+    return np.cumsum([r.size for r in rows]), at, n
 
 
-def _count(least: int):
-    """For a part of the hash space: every message's totals, in its order, with one block speaking for each key. One more row, of block -1, has how many keys occur."""
+def _count(parts: int):
+    """For a part of the hash space: every message's totals and numbers among all words, in its order. One more row, of block -1, has how many words occur."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, ends, at, n = _gathered(rows)
-        n[n < least] = 0
-        first = np.empty(len(n), np.int64)
-        first[at[::-1]] = np.arange(len(at))[::-1]
-        both = n[at] << 1
-        both[first] |= 1
-        part = int(rows.part.iloc[0])
-        out = [(b, part, GRAMS, s, _packed(both[e - s : e]), b"", b"", b"") for b, s, e in zip(rows.block, rows["size"], ends)]
-        return _frame(_TOLD, [(-1, part, GRAMS, int((n > 0).sum()), b"", b"", b"", b""), *out])
+    def run(table: pa.Table) -> pa.Table:
+        rows = _rows(table)
+        ends, at, n = _gathered(rows)
+        part = rows[0].part
+        out = [(part, r.block, r.size, _packed(n[at[e - r.size : e]]), _packed(at[e - r.size : e] * parts + part)) for r, e in zip(rows, ends)]
+        return _table(_COUNTED, [(part, -1, int((n > 0).sum()), b"", b""), *out])
 
     return run
 
 
 def _decide(n_all: int):
-    """For a part of the hash space: which contexts are retained, and below which longer ones can be (flags 1 and 3)."""
+    """For a part of the hash space: how often each gram occurs, 0 if under LEAST; which contexts are retained, and below which longer ones can be (flags 1 and 3)."""
     least = 0.5 * math.log(max(2.0, n_all))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, ends, at, size = _gathered(rows)
-        own = rows.own.to_numpy()
-        many = lambda x, each=1: np.concatenate([_numbers(raw, c * each) for raw, c in zip(rows[x], own)])
-        mine = at[many("at") + np.repeat(ends - rows["size"].to_numpy(), own)]
-        add = lambda x: np.bincount(mine, x, len(size))
-        kinds, stored, gain = add(many("kinds")).astype(np.int64), add(many("stored")).astype(np.int64), add(np.concatenate([np.frombuffer(g, np.float64) for g in rows.gain]))
-        top, both = many("top", 2), np.repeat(mine, 2)
-        order = np.lexsort((-top, both))
-        top, both = top[order], both[order]
-        rank = np.arange(len(both)) - np.searchsorted(both, both)
+    def run(table: pa.Table) -> pa.Table:
+        rows = _rows(table)
+        ends, at, size = _gathered(rows)
+        word = np.concatenate([_numbers(r.next, r.grams) for r in rows])
+        width = int(word.max(initial=0)) + 1
+        grams = _Distinct(np.repeat(at, np.concatenate([_numbers(r.kinds, r.size) for r in rows])) * width + word, len(size) * width)
+        n = np.bincount(grams.at, np.concatenate([_numbers(r.times, r.grams) for r in rows]), len(grams.codes)).astype(np.int64)
+        n[n < LEAST] = 0
+        listed = np.flatnonzero(n)
+        by, times, below = grams.codes[listed] // width, n[listed], np.concatenate([_unfloats(r.below, r.grams) for r in rows])[grams.first[listed]].astype(np.float64)
+        kinds = np.bincount(by, minlength=len(size))
+        stored = np.bincount(by, times, len(size)).astype(np.int64)
+        gain = np.bincount(by, times * np.log(times / below), len(size))
         first, second = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
-        first[both[rank == 0]], second[both[rank == 1]] = top[rank == 0], top[rank == 1]
+        if len(by):
+            start = np.flatnonzero(np.append(True, by[1:] != by[:-1]))
+            largest = np.maximum.reduceat(times, start)
+            top = times == np.repeat(largest, np.diff(np.append(start, len(by))))
+            first[by[start]] = largest
+            second[by[start]] = np.where(np.add.reduceat(top.astype(np.int64), start) > 1, largest, np.maximum.reduceat(np.where(top, 0, times), start))
         kept = (kinds > 0) & (gain - stored * np.log(np.maximum(size, 1)) > least * kinds)
         whole = np.maximum(size + kinds, 1).astype(np.float64)
         rise = lambda x: x * np.log(whole / np.maximum(x, 1))
         more = (rise(first) > least) | (rise(np.minimum(second, whole / math.e)) > least)
         flags = np.where(kept, np.where(more, 3, 1), 0).astype(np.uint8)
-        out, part = [], int(rows.part.iloc[0])
-        for b, s, e in zip(rows.block, rows["size"], ends):
-            f = flags[at[e - s : e]]
-            some = at[e - s : e][f > 0]
-            out.append((b, part, CONTEXTS, s, f.tobytes(), _packed(stored[some]), _packed(kinds[some]), _packed(size[some])))
-        return _frame(_TOLD, out)
+        out, e, to = [], 0, 0
+        for r in rows:
+            mine, e = at[e : e + r.size], e + r.size
+            f = flags[mine]
+            some = mine[f > 0]
+            out.append((r.part, r.block, r.size, f.tobytes(), _packed(stored[some]), _packed(kinds[some]), _packed(size[some]), r.grams, _packed(n[grams.at[to : to + r.grams]])))
+            to += r.grams
+        return _table(_TOLD, out)
 
     return run
 
 
-def _with_words(block: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
-    """Blocks with the training occurrences of their words, the end's last."""
-    out = []
-    for r in block.itertuples(index=False):
+def _with_words(block: pa.Table, notes: pa.Table) -> pa.Table:
+    """Blocks with the numbers of their words among all, and their training occurrences, the end's last."""
+    out, told = [], _rows(notes)
+    for r in _rows(block):
         found = _Block(r).words()
-        seen = np.zeros(r.n_words + 1, np.int64)
-        seen[found.codes] = (_told(notes) >> 1)[found.rank]
-        out.append(r._replace(seen=_packed(seen)))
-    return _frame(_TEXTS, out)
+        known = {"words": b""}
+        for column, name in (("n", "seen"), ("ids", "ids")):
+            x = np.zeros(r.n_words + 1, np.int64)
+            x[found.codes] = np.concatenate([_numbers(getattr(t, column), t.size) for t in told])[found.rank]
+            known[name] = _packed(x)
+        out.append(r._replace(**known))
+    return _table(_TEXTS, out)
 
 
-def _carry_on(k: int, n: int, v: int, parts: int):
-    """The blocks' next state, and with it the messages of the next level's grams, so that a block is unpacked once for both."""
+def _carry_on(k: int, n: int, v: int):
+    """The blocks' next state."""
 
-    def run(block: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
+    def run(block: pa.Table, notes: pa.Table) -> pa.Table:
         out = []
-        for r in block.itertuples():
+        for r in _rows(block):
             if k > 1 and not r.alive:
-                out.append((r.block, 0, r.places, r.listed, r.p, r.done, -1, 0, b"", b""))
+                out.append(tuple(getattr(r, x) for x in _columns(_STATE)))
                 continue
             b = _Block(r)
             b.level(k, n, v)
-            b.totals(notes)
-            out.append((r.block, *b.carry_on(k, notes), -1, 0, b"", b""))
-            if len(b.places):
-                b.look(k + 1)
-                out += [(at, 0, b"", b"", b"", b"", part, size, keys, counts) for part, at, size, keys, counts, *_ in _asked_counts(r.block, b.grams, b.gram_counts(), parts)]
-        return _frame(_PLACES, out)
+            out.append((r.block, *b.carry_on(k, _rows(notes))))
+        return _table(_STATE, out)
 
     return run
 
@@ -439,41 +424,32 @@ def _results(n: int, v: int):
     return run
 
 
-def _trained(batches):
-    for pdf in batches:
-        yield pd.DataFrame({"n": [int(_Block(r).train.sum()) for r in pdf.itertuples()]})
-
-
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id"), FOLDS).alias("held_out"))
     blocks = keep(mine.mapInArrow(_blocks, _TEXTS), "op9-blocks")
-    alive, many = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
-    n = int(blocks.mapInPandas(_trained, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    alive, n, many = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("trained"), F.lit(0)), F.count("*")).first()
     buckets = "block", max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), many // 4)
 
     def parts() -> int:
         return max(16, alive // PART_PLACES)
 
     def told(state: DataFrame, notes: DataFrame, run, kind: str) -> DataFrame:
-        return state.groupBy("block").cogroup(notes.where("block >= 0").groupBy("block")).applyInPandas(run, kind)
+        return state.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(run, kind)
 
-    def by_part(asked: DataFrame, run) -> DataFrame:
-        return asked.repartition(parts(), "part").groupBy("part").applyInPandas(run, _TOLD)
+    def by_part(asked: DataFrame, run, kind: str) -> DataFrame:
+        return asked.repartition(parts(), "part").groupBy("part").applyInArrow(run, kind)
 
-    words = keep(by_part(blocks.mapInPandas(_ask_words(parts()), _ASKED), _count(1)), "op9-words")
+    words = keep(by_part(blocks.mapInArrow(_ask_words(parts()), _WORDS), _count(parts()), _COUNTED), "op9-words")
     v = int(words.where("block = -1").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
-    texts = keep(told(blocks, words, _with_words, _TEXTS), "op9-texts", buckets)
+    texts = keep(told(blocks, words.where("block >= 0"), _with_words, _TEXTS), "op9-texts", buckets)
     dropped(blocks, words)
     places, state, k = None, texts, 1
-    asked = texts.mapInPandas(_ask_grams(n, v, parts()), _ASKED)
     while alive:
-        grams = keep(by_part(asked, _count(LEAST)), "op9-grams")
-        contexts = keep(by_part(told(state, grams, _ask_contexts(k, n, v, parts()), _ASKED), _decide(n)), "op9-contexts")
-        after = keep(told(state, grams.unionByName(contexts), _carry_on(k, n, v, parts()), _PLACES), "op9-places", buckets)
-        dropped(grams, contexts, *([places] if places else []))
-        places, state, k = after, texts.join(after.where("part < 0").select(*_columns(_STATE)), "block"), k + 1
-        asked = after.where("part >= 0").select("part", "block", "size", "keys", "n")
+        notes = keep(by_part(state.mapInArrow(_ask(k, n, v, parts()), _ASKED), _decide(n), _TOLD), "op9-notes")
+        after = keep(told(state, notes, _carry_on(k, n, v), _STATE), "op9-places", buckets)
+        dropped(notes, *([places] if places else []))
+        places, state, k = after, texts.join(after, "block"), k + 1
         alive = places.agg(F.sum("alive")).first()[0]
     if places is None:
         return docs.sparkSession.createDataFrame([], _OUT)
