@@ -490,6 +490,31 @@ def test_suffix_tree_exchanges_once_a_level(spark, monkeypatch):
         assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-5 * max(1, abs(b[2]))
 
 
+def test_suffix_tree_deals_out_frequent_contexts(spark, monkeypatch):
+    """The next words of a context that is half of all places go to many parts, and the scores stay those of the dictionaries."""
+    monkeypatch.setattr(op9_suffix_tree, "SPLIT", 20)
+    monkeypatch.setattr(op9_suffix_tree, "BLOCK_TOKENS", 1000)
+    shares, keep = [], op9_suffix_tree.keep
+
+    def kept(df, label, *rest):
+        out = keep(df, label, *rest)
+        if label == "op9-notes":
+            shares.append([r[1] for r in out.groupBy("part").agg(F.sum("grams")).collect()])
+        return out
+
+    monkeypatch.setattr(op9_suffix_tree, "keep", kept)
+    r = random.Random(8)
+    pairs = [f"x w{k % 200}" for k in range(1800)]
+    r.shuffle(pairs)
+    data = [(k, " ".join(pairs[k * 36 : k * 36 + 36])) for k in range(50)] + [(100 + k, "x y z " * 20 + r.choice(["a", "b"])) for k in range(30)]
+    want, retained = tree_scores(data)
+    assert (b"x",) in retained and max(map(len, retained)) >= 2
+    got = op9_suffix_tree.score(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+    assert max(shares[0]) < 0.3 * sum(shares[0])
+    for a, b in zip(sorted((x.doc_id, x.n_tokens, x.score) for x in got), sorted(want), strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-5 * max(1, abs(b[2]))
+
+
 def test_suffix_tree_is_a_distribution(spark):
     """The probabilities of all known words behind a context, and of one unknown word, add up to 1."""
     r = random.Random(9)

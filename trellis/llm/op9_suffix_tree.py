@@ -16,7 +16,8 @@ The tree is never in one place. Texts are put into blocks, each with the numbers
 by level, a block sends the hashes of its contexts, and with each its next words, how often they occur and their probability so far, summed
 within the block, to the parts of the hash space. A part has everything about its contexts: it decides which are retained, and sends the
 totals back in the same order. The block carries on with the places whose context was retained. Places that are done are added up and leave the
-state. A context is in a block's message once, so the most frequent one adds one entry for each block to a part; parts grow in number with the places that are left.
+state. A gram is in a block's message once. A context that occurs SPLIT times or more has several keys, its next words dealt among them by their numbers; a part
+then sends its sums back, and every block adds them up and decides alike. So no context is too much for a part; parts grow in number with the places that are left.
 
 No longer context is tried where none can be retained, which changes no result: a context that occurs less than LEAST times lists nothing, and
 a retained one below a context needs a word with n * ln(T / n) above the threshold, T being the size and the kinds of the
@@ -45,15 +46,16 @@ from trellis.llm.common import dropped, held_out, keep, mix, span_hashes, table
 FOLDS, LEAST = 7, 2
 #: The end in place of a word's hash, and the start in place of a word's number.
 _END, _START = 1, 1 << 62
-#: Tokens after which a block ends, and places for each part of the hash space.
-BLOCK_TOKENS, PART_PLACES = 750_000, 2_500_000
+#: Tokens after which a block ends, places for each part of the hash space, and occurrences for each key of a context.
+BLOCK_TOKENS, PART_PLACES, SPLIT = 750_000, 2_500_000, 250_000
 _TEXTS = "block long, words binary, n_words long, ids binary, seen binary, idx binary, docs binary, nameless binary, held binary, lengths binary, tokens long, trained long"
 _WORDS = "part long, block long, size long, keys binary, n binary"
 _COUNTED = "part long, block long, size long, n binary, ids binary"
-_STATE = "block long, alive long, places binary, listed binary, p binary, done binary"
-_ASKED = "part long, block long, size long, keys binary, n binary, kinds binary, grams long, next binary, times binary, below binary"
-_TOLD = "part long, block long, size long, flags binary, stored binary, kinds binary, sizes binary, grams long, n binary"
+_STATE = "block long, alive long, places binary, listed binary, splits binary, p binary, done binary"
+_ASKED = "part long, block long, size long, keys binary, split binary, n binary, kinds binary, grams long, next binary, times binary, below binary"
+_TOLD = "part long, block long, size long, flags binary, stored binary, kinds binary, sizes binary, gain binary, first binary, second binary, grams long, n binary"
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SHARED = 4
 
 
 def _columns(kind: str) -> list[str]:
@@ -106,48 +108,52 @@ def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
 
 
-def _blocks(batches):
+def _blocks(tokens: int):
     """Texts -> blocks: distinct words, the most frequent first, and each text's words as numbers of these."""
-    from pyspark import TaskContext
-
-    part, seq, size, held = TaskContext.get().partitionId(), 0, 0, []
-
-    def row():
-        texts, lengths, docs, nameless, out = zip(*held)
-        found = pa.chunked_array(texts, pa.string()).combine_chunks().dictionary_encode()
-        idx, words = found.indices.to_numpy(), np.zeros(0, np.uint64)
-        if len(found.dictionary):
-            _, ends, spelled = found.dictionary.buffers()
-            ends = np.frombuffer(ends, np.int32)[: len(found.dictionary) + 1].astype(np.int64)
-            words = span_hashes(memoryview(spelled)[: ends[-1]], ends[:-1], ends[1:])
-        order = np.argsort(-np.bincount(idx, minlength=len(words)), kind="stable")
-        new = np.empty(len(words), np.int64)
-        new[order] = np.arange(len(words))
-        lengths, docs, nameless, out = (np.concatenate(x) for x in (lengths, docs, nameless, out))
-        known = dict.fromkeys(_columns(_TEXTS), b"") | {
-            "block": part << 32 | seq, "words": words[order].tobytes(), "n_words": len(words), "idx": _packed(new[idx]), "docs": docs.tobytes(), "nameless": _bits(nameless),
-            "held": _bits(out), "lengths": _packed(lengths), "tokens": size, "trained": int((lengths + 1)[~out].sum()),
-        }
-        return _table(_TEXTS, [tuple(known[x] for x in _columns(_TEXTS))]).to_batches()[0]
-
-    for b in batches:
-        texts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(b.column("text"), "")))
-        words, lengths = texts.flatten(), pc.list_value_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-        none = pc.equal(words, "").to_numpy(zero_copy_only=False)  # at the ends of texts
-        lengths -= np.bincount(np.repeat(np.arange(len(lengths)), lengths)[none], minlength=len(lengths))
-        words, ends, total = words.filter(pa.array(~none)), np.append(0, np.cumsum(lengths)), np.append(0, np.cumsum(lengths + 1))
-        docs, nameless, out = pc.fill_null(b.column("doc_id"), 0).to_numpy(), b.column("doc_id").is_null().to_numpy(zero_copy_only=False), b.column("held_out").to_numpy(zero_copy_only=False)
-        x = 0
-        while x < len(lengths):
-            y = min(int(np.searchsorted(total[1:], total[x] + BLOCK_TOKENS - size)) + 1, len(lengths))
-            held.append((words.slice(ends[x], ends[y] - ends[x]), lengths[x:y], docs[x:y], nameless[x:y], out[x:y]))
-            size += int(total[y] - total[x])
-            if size >= BLOCK_TOKENS:
-                yield row()
-                seq, size, held = seq + 1, 0, []
-            x = y
-    if held:
-        yield row()
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, seq, size, held = TaskContext.get().partitionId(), 0, 0, []
+
+        def row():
+            texts, lengths, docs, nameless, out = zip(*held)
+            found = pa.chunked_array(texts, pa.string()).combine_chunks().dictionary_encode()
+            idx, words = found.indices.to_numpy(), np.zeros(0, np.uint64)
+            if len(found.dictionary):
+                _, ends, spelled = found.dictionary.buffers()
+                ends = np.frombuffer(ends, np.int32)[: len(found.dictionary) + 1].astype(np.int64)
+                words = span_hashes(memoryview(spelled)[: ends[-1]], ends[:-1], ends[1:])
+            order = np.argsort(-np.bincount(idx, minlength=len(words)), kind="stable")
+            new = np.empty(len(words), np.int64)
+            new[order] = np.arange(len(words))
+            lengths, docs, nameless, out = (np.concatenate(x) for x in (lengths, docs, nameless, out))
+            known = dict.fromkeys(_columns(_TEXTS), b"") | {
+                "block": part << 32 | seq, "words": words[order].tobytes(), "n_words": len(words), "idx": _packed(new[idx]), "docs": docs.tobytes(), "nameless": _bits(nameless),
+                "held": _bits(out), "lengths": _packed(lengths), "tokens": size, "trained": int((lengths + 1)[~out].sum()),
+            }
+            return _table(_TEXTS, [tuple(known[x] for x in _columns(_TEXTS))]).to_batches()[0]
+
+        for b in batches:
+            texts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(b.column("text"), "")))
+            words, lengths = texts.flatten(), pc.list_value_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+            none = pc.equal(words, "").to_numpy(zero_copy_only=False)  # at the ends of texts
+            lengths -= np.bincount(np.repeat(np.arange(len(lengths)), lengths)[none], minlength=len(lengths))
+            words, ends, total = words.filter(pa.array(~none)), np.append(0, np.cumsum(lengths)), np.append(0, np.cumsum(lengths + 1))
+            docs, nameless, out = pc.fill_null(b.column("doc_id"), 0).to_numpy(), b.column("doc_id").is_null().to_numpy(zero_copy_only=False), b.column("held_out").to_numpy(zero_copy_only=False)
+            x = 0
+            while x < len(lengths):
+                y = min(int(np.searchsorted(total[1:], total[x] + tokens - size)) + 1, len(lengths))
+                held.append((words.slice(ends[x], ends[y] - ends[x]), lengths[x:y], docs[x:y], nameless[x:y], out[x:y]))
+                size += int(total[y] - total[x])
+                if size >= tokens:
+                    yield row()
+                    seq, size, held = seq + 1, 0, []
+                x = y
+        if held:
+            yield row()
+
+    return run
 
 
 class _Distinct:
@@ -211,21 +217,25 @@ class _Block:
     def base(self, n: int, v: int) -> np.ndarray:
         return ((_numbers(self.row.seen, self.row.n_words + 1) + 1.0) / (n + v + 1.0))[self.numbers]
 
-    def level(self, k: int, n: int, v: int) -> None:
-        """The places of level k: their probability so far, their contexts, and their grams where the shorter gram is listed."""
+    def level(self, k: int, n: int, v: int, split: int) -> None:
+        """The places of level k: their probability so far, their contexts, and their grams where the shorter gram is listed. splits: how many keys more a place's context has."""
         self.ids = _numbers(self.row.ids, self.row.n_words + 1)
         self.hashes = mix(np.append(self.ids, _START).astype(np.uint64))
+        seen = _numbers(self.row.seen, self.row.n_words + 1)
         if k == 1:
-            self.places, self.p = np.arange(len(self.numbers)), self.base(n, v)
-            self.listed = (_numbers(self.row.seen, self.row.n_words + 1) >= LEAST)[self.numbers]
+            self.places, self.p, self.listed = np.arange(len(self.numbers)), self.base(n, v), (seen >= LEAST)[self.numbers]
+            at = np.append(0, self.numbers[:-1])
+            at[self.begin] = len(seen) - 1  # the start occurs as often as the end
+            self.splits = seen[at] // split
         else:
             self.places = np.flatnonzero(_unbits(self.row.places, len(self.numbers)))
-            self.p, self.listed = np.frombuffer(self.row.p, np.float32).astype(np.float64), _unbits(self.row.listed, len(self.places))
+            self.p, self.listed, self.splits = np.frombuffer(self.row.p, np.float32).astype(np.float64), _unbits(self.row.listed, len(self.places)), _numbers(self.row.splits, len(self.places))
         self.look(k)
 
     def look(self, k: int) -> None:
-        """The contexts and grams of the places; context: of each place, in order of keys."""
-        width = len(self.hashes)
+        """The contexts and grams of the places; context: the key of each place, several: which keys have a part of their context, both in order of keys; shared: these
+        keys, one context after another, and where each begins."""
+        width, word = len(self.hashes), self.numbers[self.places]
         self.here = self.places - self.begin[self.text[self.places]]
         far = [np.where(self.here >= j, self.numbers[np.maximum(self.places - j, 0)], width - 1) for j in range(1, k + 1)]
         self.contexts = _Distinct(far[0], width)
@@ -234,10 +244,21 @@ class _Block:
         h = np.zeros(len(self.contexts.codes), np.uint64)
         for x in far:
             h = _joined(h, self.hashes[x[self.contexts.first]])
+        at, keys = self.contexts.at, 1 + self.splits[self.contexts.first]
+        several = np.flatnonzero(keys > 1)
+        if len(several):
+            begin = np.cumsum(keys) - keys
+            of = np.repeat(np.arange(len(h)), keys)
+            at, h = begin[at] + self.ids[word] % keys[at], np.where(keys[of] > 1, _joined(h[of], (np.arange(len(of)) - begin[of] + 1).astype(np.uint64)), h[of])
+            several = np.flatnonzero(keys[of] > 1), np.flatnonzero(np.diff(of[keys[of] > 1], prepend=-1))
         self.contexts.hashed(h)
-        self.context = self.contexts.rank[self.contexts.at]
+        self.context = self.contexts.rank[at]
+        self.several, self.shared = np.zeros(len(h), bool), None
+        if len(several):
+            self.shared = self.contexts.rank[several[0]], several[1]
+            self.several[self.shared[0]] = True
         self.some = np.flatnonzero(self.listed)
-        self.grams = _Distinct(self.context[self.some] * width + self.numbers[self.places[self.some]], len(h) * width)
+        self.grams = _Distinct(self.context[self.some] * width + word[self.some], len(h) * width)
 
     def asked(self, parts: int) -> list:
         """Messages: by key, each context's training occurrences here and its grams: next word, training occurrences here, probability so far."""
@@ -249,31 +270,60 @@ class _Block:
         kinds = np.bincount(of, minlength=len(keys))
         to = np.append(0, np.cumsum(kinds)).tolist()
         return [
-            (part, self.row.block, y - x, _differences(keys[x:y]), _packed(size[x:y]), _packed(kinds[x:y]), to[y] - to[x], _packed(word[to[x] : to[y]]), _packed(times[to[x] : to[y]]), _floats(below[to[x] : to[y]]))
+            (part, self.row.block, y - x, _differences(keys[x:y]), _bits(self.several[x:y]), _packed(size[x:y]), _packed(kinds[x:y]), to[y] - to[x], _packed(word[to[x] : to[y]]), _packed(times[to[x] : to[y]]), _floats(below[to[x] : to[y]]))
             for part, x, y in self.contexts.parts(parts)
         ]
 
-    def carry_on(self, k: int, told: list) -> tuple:
+    def carry_on(self, k: int, n_all: int, split: int, told: list) -> tuple:
         """Applies the retained contexts: how many places go to the next level, which, their state; done: the log10 of the places that end here, by text."""
         flags = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x.flags, np.uint8) for x in told)])
         counts = [int(np.count_nonzero(np.frombuffer(x.flags, np.uint8))) for x in told]
         stored, kinds, size = (np.concatenate([np.zeros(0, np.int64), *(_numbers(getattr(x, name), c) for x, c in zip(told, counts))]) for name in ("stored", "kinds", "sizes"))
-        mine = np.where(flags > 0, np.cumsum(flags > 0) - 1, -1)[self.context]
+        number = np.cumsum(flags > 0) - 1
+        if self.shared:
+            (keys, start), part = self.shared, np.cumsum(flags == SHARED) - 1
+            rows, gain = number[keys], np.concatenate([np.frombuffer(x.gain, np.float64) for x in told])[part[keys]]
+            first, second = (np.concatenate([_numbers(getattr(x, name), len(x.gain) // 8) for x in told])[part[keys]] for name in ("first", "second"))
+            many = np.diff(np.append(start, len(keys)))
+            for x in (stored, kinds, size):
+                x[rows] = np.repeat(np.add.reduceat(x[rows], start), many)
+            gain, (first, second), rows = np.add.reduceat(gain, start), _two(first, second, start), rows[start]
+            flags[keys] = np.repeat(_flags(n_all, size[rows], kinds[rows], stored[rows], gain, first, second), many)
+        mine = np.where(flags > 0, number, -1)[self.context]
         at = np.flatnonzero(mine >= 0)
         n = np.zeros(len(self.places), np.int64)
         n[self.some] = np.concatenate([np.zeros(0, np.int64), *(_numbers(x.n, x.grams) for x in told)])[self.grams.at]
-        weight, mine = size - stored + kinds, mine[at]
+        weight, mine, every = size - stored + kinds, mine[at], np.append(size, 0)[mine]
         self.p[at] = (n[at] + weight[mine] * self.p[at]) / (stored + weight)[mine]
         # A longer context is the gram at the place before; -1 where that was not asked.
         before = np.full(len(self.numbers), -1, np.int64)
         before[self.places] = n
         on = (flags[self.context] == 3) & (self.here >= k)
         on[on] = before[self.places[on] - 1] != 0
+        longer = before[self.places[on] - 1]
+        longer = np.where(longer > 0, longer, every[on])
         done = np.bincount(self.text[self.places[~on]], np.log10(self.p[~on]), len(self.lengths))
         alive = np.zeros(len(self.numbers), bool)
         alive[self.places[on]] = True
         kept = self.p[on].astype(np.float32)
-        return len(kept), _bits(alive), _bits(n[on] > 0), kept.tobytes(), (done + (np.frombuffer(self.row.done, np.float64) if k > 1 else 0)).tobytes()
+        return len(kept), _bits(alive), _bits(n[on] > 0), _packed(longer // split), kept.tobytes(), (done + (np.frombuffer(self.row.done, np.float64) if k > 1 else 0)).tobytes()
+
+
+def _two(first: np.ndarray, second: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two largest of runs of pairs."""
+    largest = np.maximum.reduceat(first, start)
+    top = first == np.repeat(largest, np.diff(np.append(start, len(first))))
+    return largest, np.where(np.add.reduceat(top.astype(np.int64), start) > 1, largest, np.maximum.reduceat(np.where(top, second, first), start))
+
+
+def _flags(n_all: int, size: np.ndarray, kinds: np.ndarray, stored: np.ndarray, gain: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Which contexts are retained, and below which longer ones can be (1 and 3). first, second: the largest counts of listed words."""
+    least = 0.5 * math.log(max(2.0, n_all))
+    kept = (kinds > 0) & (gain - stored * np.log(np.maximum(size, 1)) > least * kinds)
+    whole = np.maximum(size + kinds, 1).astype(np.float64)
+    rise = lambda x: x * np.log(whole / np.maximum(x, 1))
+    more = (rise(first) > least) | (rise(np.minimum(second, whole / math.e)) > least)
+    return np.where(kept, np.where(more, 3, 1), 0).astype(np.uint8)
 
 
 def _table(kind: str, rows: list) -> pa.Table:
@@ -300,14 +350,14 @@ def _ask_words(parts: int):
     return run
 
 
-def _ask(k: int, n: int, v: int, parts: int):
+def _ask(k: int, n: int, v: int, split: int, parts: int):
     def run(batches):
         for batch in batches:
             for r in _rows(batch):
                 if k > 1 and not r.alive:
                     continue
                 b = _Block(r)
-                b.level(k, n, v)
+                b.level(k, n, v, split)
                 yield from _table(_ASKED, b.asked(parts)).to_batches()
 
     return run
@@ -339,8 +389,7 @@ def _count(parts: int):
 
 
 def _decide(n_all: int):
-    """For a part of the hash space: how often each gram occurs, 0 if under LEAST; which contexts are retained, and below which longer ones can be (flags 1 and 3)."""
-    least = 0.5 * math.log(max(2.0, n_all))
+    """For a part of the hash space: how often each gram occurs, 0 if under LEAST; which contexts are retained (_flags), and the sums of keys that have a part of their context (SHARED)."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = _rows(table)
@@ -358,21 +407,15 @@ def _decide(n_all: int):
         first, second = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
         if len(by):
             start = np.flatnonzero(np.append(True, by[1:] != by[:-1]))
-            largest = np.maximum.reduceat(times, start)
-            top = times == np.repeat(largest, np.diff(np.append(start, len(by))))
-            first[by[start]] = largest
-            second[by[start]] = np.where(np.add.reduceat(top.astype(np.int64), start) > 1, largest, np.maximum.reduceat(np.where(top, 0, times), start))
-        kept = (kinds > 0) & (gain - stored * np.log(np.maximum(size, 1)) > least * kinds)
-        whole = np.maximum(size + kinds, 1).astype(np.float64)
-        rise = lambda x: x * np.log(whole / np.maximum(x, 1))
-        more = (rise(first) > least) | (rise(np.minimum(second, whole / math.e)) > least)
-        flags = np.where(kept, np.where(more, 3, 1), 0).astype(np.uint8)
+            first[by[start]], second[by[start]] = _two(times, np.zeros(len(times), np.int64), start)
+        flags = _flags(n_all, size, kinds, stored, gain, first, second)
+        flags[at[np.concatenate([_unbits(r.split, r.size) for r in rows])]] = SHARED
         out, e, to = [], 0, 0
         for r in rows:
             mine, e = at[e : e + r.size], e + r.size
             f = flags[mine]
-            some = mine[f > 0]
-            out.append((r.part, r.block, r.size, f.tobytes(), _packed(stored[some]), _packed(kinds[some]), _packed(size[some]), r.grams, _packed(n[grams.at[to : to + r.grams]])))
+            some, shared = mine[f > 0], mine[f == SHARED]
+            out.append((r.part, r.block, r.size, f.tobytes(), _packed(stored[some]), _packed(kinds[some]), _packed(size[some]), gain[shared].tobytes(), _packed(first[shared]), _packed(second[shared]), r.grams, _packed(n[grams.at[to : to + r.grams]])))
             to += r.grams
         return _table(_TOLD, out)
 
@@ -393,7 +436,7 @@ def _with_words(block: pa.Table, notes: pa.Table) -> pa.Table:
     return _table(_TEXTS, out)
 
 
-def _carry_on(k: int, n: int, v: int):
+def _carry_on(k: int, n: int, v: int, split: int):
     """The blocks' next state."""
 
     def run(block: pa.Table, notes: pa.Table) -> pa.Table:
@@ -403,8 +446,8 @@ def _carry_on(k: int, n: int, v: int):
                 out.append(tuple(getattr(r, x) for x in _columns(_STATE)))
                 continue
             b = _Block(r)
-            b.level(k, n, v)
-            out.append((r.block, *b.carry_on(k, _rows(notes))))
+            b.level(k, n, v, split)
+            out.append((r.block, *b.carry_on(k, n, split, _rows(notes))))
         return _table(_STATE, out)
 
     return run
@@ -427,7 +470,7 @@ def _results(n: int, v: int):
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id"), FOLDS).alias("held_out"))
-    blocks = keep(mine.mapInArrow(_blocks, _TEXTS), "op9-blocks")
+    blocks = keep(mine.mapInArrow(_blocks(BLOCK_TOKENS), _TEXTS), "op9-blocks")
     alive, n, many = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("trained"), F.lit(0)), F.count("*")).first()
     buckets = "block", max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), many // 4)
 
@@ -446,8 +489,8 @@ def score(docs: DataFrame) -> DataFrame:
     dropped(blocks, words)
     places, state, k = None, texts, 1
     while alive:
-        notes = keep(by_part(state.mapInArrow(_ask(k, n, v, parts()), _ASKED), _decide(n), _TOLD), "op9-notes")
-        after = keep(told(state, notes, _carry_on(k, n, v), _STATE), "op9-places", buckets)
+        notes = keep(by_part(state.mapInArrow(_ask(k, n, v, SPLIT, parts()), _ASKED), _decide(n), _TOLD), "op9-notes")
+        after = keep(told(state, notes, _carry_on(k, n, v, SPLIT), _STATE), "op9-places", buckets)
         dropped(notes, *([places] if places else []))
         places, state, k = after, texts.join(after, "block"), k + 1
         alive = places.agg(F.sum("alive")).first()[0]
