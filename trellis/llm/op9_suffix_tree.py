@@ -56,6 +56,8 @@ _ASKED = "part long, block long, size long, keys binary, split binary, n binary,
 _TOLD = "part long, block long, size long, flags binary, stored binary, kinds binary, sizes binary, gain binary, first binary, second binary, grams long, n binary"
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 SHARED = 4
+#: Bytes of texts that are split into words at a time.
+PIECE = 8 << 20
 
 
 def _columns(kind: str) -> list[str]:
@@ -134,12 +136,14 @@ def _blocks(tokens: int):
             }
             return _table(_TEXTS, [tuple(known[x] for x in _columns(_TEXTS))]).to_batches()[0]
 
-        for b in batches:
+        for b in (b.slice(x, rows) for b in batches for rows in [max(1, b.num_rows * PIECE // max(1, b.nbytes))] for x in range(0, b.num_rows, rows)):
             texts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(b.column("text"), "")))
             words, lengths = texts.flatten(), pc.list_value_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
             none = pc.equal(words, "").to_numpy(zero_copy_only=False)  # at the ends of texts
-            lengths -= np.bincount(np.repeat(np.arange(len(lengths)), lengths)[none], minlength=len(lengths))
-            words, ends, total = words.filter(pa.array(~none)), np.append(0, np.cumsum(lengths)), np.append(0, np.cumsum(lengths + 1))
+            if none.any():
+                lengths -= np.bincount(np.repeat(np.arange(len(lengths)), lengths)[none], minlength=len(lengths))
+                words = words.filter(pa.array(~none))
+            ends, total = np.append(0, np.cumsum(lengths)), np.append(0, np.cumsum(lengths + 1))
             docs, nameless, out = pc.fill_null(b.column("doc_id"), 0).to_numpy(), b.column("doc_id").is_null().to_numpy(zero_copy_only=False), b.column("held_out").to_numpy(zero_copy_only=False)
             x = 0
             while x < len(lengths):
