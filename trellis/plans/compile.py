@@ -19,6 +19,9 @@ from trellis.functions.sparql import Value, call, compare, truth
 from trellis.plans.sparql import Query, Var
 from trellis.operators.fixpoint import closure
 
+#: Up to so many variables that may be unbound, an anti join is split by which of them are bound.
+SPLIT = 4
+
 
 class Solution:
     def __init__(self, df: DataFrame, sure: set[str], maybe: set[str] = frozenset()):
@@ -144,6 +147,8 @@ class Compiler:
             columns = {v: F.coalesce(F.col(v), F.col(tag + v)) if v in both else F.col(tag + v) if v in b.names else F.col(v) for v in {*a.names, *b.names}}
             condition += [truth(self.value(e, columns)) for e in extra]
         on = functools.reduce(Column.__and__, condition) if condition else F.lit(True)
+        if how == "left_anti" and not plain and 0 < len(both) <= SPLIT:
+            return Solution(self.without(a, right, tag, both, condition[len(both) + minus :], minus), a.sure, a.maybe)
         joined = a.df.join(right, on, how)
         if how in ("left_semi", "left_anti"):
             return Solution(joined, a.sure, a.maybe)
@@ -152,6 +157,16 @@ class Compiler:
         sure = a.sure | b.sure if how == "inner" else a.sure
         return Solution(out, sure, set(names) - sure)
 
+    def without(self, a: Solution, right: DataFrame, tag: str, both: list, extra: list, minus: bool) -> DataFrame:
+        """An anti join where no shared variable is sure on both sides: one join on equal keys for each set of variables that may be
+        bound on both, instead of one that compares all rows. Unbound on the left is a key of its own, so that such rows don't meet in a task."""
+        df, own = a.df, F.concat(F.lit("\0"), F.xxhash64(*[F.col(v) for v in a.names]).cast("string"))
+        for bound in itertools.chain.from_iterable(itertools.combinations(both, k) for k in range(int(minus), len(both) + 1)):
+            equal = [(F.col(v) if v in a.sure else F.coalesce(F.col(v), own)) == F.col(tag + v) for v in bound]
+            free = [F.col(v).isNull() | F.col(tag + v).isNull() for v in both if v not in bound]
+            df = df.join(right, functools.reduce(Column.__and__, [*equal, *free, *extra]), "left_anti")
+        return df
+
     # patterns
     def group(self, elements: list, graph=None, given: Solution | None = None) -> Solution:
         now = given or self.unit()
