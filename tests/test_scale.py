@@ -29,3 +29,14 @@ def test_anti_join_of_unbound_variables_compares_keys(spark, minus):
 def test_minus_of_an_unbound_variable_has_no_nested_loop(spark):
     found = plan(QUERIES["minus_unbound"](spark, DIR))
     assert "NestedLoop" not in found and "Cartesian" not in found
+
+
+def early(df) -> list[str]:
+    """The distinct steps over triples that hold a task's rows before any exchange."""
+    steps = [x.lstrip(" :+-*").partition(")")[2].lstrip() if x.lstrip(" :+-*").startswith("(") else x.lstrip(" :+-*") for x in plan(df).splitlines()]
+    return [x for x, below in zip(steps, steps[1:]) if x.startswith("HashAggregate") and "o#" in x and x.endswith("functions=[])") and not below.startswith(("HashAggregate", "Exchange"))]
+
+
+@pytest.mark.parametrize("name", ["count_triples_by_graph", "rdfs_types", "localize_predicates", "describe", "compose_union"])
+def test_triples_are_dealt_before_repeats_are_sought(spark, name):
+    assert not early(QUERIES[name](spark, DIR))

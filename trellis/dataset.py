@@ -18,6 +18,7 @@ from trellis.functions.terms import PROV, RDF, RDFS, SH, TYPE, check_iri, decode
 
 from trellis.model import AuditTrail, ClassInstanceCount, GraphMetadata, HolarchySummary, HolarchyTree, HolonDetail, HolonInfo, HolonSummary, MembraneBreachError, MembraneHealth, MembraneResult, NeighborhoodEdge, NeighborhoodGraph, NeighborhoodNode, PortalDetail, PortalInfo, PortalSummary, ProjectionPipelineSpec, ProjectionPipelineStep, ProjectionPipelineSummary, SealedPortalError, ShapeViolation, SurfaceReport, TraversalRecord, ValidationRecord, parse_time
 from trellis.operators import projection, rdfs, shacl
+from trellis.operators.distinct import once
 from trellis.operators.scope import ScopeResolver
 from trellis.operators.store import Graph, SparkStore
 
@@ -213,7 +214,7 @@ class GraphDataset:
 
     def _frame(self, graphs) -> DataFrame:
         """The distinct triples of some graphs."""
-        return self.quads.where(F.col("g").isin([iri(g) for g in graphs])).select("s", "p", "o").distinct()
+        return once(self.quads.where(F.col("g").isin([iri(g) for g in graphs])).select("s", "p", "o"))
 
     def list_holons_summary(self) -> list[HolonSummary]:
         return [self._summary(h) for h in self._holons()]
@@ -477,7 +478,7 @@ class GraphDataset:
             raise ValueError(f"no portal from {source_iri} to {target_iri}")
         projected = self.traverse_portal(portal.iri)
         more = self.store.spark.createDataFrame([tuple(t) for t in projected], "s string, p string, o string")
-        return projected, self._validated(target_iri, self._frame(self.layers(target_iri, "interior")).unionByName(more).distinct())
+        return projected, self._validated(target_iri, once(self._frame(self.layers(target_iri, "interior")).unionByName(more)))
 
     def rollback_traversal(self, activity_iri) -> int:
         activity = self.get_activity(activity_iri)

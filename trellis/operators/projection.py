@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from trellis.functions import terms as T
 from trellis.functions.terms import RDF, RDFS, SKOS, TYPE, decode
 from trellis.model import ProjectedEdge, ProjectedGraph, ProjectedNode, TransformNotFoundError, local_name
+from trellis.operators.distinct import once
 
 LABELS = (f"<{RDFS}label>", f"<{SKOS}prefLabel>", f"<{SKOS}altLabel>")
 _FIRST, _REST, _NIL, _STATEMENT = f"<{RDF}first>", f"<{RDF}rest>", f"<{RDF}nil>", f"<{RDF}Statement>"
@@ -48,13 +49,13 @@ def data_properties_only(df: DataFrame) -> DataFrame:
 
 
 def labels_only(df: DataFrame) -> DataFrame:
-    return df.where(F.col("p").isin(*LABELS)).withColumn("p", F.lit(LABELS[0])).distinct()
+    return once(df.where(F.col("p").isin(*LABELS)).withColumn("p", F.lit(LABELS[0])))
 
 
 def subclass_tree(df: DataFrame) -> DataFrame:
     pairs = df.where(F.col("p") == f"<{RDFS}subClassOf>")
     ends = pairs.select("s").unionByName(pairs.select(F.col("o").alias("s"))).distinct()
-    return pairs.unionByName(df.where(F.col("p") == LABELS[0]).join(ends, "s", "left_semi")).distinct()
+    return once(pairs.unionByName(df.where(F.col("p") == LABELS[0]).join(ends, "s", "left_semi")))
 
 
 def strip_blank_nodes(df: DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ def filter_by_class(df: DataFrame, cls: str) -> DataFrame:
 
 def localize_predicates(df: DataFrame) -> DataFrame:
     name = F.regexp_replace(F.regexp_replace(T.lexical(F.col("p")), "(?s)^.*/", ""), "(?s)^.*#", "")
-    return df.withColumn("p", T.encode_iri(F.concat(F.lit("urn:local:"), name))).distinct()
+    return once(df.withColumn("p", T.encode_iri(F.concat(F.lit("urn:local:"), name))))
 
 
 def lpg_nodes(df: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def lpg_nodes(df: DataFrame) -> DataFrame:
 def lpg_edges(df: DataFrame) -> DataFrame:
     """(source, predicate, target) between IRIs, without types and labels."""
     out = df.where(T.is_iri(F.col("s")) & T.is_iri(F.col("o")) & (F.col("p") != TYPE) & ~F.col("p").isin(*LABELS[:2]))
-    return out.select(T.lexical(F.col("s")).alias("source"), T.lexical(F.col("p")).alias("predicate"), T.lexical(F.col("o")).alias("target")).distinct()
+    return once(out.select(T.lexical(F.col("s")).alias("source"), T.lexical(F.col("p")).alias("predicate"), T.lexical(F.col("o")).alias("target")))
 
 
 # One small graph on the driver

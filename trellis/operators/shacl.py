@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trellis.functions import terms as T
 from trellis.functions.terms import RDF, RDFS, SH, TYPE, XSD, decode
+from trellis.operators.distinct import once
 from trellis.operators.fixpoint import closure
 
 REPORT = "shape string, focus string, path string, value string, message string, severity string, component string"
@@ -59,7 +60,7 @@ def validate(data: DataFrame, shapes_triples, quads: DataFrame | None = None) ->
 class Validator:
     def __init__(self, data: DataFrame, shapes: Shapes, quads: DataFrame | None = None):
         self.keys = ["unit"] if "unit" in data.columns else []
-        self.data, self.shapes, self.spark, self.fresh = data.select(*self.keys, "s", "p", "o").distinct(), shapes, data.sparkSession, itertools.count()
+        self.data, self.shapes, self.spark, self.fresh = once(data.select(*self.keys, "s", "p", "o")), shapes, data.sparkSession, itertools.count()
         self.quads = quads if quads is not None else data.select(F.lit("<urn:data>").alias("g"), "s", "p", "o")
         self._classes: dict = {}
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.functions.terms import decode, iri, literal
+from trellis.operators.distinct import once
 from trellis.storage import written
 from trellis.plans.compile import Compiler
 from trellis.plans.sparql import Query, Update, parse
@@ -113,7 +114,7 @@ class SparkStore(AbstractGraphStore):
         if self._frame is None:
             rows = [(iri(g), *t) for g, ts in self.local.items() for t in ts]
             small = self.spark.createDataFrame(rows, SCHEMA)
-            self._frame = small if self.base is None else self.base.select("g", "s", "p", "o").unionByName(small).distinct()
+            self._frame = small if self.base is None else once(self.base.select("g", "s", "p", "o").unionByName(small))
         return self._frame
 
     def base_names(self) -> set[str]:

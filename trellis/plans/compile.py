@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from trellis.functions import terms as T
 from trellis.functions.sparql import Value, call, compare, truth
 from trellis.plans.sparql import Query, Var
+from trellis.operators.distinct import once
 from trellis.operators.fixpoint import closure
 
 #: Up to so many variables that may be unbound, an anti join is split by which of them are bound.
@@ -45,7 +46,7 @@ class Compiler:
     def scan(self, graph) -> tuple[DataFrame, str | None]:
         """The triples that a graph context sees; for a variable, with its column g."""
         if graph is None:
-            return self.default.select("s", "p", "o").distinct(), None
+            return once(self.default.select("s", "p", "o")), None
         if isinstance(graph, Var):
             return self.quads, graph
         return self.quads.where(F.col("g") == graph).select("s", "p", "o"), None
@@ -68,7 +69,7 @@ class Compiler:
             else:
                 seen[term] = column
         if graph is None:
-            df = df.select("s", "p", "o").distinct()
+            df = once(df.select("s", "p", "o"))
         return Solution(df.select(*[F.col(c).alias(v) for v, c in seen.items()]), set(seen))
 
     def path(self, s, p, o, graph) -> Solution:
@@ -429,7 +430,7 @@ class Compiler:
         made = F.explode(F.array(*[F.struct(column(g).alias("g"), column(s).alias("s"), column(p).alias("p"), column(o).alias("o"), F.lit(g is not None).alias("named")) for g, s, p, o in template]))
         out = solution.df.select(made.alias("q")).select("q.*")
         good = F.col("s").isNotNull() & F.col("p").isNotNull() & F.col("o").isNotNull() & ~T.is_literal(F.col("s")) & T.is_iri(F.col("p")) & (~F.col("named") | F.col("g").isNotNull())
-        return out.where(good).select("g", "s", "p", "o").distinct()
+        return once(out.where(good).select("g", "s", "p", "o"))
 
     def run(self, q: Query) -> DataFrame:
         """select: a column for each variable; construct and describe: (s, p, o); ask: one row with `ask`."""
@@ -454,10 +455,10 @@ class Compiler:
             found = self.group(q.where)
             for v in [t for t in q.project if isinstance(t, Var)]:
                 wanted = wanted.unionByName(found.df.select(F.col(v).alias("s")))
-        triples, _ = self.scan(None)
+        triples = self.default.select("s", "p", "o")
         edges = triples.where(T.is_blank(F.col("o"))).select(F.col("s").alias("a"), F.col("o").alias("b"))
         reached = closure(edges, [], seeds=wanted.distinct()).select(F.col("b").alias("s"))
-        return triples.join(wanted.unionByName(reached).distinct(), "s", "left_semi")
+        return once(triples.join(wanted.unionByName(reached).distinct(), "s", "left_semi"))
 
 
 def _froze(e):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from trellis.functions import terms as T
 from trellis.functions.terms import PROV, RDF, RDFS, SH, TYPE
 from trellis.operators import projection, rdfs, shacl
+from trellis.operators.distinct import once
 from trellis.operators.fixpoint import distances
 from trellis.plans.compile import Compiler
 from trellis.plans.sparql import parse
@@ -134,7 +135,7 @@ _add("path_member_of_plus", _sparql("SELECT ?x ?up WHERE { ?x (:nation|:memberOf
      "SELECT c_custkey AS x, 'urn:t:nation:' || c_nationkey AS up FROM customer UNION ALL SELECT c_custkey, 'urn:t:region:' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT n_nationkey, 'urn:t:region:' || n_regionkey FROM nation")
 _add("path_inverse_sequence", _sparql("SELECT ?s (COUNT(?c) AS ?n) WHERE { ?s ^:nation/:mktsegment ?c } GROUP BY ?s", (customers,), s="key", n="int"),
      "SELECT c_nationkey::BIGINT AS s, count(DISTINCT c_custkey) AS n FROM customer GROUP BY 1")
-_add("count_triples_by_graph", lambda spark, d: customers(spark, d).distinct().groupBy(key("g").alias("g")).agg(F.count("*").alias("triples"), F.sum((F.col("p") == TYPE).cast("long")).alias("typed")),
+_add("count_triples_by_graph", lambda spark, d: once(customers(spark, d)).groupBy(key("g").alias("g")).agg(F.count("*").alias("triples"), F.sum((F.col("p") == TYPE).cast("long")).alias("typed")),
      "SELECT c_nationkey::BIGINT AS g, 5 * count(*) AS triples, count(*) AS typed FROM customer GROUP BY 1")
 
 
@@ -143,7 +144,7 @@ def _modified(spark, d):
     compiler = Compiler(spark, quads)
     u = parse(_PREFIX + "DELETE { GRAPH :orders { ?o :status \"P\" } } INSERT { GRAPH :orders { ?o :status \"pending\" } } WHERE { GRAPH :orders { ?o :status \"P\" } }")[0]
     match = compiler.group(u.where)
-    after = quads.join(compiler.construct(u.delete, match), ["g", "s", "p", "o"], "left_anti").unionByName(compiler.construct(u.insert, match)).distinct()
+    after = once(quads.join(compiler.construct(u.delete, match), ["g", "s", "p", "o"], "left_anti").unionByName(compiler.construct(u.insert, match)))
     return after.where(F.col("p") == f"<{P}status>").groupBy(T.lexical(F.col("o")).alias("status")).agg(F.count("*").alias("n"))
 
 
@@ -280,7 +281,7 @@ _add("activities_by_agent", _sparql("SELECT ?agent (COUNT(?e) AS ?n) WHERE { GRA
 
 
 def _spo(f, spark, d):
-    return f(spark, d).select("s", "p", "o").distinct()
+    return once(f(spark, d).select("s", "p", "o"))
 
 
 _add("strip_types", lambda s, d: projection.strip_types(_spo(customers, s, d)).groupBy("p").agg(F.count("*").alias("n")).select(F.regexp_extract("p", r":(\w+)>$", 1).alias("p"), "n"),
@@ -306,13 +307,13 @@ _add("collapse_reification", collapsed, "SELECT o_custkey AS c, o_orderkey AS o
 
 def rdfs_types(spark, d):
     schema = spark.createDataFrame([tuple(q[1:]) for q in turtle(f"@prefix : <{P}> . @prefix rdfs: <{RDFS}> . :Customer rdfs:subClassOf :Party . :Party rdfs:subClassOf :Thing . :customer rdfs:domain :Deal ; rdfs:subPropertyOf :party . :party rdfs:range :Party .")], "s string, p string, o string")
-    triples = _spo(orders, spark, d).unionByName(_spo(customers, spark, d)).unionByName(schema)
+    triples = orders(spark, d).unionByName(customers(spark, d)).select("s", "p", "o").unionByName(schema)
     return rdfs.entailed(triples).where((F.col("p") == TYPE) | (F.col("p") == f"<{P}party>")).groupBy(F.when(F.col("p") == TYPE, T.lexical(F.col("o"))).otherwise("party").alias("k")).agg(F.count("*").alias("n"))
 
 
 _add("rdfs_types", rdfs_types, """SELECT * FROM (SELECT 'urn:t:Customer' AS k, count(*) AS n FROM customer UNION ALL SELECT 'urn:t:Party', count(*) FROM (SELECT c_custkey FROM customer UNION SELECT o_custkey FROM orders)
   UNION ALL SELECT 'urn:t:Thing', count(*) FROM (SELECT c_custkey FROM customer UNION SELECT o_custkey FROM orders) UNION ALL SELECT 'urn:t:Order', count(*) FROM orders UNION ALL SELECT 'urn:t:Deal', count(*) FROM orders UNION ALL SELECT 'party', count(*) FROM orders)""")
-_add("compose_union", lambda s, d: _spo(customers, s, d).unionByName(_spo(suppliers, s, d)).distinct().agg(F.count("*").alias("n"), F.count_distinct("s").alias("subjects")), "SELECT (SELECT 5 * count(*) FROM customer) + (SELECT 4 * count(*) FROM supplier) AS n, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS subjects")
+_add("compose_union", lambda s, d: once(_spo(customers, s, d).unionByName(_spo(suppliers, s, d))).agg(F.count("*").alias("n"), F.count_distinct("s").alias("subjects")), "SELECT (SELECT 5 * count(*) FROM customer) + (SELECT 4 * count(*) FROM supplier) AS n, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS subjects")
 _add("graph_difference", lambda s, d: _spo(orders, s, d).join(Compiler(s, orders(s, d)).run(parse(_PREFIX + "CONSTRUCT { ?o ?p ?v } WHERE { GRAPH :orders { ?o :status \"F\" ; ?p ?v } }")), ["s", "p", "o"], "left_anti").agg(F.count("*").alias("n")), "SELECT 6 * count(*) AS n FROM orders WHERE o_orderstatus <> 'F'")
 _add("text_round_trip", lambda s, d: Compiler(s, lift(_table(s, d, "documents"), f"{P}docs", ref(f"{P}doc:", "doc_id"), {f"{P}text": "text"})).run(parse(_PREFIX + "SELECT ?d ?t WHERE { GRAPH :docs { ?d :text ?t } }")).select(key("d").alias("doc"), F.md5(T.lexical(F.col("t"))).alias("digest")), "SELECT doc_id AS doc, md5(text) AS digest FROM documents WHERE text IS NOT NULL")
 
