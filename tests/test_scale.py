@@ -4,6 +4,7 @@ import itertools
 
 import pytest
 
+from trellis.operators import store as stores
 from trellis.plans.compile import Compiler, Solution
 from trellis.queries import QUERIES
 
@@ -40,3 +41,23 @@ def early(df) -> list[str]:
 @pytest.mark.parametrize("name", ["count_triples_by_graph", "rdfs_types", "localize_predicates", "describe", "compose_union"])
 def test_triples_are_dealt_before_repeats_are_sought(spark, name):
     assert not early(QUERIES[name](spark, DIR))
+
+
+def test_bulk_update_shuffles_only_what_its_templates_name(spark, monkeypatch):
+    monkeypatch.setattr(stores, "FEW", 3)
+    seen = []
+    monkeypatch.setattr(stores, "written", lambda df, label, own=stores.written: seen.append((label, plan(df))) or own(df, label))
+    want = {(f"<urn:{g}>", f"<urn:s{k}>", f"<urn:{p}>", f'"{k % 3}"') for g in "ab" for p in "pq" for k in range(9)}
+    store = stores.SparkStore(spark, spark.createDataFrame([*want, *want], stores.SCHEMA))  # every quad twice
+    store.update('DELETE { GRAPH <urn:a> { ?s <urn:p> "1" } } INSERT { GRAPH <urn:a> { ?s <urn:p> "2" . ?s <urn:new> [] } } WHERE { GRAPH <urn:a> { ?s <urn:p> "1" } }')
+    hit = {q for q in want if (q[0], q[2], q[3]) == ("<urn:a>", "<urn:p>", '"1"')}
+    got = {tuple(r) for r in store.quads.collect()}
+    assert {q for q in got if q[2] != "<urn:new>"} == want - hit | {(*q[:3], '"2"') for q in hit} and len(got) == len(want) + len(hit) == store.quads.count()
+    lines = next(p for label, p in reversed(seen) if label == "quads").splitlines()
+    at = next(k for k, x in enumerate(lines) if "Union" in x)
+    depth = lambda x: len(x) - len(x.lstrip(" :+-*"))
+    end = next(k for k in range(at + 2, len(lines)) if depth(lines[k]) <= depth(lines[at + 1]))
+    assert not any("Exchange" in x for x in lines[at + 1 : end])
+    store.update('COPY <urn:a> TO <urn:c> ; DELETE { ?s <urn:q> "0" } WHERE { GRAPH <urn:c> { ?s <urn:q> "0" } }')  # in any graph
+    left = {q for q in got if q[2:] != ("<urn:q>", '"0"')}
+    assert {tuple(r) for r in store.quads.collect()} == left | {("<urn:c>", *q[1:]) for q in left if q[0] == "<urn:a>"}

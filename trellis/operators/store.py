@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 from abc import ABC, abstractmethod
 from collections.abc import Iterable
 from typing import Any, Protocol, runtime_checkable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.functions.terms import decode, iri, literal
 from trellis.operators.distinct import once
 from trellis.storage import written
 from trellis.plans.compile import Compiler
-from trellis.plans.sparql import Query, Update, parse
+from trellis.plans.sparql import Query, Update, Var, parse
 from trellis.sources import bulk, turtle
 
 SCHEMA = bulk.QUADS
@@ -85,6 +86,12 @@ class AbstractGraphStore(ABC):
     def update(self, sparql: str) -> None: ...
 
 
+def _named(template: tuple) -> Column:
+    """Whether a quad can come from a template: equal where the template has a constant (blank nodes are variables)."""
+    fixed = [F.col(c) == t for c, t in zip("gspo", template) if t is not None and not isinstance(t, Var)]
+    return functools.reduce(Column.__and__, fixed, F.lit(True))
+
+
 class SparkStore(AbstractGraphStore):
     """Quads in two layers: `base`, a DataFrame of any size that writes replace by a new plan, and `local`, graphs of small writes
     on the driver. A snapshot is a reference to both, so taking one and going back are free."""
@@ -112,11 +119,15 @@ class SparkStore(AbstractGraphStore):
     @property
     def quads(self) -> DataFrame:
         if self._frame is None:
-            rows = [(iri(g), *t) for g, ts in self.local.items() for t in ts]
-            small = self.spark.createDataFrame(rows, SCHEMA)
-            self._frame = small if self.base is None else once(self.base.select("g", "s", "p", "o").unionByName(small))
+            bag = self._bag()
+            self._frame = bag if self.base is None else once(bag)
         return self._frame
 
+    def _bag(self) -> DataFrame:
+        """All quads, some of them perhaps repeated."""
+        small = self.spark.createDataFrame([(iri(g), *t) for g, ts in self.local.items() for t in ts], SCHEMA)
+        return small if self.base is None else self.base.select("g", "s", "p", "o").unionByName(small)
+
     def base_names(self) -> set[str]:
         if self._names is None:
             self._names = set() if self.base is None else {r[0][1:-1] for r in self.base.select("g").distinct().collect()}
@@ -254,11 +265,14 @@ class SparkStore(AbstractGraphStore):
                 if few[0]:
                     self.remove(set(plain(few[0])))
                 self._insert(plain(few[1]))
-            else:  # any number of quads: one plan, written
-                left = self.quads.join(away.where("g is not null"), ["g", "s", "p", "o"], "left_anti")
+            else:  # any number of quads: one plan, written; quads that no template can name pass as they are
+                named = functools.reduce(Column.__or__, [_named(t) for t in [*u.delete, *u.insert]])
+                named = F.coalesce(named, F.lit(False))
+                bag = self._bag()
+                left = bag.where(named).join(away.where("g is not null"), ["g", "s", "p", "o"], "left_anti")
                 if any(t[0] is None for t in u.delete):
                     left = left.join(away.where("g is null").select("s", "p", "o"), ["s", "p", "o"], "left_anti")
-                self.base, self.local = written(left.select("g", "s", "p", "o").unionByName(new).distinct(), "quads"), {}
+                self.base, self.local = written(bag.where(~named).unionByName(once(left.select("g", "s", "p", "o").unionByName(new))), "quads"), {}
                 self._changed(True)
         elif u.kind == "drop":
             for g in self.list_named_graphs() if u.target in ("all", "named") else [] if u.target == "default" else [u.target[1:-1]]:
@@ -269,7 +283,7 @@ class SparkStore(AbstractGraphStore):
                 if u.kind != "add":
                     self.delete_graph(target)
                 if source in self.base_names():
-                    self.load(self.quads.where(F.col("g") == u.source).withColumn("g", F.lit(u.target)))
+                    self.load(self._bag().where(F.col("g") == u.source).withColumn("g", F.lit(u.target)))
                 else:
                     self.post_graph(target, self.local.get(source, ()))
                 if u.kind == "move":
